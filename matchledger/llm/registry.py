@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, packing
+from . import bpe, lines, near, packing
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op6_bpe": bpe.op6_bpe,
+    "op9_minhash": near.op9_minhash,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 
