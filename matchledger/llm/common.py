@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that a Python worker handles at once (one longer document still goes whole).
 SLICE_BYTES = 2 << 20
 
-_MASK = (1 << 64) - 1
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +35,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a stage as Parquet in the shared folder and read it again: its lineage ends there, so a
-    lost executor costs the tasks that run, not the stages before them."""
+    lost executor costs the tasks that run, not the stages before them. Its shuffle files go when it is written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, near, packing
+from . import bpe, lines, near, packing, suffixes
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op6_bpe": bpe.op6_bpe,
+    "op7_suffix_array": suffixes.op7_suffix_array,
     "op9_minhash": near.op9_minhash,
     "op10_line_dedup": lines.op10_line_dedup,
 }
