@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, near, packing, suffixes
+from . import bpe, hmm, lines, near, packing, suffixes
 
 QUERIES = {
+    "op1_lm_scoring": hmm.op1_lm_scoring,
     "op2_packing": packing.op2_packing,
     "op6_bpe": bpe.op6_bpe,
     "op7_suffix_array": suffixes.op7_suffix_array,
