@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, hmm, lines, near, packing, suffixes
+from . import bpe, hmm, lines, near, packing, suffixes, topk
 
 QUERIES = {
     "op1_lm_scoring": hmm.op1_lm_scoring,
     "op2_packing": packing.op2_packing,
+    "op4_topk": topk.op4_topk,
     "op6_bpe": bpe.op6_bpe,
     "op7_suffix_array": suffixes.op7_suffix_array,
     "op9_minhash": near.op9_minhash,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 
-ORACLE_SQL = {"op10_line_dedup": lines.OP10_SQL}
+ORACLE_SQL = {"op4_topk": topk.OP4_SQL, "op10_line_dedup": lines.OP10_SQL}
