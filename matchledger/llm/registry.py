@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, hmm, lines, near, packing, suffixes, topk
+from . import bpe, hmm, langid, lines, near, packing, suffixes, topk
 
 QUERIES = {
     "op1_lm_scoring": hmm.op1_lm_scoring,
     "op2_packing": packing.op2_packing,
     "op4_topk": topk.op4_topk,
+    "op5_language_id": langid.op5_language_id,
     "op6_bpe": bpe.op6_bpe,
     "op7_suffix_array": suffixes.op7_suffix_array,
     "op9_minhash": near.op9_minhash,
