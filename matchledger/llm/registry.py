@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, hmm, langid, lines, near, packing, suffixes, topk
+from . import bpe, hmm, langid, lines, near, packing, suffixes, topk, toxicity
 
 QUERIES = {
     "op1_lm_scoring": hmm.op1_lm_scoring,
     "op2_packing": packing.op2_packing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_topk": topk.op4_topk,
     "op5_language_id": langid.op5_language_id,
     "op6_bpe": bpe.op6_bpe,
