@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, hmm, langid, lines, near, packing, suffixes, topk, toxicity
+from . import bpe, hmm, jpeg, langid, lines, near, packing, suffixes, topk, toxicity
 
 QUERIES = {
     "op1_lm_scoring": hmm.op1_lm_scoring,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language_id": langid.op5_language_id,
     "op6_bpe": bpe.op6_bpe,
     "op7_suffix_array": suffixes.op7_suffix_array,
+    "op8_progressive_jpeg": jpeg.op8_progressive_jpeg,
     "op9_minhash": near.op9_minhash,
     "op10_line_dedup": lines.op10_line_dedup,
 }
