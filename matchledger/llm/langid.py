@@ -31,6 +31,8 @@ EPOCHS = 10
 BATCH = 128
 LANES = 4096
 UNKNOWN = "und"
+#: Below this score a text is in none of the languages; a guess among four has 0.25.
+LEAST = 0.3
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -211,6 +213,24 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, network: Network, least: float = LEAST) -> DataFrame:
+    """The rows whose text has a letter and whose best language has a score of ``least`` or more, all columns unchanged.
+    With one language or none learnt, every text with a letter stays."""
+    shared = docs.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        letter, own = regex.compile(r"\p{L}").search, shared.value
+        for batch in slices(batches):
+            keep = np.array([bool(t and letter(t)) for t in batch.column("text").to_pylist()])
+            if len(own.languages) > 1 and keep.any():
+                keep &= own.pooled(*texts(batch.column("text"))).max(1) >= least
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text, lang and held_out; rows that are held out teach nothing."""
     return predict(docs, train(docs.filter("NOT held_out")))

@@ -286,6 +286,33 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd
     return _cut(joined.select("doc_id", "text", "found"))
 
 
+def deduped(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows with their texts reduced, all columns as they were. Bytes of a character that was cut go with it; a text
+    that nothing is left of goes as a whole. Null and empty texts stay."""
+    found = spans(docs, length).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("at", "n")).alias("_sa_found"))
+    found = found.select(F.col("doc_id").alias("_sa_doc"), F.col("tie").alias("_sa_tie"), "_sa_found")
+    tie = F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(32768)).cast("short")
+    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_sa_doc"]) & (tie == found["_sa_tie"]), "left")
+    schema, names = docs.schema, docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out, keep = [], []
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column("_sa_found").to_pylist(), strict=True):
+                if gone:
+                    data = np.frombuffer(text.encode(), np.uint8)
+                    left = np.ones(len(data), bool)
+                    for g in gone:
+                        left[g["at"] : g["at"] + g["n"]] = False
+                    text = data[left].tobytes().decode("utf-8", "ignore")
+                out.append(text)
+                keep.append(not gone or bool(text.strip()))
+            arrays = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(arrays, names).filter(pa.array(keep, pa.bool_()))
+
+    return joined.select(*names, "_sa_found").mapInArrow(run, schema)
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_strings(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
