@@ -1,4 +1,9 @@
 """Queries by name, and the SQL that each is held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import match_queries
+
+DEFINED = {**match_queries.DEFINED}
+QUERIES = {name: query for name, (query, _) in DEFINED.items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in DEFINED.items() if sql}
