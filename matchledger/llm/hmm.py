@@ -8,7 +8,7 @@ exact probability, and what a state must hold is bounded, however many words the
 
 Baum-Welch runs over all training texts: each task sums its expected counts in numpy, Spark sums those of the tasks by
 class, and the driver gets one row for each class and state. For training, texts are cut into stretches of ``STRETCH``
-tokens; scoring runs the scaled forward recursion over whole texts. Counts of the ``LOOKUP`` most frequent words go to
+tokens; scoring runs the scaled forward recursion over whole texts. Counts of up to ``LOOKUP`` of the most frequent words go to
 the tasks as a table of that size; those of all other words meet their texts in a join.
 
 Null text counts as empty: one end token. A row without doc_id is scored and counts as training. Repeated rows are
@@ -21,6 +21,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,22 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(vocabulary: DataFrame) -> list[tuple[str, int]]:
+    """Up to LOOKUP words with their counts, most frequent first. Steps of 2**(1/64) in the count decide how far
+    down the words go, so that no task sends more of them than are wanted in all."""
+    step = F.floor(F.log2("c") * 64)
+    sizes = sorted(((r[0], r[1]) for r in vocabulary.groupBy(step).count().collect()), reverse=True)  # at most 4096 rows
+    total, least = 0, None
+    for level, n in sizes:
+        total += n
+        if total > LOOKUP:
+            break
+        least = level
+    if least is None:  # too many words of the largest count: the first by name
+        return [tuple(r) for r in vocabulary.orderBy(F.desc("c"), "word").limit(LOOKUP).collect()]
+    return sorted((tuple(r) for r in vocabulary.filter(step >= least).collect()), key=lambda r: (-r[1], r[0].encode()))
+
+
 class Lexicon:
     """What tasks know of words: classes and counts of frequent ones, and sums of the classes by ending."""
 
@@ -85,7 +102,10 @@ class Lexicon:
         self.share[self.end_class] = end
         self.share[CLASSES + 1 :] = sums[:, 0]
         self.share = (self.share + 0.5) / (self.share + 0.5).sum()
-        self.words = {w.encode(): (i if i < CLASSES else CLASSES + 1 + ending(w.encode()), math.log10(c + 0.5)) for i, (w, c) in enumerate(frequent)}
+        self.number = {w.encode(): i for i, (w, _) in enumerate(frequent)}
+        self.code = np.array([i if i < CLASSES else CLASSES + 1 + ending(w.encode()) for i, (w, _) in enumerate(frequent)], np.int64)
+        self.value = np.log10(np.array([c for _, c in frequent], np.float64) + 0.5)
+        self.more = np.where(self.code > CLASSES, self.value - self.within[self.code], 0.0)  # beside the class's probability
         self.end = math.log10(end + 0.5), int(end > 0)
 
 
@@ -97,30 +117,32 @@ def encode(docs: DataFrame, lexicon) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = lexicon.value
-        get, within = lex.words.get, lex.within
+        get, stop = lex.number.get, lex.end_class.to_bytes(2, "little")
         for batch in slices(batches):
-            columns: list[list] = [[] for _ in range(6)]
+            columns: list[list] = [[] for _ in range(5)]
+            rare_words: list[bytes] = []
+            rare_counts: list[int] = []
+            bounds = [0]
             for text in batch.column("text").to_pylist():
-                counts = Counter(words := tokens(text))
-                code, known, base, inside, rare = {}, lex.end[1], lex.end[0], 0.0, []
-                for w, n in counts.items():
-                    found = get(w)
-                    if found is None:
-                        code[w] = k = CLASSES + 1 + ending(w)
-                        rare.append({"word": w.decode(), "n": n})
-                        inside -= n * within[k]
-                        continue
-                    code[w], value = found
-                    known += n
-                    base += n * value
-                    if found[0] > CLASSES:
-                        inside += n * (value - within[found[0]])
-                codes = np.fromiter(map(code.__getitem__, words), "<u2", len(words))
-                for column, x in zip(columns, (len(words) + 1, codes.tobytes() + lex.end_class.to_bytes(2, "little"), known, base, inside, rare), strict=True):
+                words = tokens(text)
+                found = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+                off = np.flatnonzero(found < 0)
+                rare = Counter(words[i] for i in off.tolist())
+                code = {w: CLASSES + 1 + ending(w) for w in rare}
+                codes = np.empty(len(words), "<u2")
+                known = found[found >= 0]
+                codes[found >= 0] = lex.code[known]
+                codes[off] = own = np.fromiter((code[words[i]] for i in off.tolist()), np.int64, len(off))
+                inside = lex.more[known].sum() - lex.within[own].sum()
+                for column, x in zip(columns, (len(words) + 1, codes.tobytes() + stop, len(known) + lex.end[1], lex.value[known].sum() + lex.end[0], inside), strict=True):
                     column.append(x)
-            n, codes, known, base, inside, rare = columns
-            kinds = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
-            arrays = [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(codes, pa.binary()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(inside, pa.float64()), pa.array(rare, kinds)]
+                rare_words.extend(rare.keys())
+                rare_counts.extend(rare.values())
+                bounds.append(len(rare_words))
+            n, codes, known, base, inside = columns
+            pairs = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()).cast(pa.string()), pa.array(rare_counts, pa.int32())], ["word", "n"])
+            rare = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs)
+            arrays = [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(codes, pa.binary()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(inside, pa.float64()), rare]
             yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "held_out", "n_tokens", "codes", "known", "base", "inside", "rare"])
 
     return docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(run, CODED)
@@ -253,7 +275,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     n_docs = taught.count()
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n + n_docs, v + int(n_docs > 0)
-    frequent = [tuple(r) for r in vocabulary.orderBy(F.desc("c"), "word").limit(LOOKUP).collect()]
+    frequent = most_frequent(vocabulary)
     cut = frequent[min(CLASSES, len(frequent)) - 1] if frequent else ("", 0)
     rest = vocabulary.filter((F.col("c") < cut[1]) | ((F.col("c") == cut[1]) & (F.col("word") > cut[0])))
     key = (F.crc32(F.substring(F.col("word").cast("binary"), -3, 3)) % ENDINGS).cast("int")
