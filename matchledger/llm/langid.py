@@ -173,10 +173,18 @@ class Network:
 
 def sample(labelled: DataFrame, per_language: int = SAMPLE, views: int = VIEWS) -> DataFrame:
     """(lang, piece): windows of at most SPAN characters of a bounded number of texts for each language."""
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), F.xxhash64("text")))
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").withColumn("nth", order).filter(F.col("nth") <= per_language)
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    if not counts:
+        return rows.select("lang", F.col("text").alias("piece"))
+    # A hash keeps some four times as many texts as are wanted, whatever their number, and of those the first ones stay.
+    place = F.xxhash64("doc_id", F.lit(3))
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * per_language / n))))
+    rows = rows.filter(F.pmod(place, F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     at = [F.floor(F.length("text") * (i / views)).cast("int") + 1 for i in range(views)]
-    pieces = rows.select("lang", F.explode(F.array(*(F.substring("text", a, F.lit(SPAN)) for a in at))).alias("piece"))
+    rows = rows.select("lang", place.alias("place"), F.array(*(F.substring("text", a, F.lit(SPAN)) for a in at)).alias("pieces"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("place", "pieces"))
+    pieces = rows.withColumn("nth", order).filter(F.col("nth") <= per_language).select("lang", F.explode("pieces").alias("piece"))
     return pieces.filter("length(piece) > 0")
 
 

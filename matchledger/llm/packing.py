@@ -23,53 +23,118 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary_path
-from .common import slices, table
+from .common import slices, table, texts
 
 CAPACITY = 1024
 #: Leftovers shorter than this stay in one piece.
 SLOT = 32
-REMEMBERED = 600_000
+#: Units that a worker remembers, twice over.
+REMEMBERED = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Tokens:
-    """Ids of texts as little-endian 32-bit integers. Words met lately are looked up, others go to the
-    tokenizers library."""
+    """Ids of texts by the tokenizers library. A word with the space before it is a unit that the library's pieces never
+    cross, so each different unit of a slice is looked up or encoded once. Texts with other white space than single
+    spaces and line feeds between words go to the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks = regex.compile(r" ?\S+|\s+(?!\S)|\s+").findall  # the pieces of the library never cross these
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.feed = self.whole("\n").tobytes()
         self.known: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in coded]
-
-    def of(self, texts: list[str]) -> Iterator[bytes]:
-        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        apart = dict(zip(whole, self.ids([texts[i] for i in whole]), strict=True))
+        self.older: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> np.ndarray:
+        (coded,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(coded.ids, "<u4")
+
+    def learn(self, new: list[str]) -> None:
+        """Encode units, many in one call with line feeds between them."""
+        (feed,) = np.frombuffer(self.feed, "<u4")
+        for k in range(0, len(new), 1 << 15):
+            part = new[k : k + (1 << 15)]
+            ids = self.whole("\n".join(part))
+            cuts = np.flatnonzero(ids == feed)
+            coded, starts, stops = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+            self.known.update(zip(part, (coded[i:j] for i, j in zip(starts, stops, strict=True)), strict=True))
+
+    def look_up(self, units: list[str]) -> list[bytes]:
         if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        known, split = self.known, []
-        for i, text in enumerate(texts):
-            split.append([] if i in apart else self.chunks(text))
-        new = list({c for chunks in split for c in chunks if c not in known})
-        for k in range(0, len(new), 4096):
-            known.update(zip(new[k : k + 4096], self.ids(new[k : k + 4096]), strict=True))
-        for i, chunks in enumerate(split):
-            yield apart[i] if i in apart else b"".join(map(known.__getitem__, chunks))
+            self.known, self.older = {}, self.known
+        got: list = list(map(self.known.get, units))
+        new = []
+        for i, (u, x) in enumerate(zip(units, got, strict=True)):
+            if x is None:
+                if (old := self.older.get(u)) is not None:
+                    got[i] = self.known[u] = old
+                else:
+                    new.append(i)
+        self.learn([units[i] for i in new])
+        for i in new:
+            got[i] = self.known[units[i]]
+        return got
+
+    def plain(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Which texts have words with one space or line feed between them, and nothing else that needs care."""
+        n = len(data)
+        kind = np.zeros(256, np.uint8)
+        kind[[0x20, 0x0A]] = 1
+        kind[[0x09, 0x0B, 0x0C, 0x0D, 0xE1, 0xE2, 0xE3, *(s[0] for s in self.special)]] = 2  # other white space may follow
+        kind[0xC2] = 4
+        kinds = kind[data]
+        bad = kinds == 2
+        bad[:-1] |= (kinds[:-1] == 1) & (kinds[1:] == 1) | (kinds[:-1] == 4) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
+        out = np.diff(offsets) > 0
+        ends = np.concatenate([offsets[:-1][out], offsets[1:][out] - 1])
+        bad[ends] |= kinds[ends] == 1
+        out[np.unique(np.searchsorted(offsets, np.flatnonzero(bad[:n]), side="right") - 1)] = False
+        return out
+
+    def of(self, column: pa.Array) -> Iterator[bytes]:
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        plain = self.plain(*texts(column))
+        parts = pc.split_pattern(pc.replace_substring(column.filter(pa.array(plain)), "\n", " \n "), " ")
+        first = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        units = parts.flatten().dictionary_encode()
+        index, names = units.indices.to_numpy(), units.dictionary.to_pylist()
+        feed = names.index("\n") if "\n" in names else -1
+        spaced = index != feed
+        spaced[1:] &= spaced[:-1]
+        spaced[first[:-1]] = False
+        key = 2 * index.astype(np.int64) + spaced
+        used = np.flatnonzero(np.bincount(key, minlength=1))
+        place = np.zeros(2 * len(names) + 2, np.int64)
+        place[used] = np.arange(len(used))
+        at = place[key]
+        coded = self.look_up([" " + names[k >> 1] if k & 1 else names[k >> 1] for k in used.tolist() if k >> 1 != feed])
+        if feed >= 0:
+            coded.insert(int(place[2 * feed]), self.feed)
+        sizes = np.array([len(x) // 4 for x in coded], np.int64)
+        ids = np.frombuffer(b"".join(coded), "<u4")
+        begins = np.cumsum(sizes) - sizes
+        counts = sizes[at]
+        after = np.concatenate([[0], np.cumsum(counts)])
+        flat = ids[np.repeat(begins[at] - after[:-1], counts) + np.arange(after[-1])].tobytes()
+        bounds = 4 * after[first]
+        k = 0
+        for i, simple in enumerate(plain.tolist()):
+            if simple:
+                yield flat[bounds[k] : bounds[k + 1]]
+                k += 1
+            else:
+                yield self.whole(column[i].as_py()).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -161,7 +226,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, slo
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
         for batch in slices(batches):
-            ids = own.of([t or "" for t in batch.column("text").to_pylist()])
+            ids = own.of(batch.column("text"))
             for doc, coded in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
                 bins.add(doc, coded + end)
             yield rows()

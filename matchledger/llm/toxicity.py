@@ -7,9 +7,9 @@ offers letters, nothing, or a boundary, each with a channel probability; Viterbi
 probability under channel and language model. Elsewhere a lattice has one path, so such text stays as it is. A stretch
 without white space of more than ``LONGEST`` characters (keys, encoded data) is no word and stays as it is, too.
 
-Scores: for every word and word beginning, texts with each label are counted over all labelled rows that may teach. The
-``LEXICON`` entries that tell most about label 1 become the features of a logistic regression, which is fitted on at most
-``SAMPLE`` labelled texts, chosen by a hash of doc_id. The score is the probability of label 1.
+Scores: at most ``SAMPLE`` labelled texts teach, chosen by a hash of doc_id. For every word and word beginning, those with
+each label are counted; the ``LEXICON`` entries that tell most about label 1 become the features of a logistic regression.
+The score is the probability of label 1.
 
 Null text counts as empty. Rows without label teach nothing; with several labels the largest counts. Rows without
 doc_id are scored and teach nothing. Repeated rows are scored each by itself. Without labels of both kinds every score is
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import slices, table, texts
 
 LEXICON = 2000
-SAMPLE = 20000
+#: Labelled texts that teach, at most.
+SAMPLE = 100_000
 LONGEST = 40
 BEGINNING = 4
 REMEMBERED = 200_000
@@ -241,11 +242,15 @@ def regression(rows: list[list[int]], labels: np.ndarray, size: int, steps: int
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs: doc_id, text and held_out; labels: doc_id and toxic. Labels of held-out rows aren't used."""
+    """docs: doc_id, text and held_out; labels: doc_id and toxic, of rows that may teach. Labels of held-out rows aren't
+    used. The labelled rows are at most SAMPLE, so they go to all tasks, and no text moves."""
     spark = docs.sparkSession
     letters = spark.sparkContext.broadcast(Letters(letter_counts(docs)))
     marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
-    taught = docs.filter("NOT held_out").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marks, "doc_id")
+    place = F.xxhash64("doc_id", F.lit(9))
+    share = min(1.0, 2 * SAMPLE / max(1, marks.count()))  # a hash keeps twice as many as are wanted, if there are more
+    marks = marks.filter(F.pmod(place, F.lit(1 << 30)) < share * (1 << 30)).orderBy(place, "doc_id").limit(SAMPLE)
+    taught = docs.filter("NOT held_out").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marks), "doc_id")
     names, clean, toxic = lexicon(taught, letters)
     index = {e: i for i, e in enumerate(names)}
     known = spark.sparkContext.broadcast(index)
@@ -256,8 +261,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             found = [sorted(own[e] for e in entries(t) if e in own) for t in _restored(batch, letters.value)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("label")], ["hits", "label"])
 
-    few = taught.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(SAMPLE) if clean + toxic > SAMPLE else taught
-    rows = few.select("text", "label").mapInArrow(hits, "hits array<int>, label int").collect()
+    rows = taught.select("text", "label").mapInArrow(hits, "hits array<int>, label int").collect()
     if toxic and clean:
         weight, intercept = regression([r[0] for r in rows], np.array([r[1] for r in rows], np.float64), len(names))
     else:
@@ -279,4 +283,5 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
-    return score(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    return score(docs, labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
