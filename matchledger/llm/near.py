@@ -8,7 +8,10 @@ random sequence of its own visits first (optimal densification). Runs of ``ROWS`
 Texts with equal sets fold into the smallest doc_id first, by a 128-bit fingerprint. In a bucket every member
 is paired with the bucket's smallest only, so a bucket of n gives n - 1 pairs. Pairs are confirmed on full sets.
 Further rounds look at buckets whose members are still in different components: ``CENTRES`` random members become the
-bucket's centres, and members of other components are held against them; rounds end when one finds no link. At a
+bucket's centres, and members of other components are held against them; rounds end when one finds no link. An exact
+join then finishes what is left: the sets of all buckets that still hold several components meet on their rarest
+shingles (prefix and length filters, the exact bound for each pair), parity bitmaps drop pairs that differ too much, and
+the rest is confirmed on full sets. So every similar pair that shares a bucket is found or in one component. At a
 similarity of 0.8 two sets miss all 32 bands with a probability of 5e-8.
 
 Null text counts as empty; a text without words has an empty set and is linked with nothing, as is a row
@@ -33,6 +36,10 @@ BANDS = BINS // ROWS
 THRESHOLD = 0.8
 #: Centres of a bucket in each further round.
 CENTRES = 3
+#: Upper bits of a shingle's hash that name its counter in the order of rarity; any order gives the same pairs.
+SLOT_BITS = 20
+#: Rows of one shingle that meet in one task; of a hot shingle, parts of so many rows meet each other.
+HOT = 1000
 
 
 def shingles(offsets: np.ndarray, data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +126,91 @@ def similar(pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "u long, v long")
 
 
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch in slices(batches):
+        with np.errstate(over="ignore"):
+            bounds, hashes = shingles(*texts(batch.column("text")), shingle)
+        yield batch, [np.unique(hashes[bounds[i] : bounds[i + 1]]) for i in range(batch.num_rows)]
+
+
+def rarity(docs: DataFrame, shingle: int) -> np.ndarray:
+    """How often the shingles of each counter occur: what reaches the driver is one row a counter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for _, sets in _sets(batches, shingle):
+            total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(total[slots])], ["slot", "k"])
+
+    summed = docs.select("text").mapInArrow(run, "slot int, k long").groupBy("slot").agg(F.sum("k").alias("k")).toArrow()
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    out[summed.column("slot").to_numpy()] = summed.column("k").to_numpy()
+    return out
+
+
+def unlike(one: bytes, two: bytes) -> int:
+    """A lower bound of the number of shingles that only one of two sets has, from their parity bitmaps."""
+    a, b = sorted((np.frombuffer(x, np.uint64) for x in (one, two)), key=len)
+    if len(b) > len(a):
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def prefixes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """rep, c and n of each set with its rarest shingles, at their places, and a bitmap of the parity of its shingles. The
+    longer set of a similar pair has a common shingle among these, the shorter one among those marked brief."""
+    order = docs.sparkSession.sparkContext.broadcast(rarity(docs, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _sets(batches, shingle):
+            rows, bits = [], []
+            for own in sets:
+                n = len(own)
+                rare = own[np.lexsort((own, order.value[(own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))]
+                brief = n + (-2 * percent * n) // (100 + percent)
+                rows.append([{"h": h, "place": i, "brief": i <= brief} for i, h in enumerate(rare[: n + (-percent * n) // 100 + 1].view(np.int64).tolist())])
+                wide = max(256, 1 << (2 * n - 1).bit_length())
+                odd = np.bincount((mix64(own) & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1
+                bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+            kind = pa.list_(pa.struct([("h", pa.int64()), ("place", pa.int32()), ("brief", pa.bool_())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "c", "n")), pa.array(rows, kind), pa.array(bits, pa.binary())], ["rep", "c", "n", "rare", "bits"])
+
+    return docs.mapInArrow(run, "rep long, c long, n int, rare array<struct<h long, place int, brief boolean>>, bits binary")
+
+
+def candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of different components whose sizes, rarest shingles and bitmaps allow a similarity of so many percent."""
+    rows = sets.select("rep", "c", "n", F.inline("rare"))
+    of = rows.groupBy("h", "c").agg(F.count("*").alias("k"), F.count_if("brief").alias("b")).groupBy("h")
+    shared = of.agg(F.max_by("c", "k").alias("main"), F.sum("k").alias("k"), F.sum("b").alias("b"), F.count("*").alias("kinds")).filter("kinds > 1 AND b > 0")
+    cut = lambda k: F.ceil(F.col(k) / HOT).cast("int")
+    rows = staged(rows.join(shared.select("h", "main", cut("k").alias("longs"), cut("b").alias("briefs")), "h"), "rare")
+    own = lambda parts: F.pmod(F.xxhash64("rep"), F.col(parts)).cast("int")
+    each = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    main = F.col("c") == F.col("main")
+    # The largest component of a shingle meets the others in a lane of its own, and never itself.
+    one = rows.filter("brief").select("h", main.cast("int").alias("lane"), own("briefs").alias("i"), F.explode(each("longs")).alias("j"), F.struct("rep", "c", "n", "place").alias("x"))
+    two = rows.select("*", F.explode(F.when(main, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("lane"))
+    two = two.select("h", "lane", F.explode(each("briefs")).alias("i"), own("longs").alias("j"), F.struct("rep", "c", "n", "place").alias("y"))
+    fits = (
+        "x.c != y.c AND (x.n < y.n OR x.n = y.n AND x.rep < y.rep) AND 100L * x.n >= {p}L * y.n "
+        "AND least(x.n - x.place, y.n - y.place) >= ({p} * (0L + x.n + y.n) + 99 + {p}) div (100 + {p})"
+    ).format(p=percent)
+    pairs = one.join(two, ["h", "lane", "i", "j"]).filter(fits).select(F.greatest("x.rep", "y.rep").alias("u"), F.least("x.rep", "y.rep").alias("v")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "p"):
+            n, p, q = batch.column("both").to_pylist(), batch.column("p").to_pylist(), batch.column("q").to_pylist()
+            most = [b - 2 * -(-percent * b // (100 + percent)) for b in n]
+            keep = [unlike(a, b) <= m for a, b, m in zip(p, q, most, strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (sets.select(F.col("rep").alias(k), F.col("n").alias(m), F.col("bits").alias(b)) for k, m, b in (("u", "n", "p"), ("v", "m", "q")))
+    sides = pairs.join(left, "u").join(right, "v").select("u", "v", (F.col("n") + F.col("m")).cast("long").alias("both"), "p", "q")
+    return sides.mapInArrow(run, "u long, v long")
+
+
 def groups(docs: DataFrame, shingle: int = 5, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -155,6 +247,13 @@ def groups(docs: DataFrame, shingle: int = 5, threshold: float = THRESHOLD) -> D
         if found.isEmpty():
             break
         links, tested = components(links.union(found)), tested.union(fresh)
+    percent = round(threshold * 100)
+    rest = members.select(F.col("rep").alias("doc_id"), "n", "c").distinct()
+    rest = staged(prefixes(held.join(rest, "doc_id").select(F.col("doc_id").alias("rep"), "c", "n", "text"), shingle, percent), "rest")
+    fresh = staged(candidates(rest, percent).join(tested, ["u", "v"], "left_anti"), "pairs")
+    found = staged(confirmed(fresh), "found")
+    if not found.isEmpty():
+        links = components(links.union(found))
     named = sets.select("k1", "k2", "rep").join(links.select(F.col("u").alias("rep"), F.col("v").alias("c")), "rep", "left").select("k1", "k2", F.coalesce("c", "rep").alias("c"))
     alone = F.col("n_shingles") == 0
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")

@@ -79,6 +79,25 @@ def test_near_groups_against_brute_force(spark):
         assert got == brute_groups(docs, size)
 
 
+def test_near_pairs_hidden_in_large_buckets(spark):
+    """Pairs at 0.82 whose common words are a template's, among 400 texts around it at some 0.67."""
+    r = random.Random(11)
+    docs = []
+
+    def copy(places):
+        docs.append((len(docs), " ".join(f"own{len(docs)}-{k}" if k in places else f"t{k}" for k in range(100))))
+
+    for g in range(380):
+        copy(set(r.sample(range(100), 10)))
+        if g % 19 == 0:
+            copy({k for k in range(100) if f"t{k}" not in docs[-1][1].split()})
+    order = r.sample(docs, len(docs))
+    want = brute_groups(docs, 1)
+    assert sum(c != i for i, (_, c) in want.items()) == 20
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near.groups(spark.createDataFrame(order, "doc_id long, text string").repartition(4), 1).collect()}
+    assert got == want
+
+
 def test_near_odd_rows(spark):
     got = collections.defaultdict(list)
     for x in near.groups(documents(spark)).collect():
