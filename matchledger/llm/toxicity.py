@@ -1,11 +1,12 @@
 """Toxicity (operator 3): noisy-channel restoration of disguised words, then a score of the restored text.
 
 The language model holds trigrams of letters (Latin letters a-z and U+00DF to U+00FF; anything else is a boundary),
-counted over all texts. Three disguises are undone: digits and signs for letters (``LEET``), single letters set apart by
-a space or a sign, and letters repeated three times or more. A disguised stretch becomes a lattice in which each place
+counted over all texts. Three disguises are undone: digits and signs for letters (``LEET``) in words with a letter, three or
+more single letters set apart by spaces or signs, and letters repeated three times or more or signs twice or more. A disguised stretch becomes a lattice in which each place
 offers letters, nothing, or a boundary, each with a channel probability; Viterbi decoding takes the path of the highest
-probability under channel and language model. Elsewhere a lattice has one path, so such text stays as it is. A stretch
-without white space of more than ``LONGEST`` characters (keys, encoded data) is no word and stays as it is, too.
+probability under channel and language model. Elsewhere a lattice has one path, so such text stays as it is. A word
+with digits or signs of more than ``LONGEST`` characters (keys, encoded data), with runs of marks taken as one, is none and
+stays as it is, and so does a longer run of one letter alone. Digits and signs without any letter stay, too.
 
 Scores: at most ``SAMPLE`` labelled texts teach, chosen by a hash of doc_id. For every word and word beginning, those with
 each label are counted; the ``LEXICON`` entries that tell most about label 1 become the features of a logistic regression.
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +45,10 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 NOTHING, NONE = -1, -2
 _CLASS = "a-zß-öø-ÿ"
 _SIGNS = re.escape("".join(LEET))
-_SPACED = re.compile(rf"(?<![{_CLASS}0-9])(?:[{_CLASS}{_SIGNS}][ .*_-]){{3,}}[{_CLASS}{_SIGNS}](?![{_CLASS}0-9])")
+_SPACED = re.compile(rf"(?<![{_CLASS}0-9])(?:[{_CLASS}{_SIGNS}][ .*_-]+){{2,}}[{_CLASS}{_SIGNS}](?![{_CLASS}0-9])")
 _REPEATED = re.compile(rf"[{_CLASS}]*([{_CLASS}])\1\1[{_CLASS}]*")
+_LONGER = re.compile(r"(.)\1{3,}")
+_MARKS = re.compile(r"([*_.\-])[*_.\-]+")
 _EDGES = ".,;:?!\"'()[]{}<>%&*#~-_/\\=|+$"
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -60,7 +64,8 @@ def lattice(stretch: str) -> list[list[tuple[int, float]]]:
             long = run >= 3 or (run == 2 and stretch[i + 1 : i + 2] == c)
             out.append([(own, 0.0)] if not long else [(own, -1.2), (NOTHING, -0.36)] if run == 2 else [(NOTHING, 0.0)])
         elif c in LEET:
-            out.append([(NUMBER[x], -0.1 - 0.7 * (len(LEET[c]) - 1)) for x in LEET[c]] + [(0, -9.0)])
+            again = [] if run == 1 else [(NOTHING, -2.3 if run == 2 else -0.36)]
+            out.append([(NUMBER[x], -0.1 - 0.7 * (len(LEET[c]) - 1)) for x in LEET[c]] + [(0, -9.0)] + again)
         else:
             out.append([(NOTHING, -0.1), (0, -4.0)])
     return out
@@ -112,24 +117,25 @@ class Letters:
         if spaced:
             text = _SPACED.sub(lambda m: self.restored(m[0]), text)
         if repeats:
-            text = _REPEATED.sub(lambda m: self.restored(m[0]) if len(m[0]) <= LONGEST else m[0], text)
-        odd = {w for w in text.split() if not w.isalpha() and len(w) <= LONGEST}
+            # the lattice takes nothing from the fourth of a letter on
+            text = _REPEATED.sub(lambda m: self.restored(_LONGER.sub(r"\1\1\1", m[0])) if len(m[0]) <= LONGEST or len(set(m[0])) > 1 else m[0], text)
+        odd = {w for w in text.split() if not w.isalpha() and (len(w) <= LONGEST or len(_MARKS.sub(r"\1", w)) <= LONGEST)}
         change = {}
         for w in odd:
             core = w.strip(_EDGES) or w
             if core.isalpha():
                 core = w.rstrip(".,;:?!\"'").lstrip("\"'(")  # a sign at an edge may be a letter
-                if core.isalpha() or not any(c in LEET for c in (core[:1], core[-1:])) or core[:2] == core[:1] * 2 or len(core) > 2 and core[-3:] == core[-1:] * 3:
+                if core.isalpha() or not any(c in LEET for c in (core[:1], core[-1:])) or core[0] != "$" and core[:2] == core[:1] * 2 or core[-1] != "$" and len(core) > 2 and core[-3:] == core[-1:] * 3:
                     continue
-            if sum(c in NUMBER for c in core) >= 2 and any(c in LEET for c in core) and all(c in NUMBER or c in LEET or c in "*_-." for c in core):
-                change[w] = self.restored(core)
+            if len(core) >= 3 and any(c in NUMBER for c in core) and any(c in LEET for c in core) and all(c in NUMBER or c in LEET or c in "*_-." for c in core):
+                change[w] = self.restored(core if len(w) <= LONGEST else _MARKS.sub(r"\1", core))
         if change:
             text = " ".join(change.get(w, w) for w in text.split())
         return text
 
 
 def hints(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which texts may hold a letter three times in a row, and which four spaced single letters."""
+    """Which lower-case texts may hold a letter three times in a row, and which three spaced single letters."""
     n = len(offsets) - 1
     repeats, spaced = np.zeros(n, bool), np.zeros(n, bool)
     if len(data) < 3:
@@ -139,14 +145,23 @@ def hints(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     wide = data[2:] == data[:-2]
     two = np.flatnonzero(wide[:-2] & wide[2:] & (data[:-4] >= 0xC3) & (data[:-4] < 0xE0)) if len(data) > 4 else at[:0]
     repeats[np.searchsorted(offsets, np.concatenate([at, two]), side="right") - 1] = True
-    if len(data) >= 7:
-        gap = np.zeros(256, bool)
-        gap[[32, 42, 45, 46, 95]] = True
-        gaps = gap[data]
-        four = gaps[1:-5] & gaps[3:-3] & gaps[5:-1] & ~gaps[:-6] & ~gaps[2:-4] & ~gaps[4:-2]
+    gap, plain = np.zeros(256, bool), np.zeros(256, bool)
+    gap[[32, 42, 45, 46, 95]] = True
+    plain[[*range(48, 58), *range(97, 123)]] = True
+    gaps = gap[data]
+    first = np.ones(len(data), bool)
+    first[1:] = ~(gaps[1:] & gaps[:-1])
+    place = np.flatnonzero(first)  # gaps in a row count as one
+    if len(place) >= 5:
+        gaps = gaps[place]
+        alnum = plain[data[place]]
+        starts = np.isin(place, offsets)
+        before = np.append(True, ~alnum[:-1]) | starts  # no letter or digit of the same text stands before
+        after = np.append(~alnum[1:] | starts[1:], True)
+        three = gaps[1:-3] & gaps[3:-1] & ~gaps[:-4] & ~gaps[2:-2] & ~gaps[4:] & before[:-4] & after[4:]
         # letters of two bytes make the gaps wider: look at any two gaps close together
-        loose = gaps[:-3] & gaps[3:] & ~gaps[1:-2] & ~gaps[2:-1] & (data[1:-2] >= 0xC3)
-        at = np.concatenate([np.flatnonzero(four), np.flatnonzero(loose)])
+        loose = gaps[:-3] & gaps[3:] & ~gaps[1:-2] & ~gaps[2:-1] & (data[place][1:-2] >= 0xC3)
+        at = place[np.concatenate([np.flatnonzero(three), np.flatnonzero(loose)])]
         spaced[np.searchsorted(offsets, at, side="right") - 1] = True
     return repeats, spaced
 
@@ -184,7 +199,7 @@ def entries(text: str) -> set[str]:
 
 def _restored(batch: pa.RecordBatch, letters: Letters) -> Iterator[str]:
     rows = batch.column("text").to_pylist()
-    for text, repeats, spaced in zip(rows, *hints(*texts(batch.column("text"))), strict=True):
+    for text, repeats, spaced in zip(rows, *hints(*texts(pc.utf8_lower(batch.column("text")))), strict=True):
         yield letters.restore((text or "").lower(), repeats, spaced)
 
 

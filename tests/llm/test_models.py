@@ -4,6 +4,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from matchledger.llm import hmm, langid, toxicity
@@ -152,6 +153,21 @@ def test_restoration(spark):
     assert restored(letters, "x" * 50 + "1y") == "x" * 50 + "1y"
 
 
+def test_restoration_behind_the_hints(spark):
+    text = "the idiot and the moron are pathetic and worthless and stupid scum of the ass or shit and the looser trash " * 5
+    letters = toxicity.Letters(toxicity.letter_counts(spark.createDataFrame([(text,)], "text string")))
+    cases = {
+        "StUuUpId": "stupid", "IDiIiOT": "idiot",  # repeats in mixed case
+        "st" + "u" * 60 + "pid": "stupid", "st" + "*" * 50 + "up1d": "stupid",  # beyond the longest word
+        "an 1d107": "an idiot", "5h17": "shit", "a55": "ass",  # one plain letter
+        "an a s s": "an ass", "p..a..t..h..e..t..i..c man": "pathetic man",  # three letters, doubled marks
+        "$$$tupid": "stupid", "a$$": "ass", "m000ron": "moron",  # signs in a row
+        "2024 was 100 % fine": "2024 was 100 % fine",
+    }
+    batch = pa.RecordBatch.from_pydict({"text": [*cases, None]})
+    assert dict(zip(cases, toxicity._restored(batch, letters))) == cases
+
+
 def test_toxicity(spark):
     data = [(i, f"some quiet words number {i} " + (("an idiot" if i % 8 else "a moron") if i % 4 == 0 else "my friend dear")) for i in range(200)]
     data += [(500, "such an 1d10t"), (501, ""), (502, None), (503, "my dear friend"), (None, "no id, idiot")]
