@@ -39,6 +39,31 @@ def phrase_hits(texts: DataFrame, key: str, text: str, phrases: DataFrame, phras
     return left.join(right, "_run").select(key, phrase_key).distinct()
 
 
+def whole_phrases(texts: DataFrame, key: str, text: str, phrases: DataFrame, phrase_key: str, phrase: str) -> DataFrame:
+    """Texts that hold all words of a phrase in a row, whatever their number. Both sides meet on the phrase's word that is
+    in the fewest texts, and the whole phrase confirms them."""
+    padded = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    held = texts.select(F.col(key).alias("_k"), words(F.col(text)).alias("_w"))
+    each = held.select("_k", F.explode(F.array_distinct("_w")).alias("_word"))
+    asked = phrases.select(F.col(phrase_key).alias("_p"), words(F.col(phrase)).alias("_w")).select("_p", padded("_w").alias("_form"), F.explode(F.array_distinct("_w")).alias("_word"))
+    counts = each.join(asked.select("_word").distinct(), "_word", "left_semi").groupBy("_word").agg(F.count("*").alias("_n"))
+    anchors = asked.join(counts, "_word").groupBy("_p", "_form").agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"))
+    found = each.join(anchors, "_word").select(F.col("_k").alias("_at"), "_p", "_form")
+    rows = found.join(held, F.col("_at").eqNullSafe(F.col("_k"))).filter(F.contains(padded("_w"), F.col("_form")))
+    return rows.select(F.col("_k").alias(key), F.col("_p").alias(phrase_key)).distinct()
+
+
+def shared_runs(texts: DataFrame, key: str, text: str, phrases: DataFrame, phrase_key: str, phrase: str, size: int) -> DataFrame:
+    """How many distinct runs of ``size`` words of a passage a text holds, wherever in the passage they stand."""
+
+    def runs(df: DataFrame, k: str, t: str) -> DataFrame:
+        w = F.col("_w")
+        own = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+        return df.select(k, words(F.col(t)).alias("_w")).filter(F.size("_w") >= size).select(k, F.explode(F.array_distinct(own)).alias("_run")).distinct()
+
+    return runs(texts, key, text).join(runs(phrases, phrase_key, phrase), "_run").groupBy(key, phrase_key).agg(F.count("*").alias("runs"))
+
+
 def line_windows(df: DataFrame, key: str, text: str) -> DataFrame:
     """Each line with the next one, two lines in a row of the same text."""
     lines = df.select(key, F.split(text, "\n").alias("_l")).filter(F.size("_l") >= 2)

@@ -295,6 +295,17 @@ b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\
 SELECT doc_id, item_id FROM b JOIN d ON contains(t, ' ' || array_to_string(w[1:8], ' ') || ' ') WHERE len(w) >= 8"""
 
 
+def whole_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.whole_phrases(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+WHOLE_SQL = PHRASE_SQL.replace("w[1:8]", "w").replace("len(w) >= 8", "len(w) >= 1")
+
+
+def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.shared_runs(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", 8)
+
+
 def two_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.line_windows(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "line", F.sha2("window", 256).alias("window_sha256"))
 
@@ -528,6 +539,8 @@ DEFINED = {
     "inverted_index": (inverted_index, INDEX_SQL),
     "ranked_search": (ranked_search, RANKED_SQL),
     "phrase_dictionary_hits": (phrase_hits, PHRASE_SQL),
+    "whole_phrase_hits": (whole_phrases, WHOLE_SQL),
+    "passage_containment": (containment, None),
     "two_line_windows": (two_line_windows, TWO_SQL),
     "genre_class": (genre_class, GENRE_SQL),
     "score_like_pairs": (score_like_pairs, None),
