@@ -1,13 +1,13 @@
 """Harmonic packing of token sequences (operator 2).
 
 Lengths fall into classes by reciprocal capacity: a class with count k takes lengths in (C/(k+1), C/k], and each
-of its bins holds exactly k of them, so that no bin needs a search. Each worker fills the bins of all classes by
+of its bins gets exactly k documents, so that no bin needs a search. Each worker fills the bins of all classes by
 itself, in one pass without a shuffle.
 
-Documents may be cut. Whole capacities go first, then slots of C/2, C/4, ... down to ``slot`` (classes that waste
-nothing), and what is left below ``slot`` stays in one piece and goes to the class of its length. At its end a
-worker cuts the pieces of its bins that aren't full into powers of two and lays them in falling order, which
-leaves at most log2(C) sequences shorter than C, each as long as a power of two.
+Documents may be cut. Whole capacities go first, and the rest of a document, shorter than C, stays in one piece in a bin of
+its class. k pieces leave at most C/(k+1) of a bin free; the start of the next document fills that, so that full bins hold
+no padding. At its end a worker cuts the pieces of its bins that aren't full into powers of two and lays them in falling
+order, which leaves at most log2(C) sequences shorter than C, each as long as a power of two.
 
 A null or empty text is one piece with the end id alone. Rows with equal ids are separate documents; a null
 doc_id stays null; columns other than doc_id and text are ignored; an empty table gives no rows.
@@ -15,6 +15,7 @@ doc_id stays null; columns other than doc_id and text are ignored; an empty tabl
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import defaultdict
@@ -23,118 +24,52 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import vocabulary_path
-from .common import slices, table, texts
+from .bpe import byte_letters, vocabulary_path
+from .common import slices, table
 
 CAPACITY = 1024
-#: Leftovers shorter than this stay in one piece.
-SLOT = 32
-#: Units that a worker remembers, twice over.
-REMEMBERED = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Tokens:
-    """Ids of texts by the tokenizers library. A word with the space before it is a unit that the library's pieces never
-    cross, so each different unit of a slice is looked up or encoded once. Texts with other white space than single
-    spaces and line feeds between words go to the library whole."""
+    """Ids of texts, equal to those of the tokenizers library. Where the vocabulary of a byte-level file numbers its tokens in
+    the order of their merges, they serve as ranks for tiktoken, which merges faster; other files, and a text that it
+    fails on, go to the tokenizers library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.feed = self.whole("\n").tobytes()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.ranked = None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, letters = spec["model"]["vocab"], byte_letters()
+        made = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if spec["pre_tokenizer"]["type"] == "ByteLevel" and made == list(range(256, 256 + len(made))):
+            ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in special}
+            self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def whole(self, text: str) -> np.ndarray:
         (coded,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(coded.ids, "<u4")
 
-    def learn(self, new: list[str]) -> None:
-        """Encode units, many in one call with line feeds between them."""
-        (feed,) = np.frombuffer(self.feed, "<u4")
-        for k in range(0, len(new), 1 << 15):
-            part = new[k : k + (1 << 15)]
-            ids = self.whole("\n".join(part))
-            cuts = np.flatnonzero(ids == feed)
-            coded, starts, stops = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
-            self.known.update(zip(part, (coded[i:j] for i, j in zip(starts, stops, strict=True)), strict=True))
-
-    def look_up(self, units: list[str]) -> list[bytes]:
-        if len(self.known) >= REMEMBERED:
-            self.known, self.older = {}, self.known
-        got: list = list(map(self.known.get, units))
-        new = []
-        for i, (u, x) in enumerate(zip(units, got, strict=True)):
-            if x is None:
-                if (old := self.older.get(u)) is not None:
-                    got[i] = self.known[u] = old
-                else:
-                    new.append(i)
-        self.learn([units[i] for i in new])
-        for i in new:
-            got[i] = self.known[units[i]]
-        return got
-
-    def plain(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """Which texts have words with one space or line feed between them, and nothing else that needs care."""
-        n = len(data)
-        kind = np.zeros(256, np.uint8)
-        kind[[0x20, 0x0A]] = 1
-        kind[[0x09, 0x0B, 0x0C, 0x0D, 0xE1, 0xE2, 0xE3, *(s[0] for s in self.special)]] = 2  # other white space may follow
-        kind[0xC2] = 4
-        kinds = kind[data]
-        bad = kinds == 2
-        bad[:-1] |= (kinds[:-1] == 1) & (kinds[1:] == 1) | (kinds[:-1] == 4) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
-        out = np.diff(offsets) > 0
-        ends = np.concatenate([offsets[:-1][out], offsets[1:][out] - 1])
-        bad[ends] |= kinds[ends] == 1
-        out[np.unique(np.searchsorted(offsets, np.flatnonzero(bad[:n]), side="right") - 1)] = False
-        return out
-
-    def of(self, column: pa.Array) -> Iterator[bytes]:
-        column = pc.fill_null(column.cast(pa.large_string()), "")
-        plain = self.plain(*texts(column))
-        parts = pc.split_pattern(pc.replace_substring(column.filter(pa.array(plain)), "\n", " \n "), " ")
-        first = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-        units = parts.flatten().dictionary_encode()
-        index, names = units.indices.to_numpy(), units.dictionary.to_pylist()
-        feed = names.index("\n") if "\n" in names else -1
-        spaced = index != feed
-        spaced[1:] &= spaced[:-1]
-        spaced[first[:-1]] = False
-        key = 2 * index.astype(np.int64) + spaced
-        used = np.flatnonzero(np.bincount(key, minlength=1))
-        place = np.zeros(2 * len(names) + 2, np.int64)
-        place[used] = np.arange(len(used))
-        at = place[key]
-        coded = self.look_up([" " + names[k >> 1] if k & 1 else names[k >> 1] for k in used.tolist() if k >> 1 != feed])
-        if feed >= 0:
-            coded.insert(int(place[2 * feed]), self.feed)
-        sizes = np.array([len(x) // 4 for x in coded], np.int64)
-        ids = np.frombuffer(b"".join(coded), "<u4")
-        begins = np.cumsum(sizes) - sizes
-        counts = sizes[at]
-        after = np.concatenate([[0], np.cumsum(counts)])
-        flat = ids[np.repeat(begins[at] - after[:-1], counts) + np.arange(after[-1])].tobytes()
-        bounds = 4 * after[first]
-        k = 0
-        for i, simple in enumerate(plain.tolist()):
-            if simple:
-                yield flat[bounds[k] : bounds[k + 1]]
-                k += 1
-            else:
-                yield self.whole(column[i].as_py()).tobytes()
+    def of(self, text: str) -> np.ndarray:
+        if self.ranked is None:
+            return self.whole(text)
+        try:
+            return self.ranked.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+        except (ValueError, RuntimeError):
+            return self.whole(text)
 
 
 @lru_cache(maxsize=2)
@@ -145,9 +80,11 @@ def tokens(path: str) -> Tokens:
 class Bins:
     """The open bins of one worker. A piece is (document, start, length, ids, document's length)."""
 
-    def __init__(self, capacity: int, slot: int, first_id: int):
-        self.capacity, self.slot, self.next_id = capacity, slot, first_id
+    def __init__(self, capacity: int, first_id: int):
+        self.capacity, self.next_id = capacity, first_id
         self.open: dict[int, list[tuple]] = defaultdict(list)
+        self.waiting: list[tuple] = []  # a bin with all its documents, and room for the start of another one
+        self.room = 0
         self.done: list[tuple] = []
 
     def close(self, pieces: list[tuple]) -> None:
@@ -158,31 +95,39 @@ class Bins:
         self.next_id += 1
 
     def put(self, piece: tuple) -> None:
+        """Lay a piece shorter than the capacity into its class."""
         k = self.capacity // piece[2]
         bin_ = self.open[k]
         bin_.append(piece)
         if len(bin_) == k:
-            self.close(bin_)
-            self.open[k] = []
+            del self.open[k]
+            room = self.capacity - sum(p[2] for p in bin_)
+            if room:
+                self.waiting, self.room = bin_, room
+            else:
+                self.close(bin_)
 
-    def add(self, doc, ids: bytes, start: int = 0, total: int | None = None, slot: int | None = None) -> None:
+    def add(self, doc, ids: bytes) -> None:
         """Cut a document and lay down its pieces."""
-        slot = slot or self.slot
-        stop = start + len(ids) // 4
-        total = stop if total is None else total
-        at, size = start, self.capacity
-        while at < stop:
-            left = stop - at
-            while size > left and size > slot:
-                size //= 2
-            n = left if left < slot or size > left else size
-            self.put((doc, at, n, ids[4 * (at - start) : 4 * (at - start + n)], total))
-            at += n
+        total = len(ids) // 4
+        at = min(self.room, total)
+        if at:
+            self.waiting.append((doc, 0, at, ids[: 4 * at], total))
+            self.room -= at
+            if not self.room:
+                self.close(self.waiting)
+                self.waiting = []
+        while total - at >= self.capacity:
+            self.close([(doc, at, self.capacity, ids[4 * at : 4 * (at + self.capacity)], total)])
+            at += self.capacity
+        if at < total:
+            self.put((doc, at, total - at, ids[4 * at :], total))
 
     def finish(self) -> None:
         """Empty the open bins without padding."""
-        left = [p for pieces in self.open.values() for p in pieces]
+        left = [p for pieces in (*self.open.values(), self.waiting) for p in pieces]
         self.open.clear()
+        self.waiting, self.room = [], 0
         parts = []
         for doc, start, length, ids, total in left:
             at = 0
@@ -208,27 +153,26 @@ class Bins:
         return done
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, slot: int = SLOT, end_id: int = 0) -> DataFrame:
-    """One row per piece (see PIECES). capacity and slot are powers of two; sequence ids are unique, and carry
-    the number of the task that filled the sequence in their upper bits."""
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+    """One row per piece (see PIECES). capacity is a power of two; sequence ids are unique, and carry the number of the
+    task that filled the sequence in their upper bits."""
     path = path or vocabulary_path()
-    if capacity & (capacity - 1) or slot & (slot - 1) or not 0 < slot <= capacity:
-        raise ValueError("capacity and slot must be powers of two")
+    if capacity < 1 or capacity & (capacity - 1):
+        raise ValueError("capacity must be a power of two")
     names = [c.split()[0] for c in PIECES.split(", ")]
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokens(path)
-        bins = Bins(capacity, slot, TaskContext.get().partitionId() << 36)
+        bins = Bins(capacity, TaskContext.get().partitionId() << 36)
 
         def rows() -> pa.RecordBatch:
             columns = list(zip(*bins.take(), strict=True)) or [[]] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
         for batch in slices(batches):
-            ids = own.of(batch.column("text"))
-            for doc, coded in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
-                bins.add(doc, coded + end)
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                bins.add(doc, own.of(text or "").tobytes() + end)
             yield rows()
         bins.finish()
         yield rows()
