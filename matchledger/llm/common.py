@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles at once (one longer document still goes whole).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -93,21 +93,22 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_KEPT_POWERS = SLICE_BYTES + 1
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n at least."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        with np.errstate(over="ignore"):
-            up = np.full(size, _BASE, np.uint64)
-            up[0] = 1
-            down = np.full(size, _INVERSE, np.uint64)
-            down[0] = 1
-            _powers[size] = np.cumprod(up), np.cumprod(down)
-    return _powers[size]
+    """B**i and B**-i modulo 2**64 for i < n at least. A worker keeps those of one slice; a longer text's go with it."""
+    if n <= _KEPT_POWERS and _powers:
+        return _powers[0]
+    size = max(n, _KEPT_POWERS)
+    with np.errstate(over="ignore"):
+        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
+        up[0] = down[0] = 1
+        out = np.cumprod(up, out=up), np.cumprod(down, out=down)
+    if size == _KEPT_POWERS:
+        _powers.append(out)
+    return out
 
 
 def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
