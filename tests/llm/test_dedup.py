@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from matchledger.llm import graphs, lines, near, suffixes
@@ -141,18 +142,77 @@ def test_suffixes_against_brute_force(spark):
         assert got == brute_strings(docs, length)
 
 
-def test_longest_previous_matches_definition():
-    import numpy as np
+def brute_factors(texts, length, grouped):
+    """Longest match of each start with an earlier one, by comparing all pairs."""
+    places = [(i, p) for i, t in enumerate(texts) for p in range(len(t) - length + 1)]
+    out = []
+    for k, (i, p) in enumerate(places):
+        best = 0
+        for j, q in places[:k]:
+            if not grouped or i == j:
+                n = 0
+                while p + n < len(texts[i]) and q + n < len(texts[j]) and texts[i][p + n] == texts[j][q + n]:
+                    n += 1
+                best = max(best, n)
+        out.append(best)
+    return out
+
 
+def test_previous_factors_match_definition():
     r = random.Random(5)
-    data = bytes(r.choice(b"ab") for _ in range(400))
-    for length in (9, 12, 100):
-        starts = np.arange(len(data) - length + 1)
-        got = suffixes.longest_previous(np.frombuffer(data, np.uint8), starts, length)
-        seen = set()
-        for p in starts:
-            assert got[p] == (data[p : p + length] in seen)
-            seen.add(data[p : p + length])
+    texts = [bytes(r.choice(b"ab") for _ in range(r.randrange(1, 60))) for _ in range(6)] + [b"ab" * 30, b"a" * 40, b"\0" * 20, b"x", b"ab" * 30, b"abcdefg" * 5]
+    data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    for length in (1, 5, 12):
+        for group in (None, np.arange(len(texts))):
+            starts, got = suffixes.previous_factors(data, bounds, length, group)
+            assert starts.tolist() == [bounds[i] + p for i, t in enumerate(texts) for p in range(len(t) - length + 1)]
+            assert got.tolist() == brute_factors(texts, length, group is not None)
+
+
+def test_nearest_smaller():
+    r = random.Random(2)
+    for values in ([], [3], r.sample(range(500), 500), [*range(1, 300), 0], [*range(300, 0, -1)], [5, 4, *range(10, 200), 3, *range(300, 400), 2]):
+        want = [max((j for j in range(i) if values[j] < v), default=-1) for i, v in enumerate(values)]
+        assert suffixes.nearest_smaller(np.array(values, np.int64)).tolist() == want
+
+
+def by_place(docs):
+    """Documents in the operator's order, told apart by id and text, for brute_strings."""
+    distinct = {(i, t or "") for i, t in docs}
+    hashed = {x: h for x, h in zip(distinct, suffix_ties([t for _, t in distinct]), strict=True)}
+    return sorted(distinct, key=lambda x: (x[0] is not None, x[0] or 0, hashed[x], len(x[1].encode())))
+
+
+def suffix_ties(texts):
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", F.xxhash64("t").alias("h")).collect()
+    return [h for _, h in sorted((x["k"], x["h"]) for x in rows)]
+
+
+def test_suffixes_without_or_with_repeated_ids(spark):
+    r = random.Random(12)
+    shared = ["".join(r.choice("abcdefgh ") for _ in range(160)) for _ in range(6)]
+    docs = []
+    for k in range(2000):
+        own = "".join(r.choice("abcdefgh ") for _ in range(r.choice([0, 3, 40, 150])))
+        text = own + r.choice(shared)[r.randrange(20) :] + own[:30] if k % 9 == 0 else own
+        docs.append((None if k % 3 else r.randrange(100), text))
+    order = by_place(docs)
+    got = {(x["doc_id"], x["n_bytes"], x["kept"].decode()) for x in suffixes.dedup_strings(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).select("doc_id", "n_bytes", "kept").collect()}
+    want = brute_strings([(k, t) for k, (_, t) in enumerate(order)], suffixes.LENGTH)
+    expected = {(i, want[k][0], want[k][3]) for k, (i, _) in enumerate(order)}
+    assert {(i, n, hashlib.sha256(t.encode()).hexdigest()) for i, n, t in got} == expected
+
+
+def test_periodic_texts_and_segments_of_long_ones(spark):
+    r = random.Random(8)
+    part = ["".join(r.choice("abcdefghijklmnop ") for _ in range(1 << 18)) for _ in range(3)]  # segments end every 2**19
+    docs = [(1, "ab" * 900 + "z" + "ab" * 70), (2, "b" + "ab" * 300), (3, "abc" * 700), (4, "x" * 120), (5, ("k" * 40 + "12 ") * 30), (6, "".join(f"{i % 13}-{'q' * 35}" for i in range(60)))]
+    docs += [(7, part[0][:-50] + part[1] + part[0][:999] + part[2]), (8, part[0][-400:] + part[1][:400])]
+    got = {x["doc_id"]: tuple(x)[1:] for x in suffixes.dedup_strings(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()}
+    assert got == brute_strings(docs, suffixes.LENGTH)
 
 
 def test_suffixes_odd_rows(spark):
