@@ -38,6 +38,18 @@ def test_top_k_edges(spark):
     assert {tuple(x) for x in few} == {(0, 1, 1, 256 * 512), (0, 2, 2, 0)}
 
 
+def test_top_k_large_components(spark):
+    vectors = [(i, [float(x) for x in v]) for i, v in enumerate([[1, 3], [2_000_000, -1], [3, 2], [2.0**45, 0.5], [-(2.0**60), 7], [1e300, 1e-300], [0.001, -0.001], [2.0**52, 2.0**52]])]
+    got = {tuple(x) for x in topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("vec_id") >= 0, block=2, shard=3).collect()}
+    exact = {i: [x * 256 // 1 if abs(x) < 2**40 else int(x) * 256 for x in v] for i, v in vectors}
+    long = lambda x: max(-(2**63) + 1, min(2**63 - 1, int(x)))
+    want = set()
+    for q in exact:
+        found = sorted((-long(sum(int(a) * int(b) for a, b in zip(exact[q], exact[c]))), c) for c in exact if c != q)[:5]
+        want |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(found)}
+    assert got == want
+
+
 def test_pruning_skips_blocks_and_stays_exact():
     ids = np.arange(64)
     rows_ = np.zeros((64, 2), np.int64)
@@ -45,6 +57,10 @@ def test_pruning_skips_blocks_and_stays_exact():
     blocks = [(ids[i : i + 8], rows_[i : i + 8], rows_[i : i + 8].max(0), rows_[i : i + 8].min(0)) for i in range(0, 64, 8)]
     who, score = topk.search(np.array([63]), np.array([[1, 0]]), blocks, 3)
     assert who.tolist() == [[62, 61, 60]] and score.tolist() == [[62, 61, 60]]
+    seen = []
+    topk.search(np.array([63]), np.array([[1, 0]]), blocks, 3, seen=seen)
+    topk.search(np.array([99]), np.array([[1, 0]]), blocks, 3, np.array([62]), seen)
+    assert seen == [(1, 8), (1, 8)]
 
 
 def test_payloads_survive():
@@ -57,6 +73,17 @@ def test_payloads_survive():
     assert jpeg.payload_of(jpeg.Picture(jpeg.payload_file(bytes([255]) * 2000))) == bytes([255]) * 2000
 
 
+def test_pictures_grow_wider_before_they_grow_too_high():
+    n = 4 * 378 * 70
+    for limit in (20, 4095):
+        old, jpeg.DOWN = jpeg.DOWN, limit
+        try:
+            picture = jpeg.Picture(jpeg.payload_file(bytes(n)))
+        finally:
+            jpeg.DOWN = old
+        assert jpeg.payload_of(picture) == bytes(n) and picture.height <= 16 * limit
+
+
 def photo(spark, pixels, progressive=True):
     """A JPEG from the JVM's own encoder, and its decoder's pixels."""
     jvm = spark._jvm
