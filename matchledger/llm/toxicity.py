@@ -9,12 +9,13 @@ with digits or signs of more than ``LONGEST`` characters (keys, encoded data), w
 stays as it is, and so does a longer run of one letter alone. Digits and signs without any letter stay, too.
 
 Scores: at most ``SAMPLE`` labelled texts teach, chosen by a hash of doc_id. For every word and word beginning, those with
-each label are counted; the ``LEXICON`` entries that tell most about label 1 become the features of a logistic regression.
-The score is the probability of label 1.
+each label are counted; of those at least twice as frequent under label 1, the ``LEXICON`` that tell most about it become the features of a logistic regression,
+with a value that grows with the number n of texts of label 1 that hold them, n / (n + ``SHRINK``): what few texts hold
+tells little, but no number is too small to learn from. The score is the probability of label 1.
 
 Null text counts as empty. Rows without label teach nothing; with several labels the largest counts. Rows without
-doc_id are scored and teach nothing. Repeated rows are scored each by itself. Without labels of both kinds every score is
-their share, or 0. Other columns are ignored; an empty table gives no rows.
+doc_id are scored and teach nothing; of rows that repeat a doc_id the first text in binary order teaches. Repeated rows are
+scored each by itself. Without labels of both kinds every score is their share, or 0. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts
+from .common import slices, staged, table, texts
 
 LEXICON = 2000
+SHRINK = 3.0
 #: Labelled texts that teach, at most.
 SAMPLE = 100_000
 LONGEST = 40
@@ -107,9 +109,11 @@ class Letters:
     def restored(self, stretch: str) -> str:
         found = self.known.get(stretch)
         if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.known[stretch] = self.decode(stretch)
+            found = self.decode(stretch)
+            if len(stretch) <= 2 * LONGEST:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[stretch] = found
         return found
 
     def restore(self, text: str, repeats: bool, spaced: bool) -> str:
@@ -203,8 +207,9 @@ def _restored(batch: pa.RecordBatch, letters: Letters) -> Iterator[str]:
         yield letters.restore((text or "").lower(), repeats, spaced)
 
 
-def lexicon(labelled: DataFrame, letters, size: int = LEXICON) -> tuple[list[str], int, int]:
-    """The entries that tell most about label 1, from all labelled texts, and how many texts have each label."""
+def lexicon(labelled: DataFrame, letters, size: int = LEXICON) -> tuple[dict[str, float], int, int]:
+    """The entries that tell most about label 1, from all labelled texts, with the value of each, and how many texts have each
+    label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -227,38 +232,38 @@ def lexicon(labelled: DataFrame, letters, size: int = LEXICON) -> tuple[list[str
     summed = labelled.select("text", "label").mapInArrow(run, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     share = F.col("toxic") / max(toxic, 1)
     gain = F.log((F.col("toxic") + 0.5) / (F.col("clean") * (toxic / max(clean, 1)) + 0.5))
-    best = summed.filter((F.col("toxic") >= 5) & (gain > 1)).orderBy(F.desc(share * gain), "entry").limit(size)
-    return [r[0] for r in best.select("entry").collect()], clean, toxic
+    best = summed.filter((F.col("toxic") > 0) & (gain > float(np.log(2)))).orderBy(F.desc(share * gain), "entry").limit(size)
+    return {r["entry"]: r["toxic"] / (r["toxic"] + SHRINK) for r in best.select("entry", "toxic").collect()}, clean, toxic
 
 
-def regression(rows: list[list[int]], labels: np.ndarray, size: int, steps: int = 600, ridge: float = 3e-5) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression on sets of features, by accelerated gradient steps."""
-    counts = np.array([len(r) for r in rows])
-    column = np.fromiter((i for r in rows for i in r), np.int64, counts.sum())
-    row = np.repeat(np.arange(len(rows)), counts)
-    weight, n = np.zeros(size), len(rows)
+def regression(column: np.ndarray, counts: np.ndarray, labels: np.ndarray, values: np.ndarray, steps: int = 600, ridge: float = 3e-5) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression by accelerated gradient steps. Text i has the next counts[i] features of
+    column, with their values."""
+    size, n = len(values), len(counts)
+    value, weight = values[column], np.zeros(size)
+    row = np.repeat(np.arange(n), counts)
     intercept = float(np.log((labels.sum() + 0.5) / (n - labels.sum() + 0.5)))
     ahead, lead, steep = (weight.copy(), intercept), np.ones(size + 1), 1.0
     for _ in range(30):  # the largest curvature, by power iteration
-        z = lead[-1] + np.bincount(row, lead[:-1][column], n)
-        lead = np.append(np.bincount(column, z[row], size), z.sum()) / n
+        z = lead[-1] + np.bincount(row, value * lead[:-1][column], n)
+        lead = np.append(np.bincount(column, value * z[row], size), z.sum()) / n
         steep = float(np.linalg.norm(lead)) or 1.0
         lead /= steep
     rate = 3.5 / steep
     for step in range(steps):
-        z = ahead[1] + np.bincount(row, ahead[0][column], n)
+        z = ahead[1] + np.bincount(row, value * ahead[0][column], n)
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
-        g = np.bincount(column, error[row], size) + ridge * ahead[0]
+        g = np.bincount(column, value * error[row], size) + ridge * ahead[0]
         new, base = ahead[0] - rate * g, ahead[1] - rate * error.sum()
         speed = step / (step + 3)
         ahead = new + speed * (new - weight), base + speed * (base - intercept)
         weight, intercept = new, base
-    return weight, intercept
+    return weight * values, intercept
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs: doc_id, text and held_out; labels: doc_id and toxic, of rows that may teach. Labels of held-out rows aren't
-    used. The labelled rows are at most SAMPLE, so they go to all tasks, and no text moves."""
+    used. The labels that teach are at most SAMPLE, so they go to all tasks, and only the texts they belong to are staged."""
     spark = docs.sparkSession
     letters = spark.sparkContext.broadcast(Letters(letter_counts(docs)))
     marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
@@ -266,8 +271,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share = min(1.0, 2 * SAMPLE / max(1, marks.count()))  # a hash keeps twice as many as are wanted, if there are more
     marks = marks.filter(F.pmod(place, F.lit(1 << 30)) < share * (1 << 30)).orderBy(place, "doc_id").limit(SAMPLE)
     taught = docs.filter("NOT held_out").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marks), "doc_id")
-    names, clean, toxic = lexicon(taught, letters)
-    index = {e: i for i, e in enumerate(names)}
+    taught = staged(taught.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "taught")
+    values, clean, toxic = lexicon(taught, letters)
+    index = {e: i for i, e in enumerate(values)}
     known = spark.sparkContext.broadcast(index)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,11 +282,13 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             found = [sorted(own[e] for e in entries(t) if e in own) for t in _restored(batch, letters.value)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("label")], ["hits", "label"])
 
-    rows = taught.select("text", "label").mapInArrow(hits, "hits array<int>, label int").collect()
     if toxic and clean:
-        weight, intercept = regression([r[0] for r in rows], np.array([r[1] for r in rows], np.float64), len(names))
+        rows = taught.select("text", "label").mapInArrow(hits, "hits array<int>, label int").toArrow().combine_chunks()
+        found, labels01 = rows.column("hits").combine_chunks(), rows.column("label").to_numpy().astype(np.float64)
+        counts = pc.list_value_length(found).to_numpy(zero_copy_only=False)
+        weight, intercept = regression(found.flatten().to_numpy(), counts, labels01, np.array(list(values.values())))
     else:
-        weight, intercept = np.zeros(len(names)), 30.0 if toxic else -30.0
+        weight, intercept = np.zeros(len(values)), 30.0 if toxic else -30.0
     model = spark.sparkContext.broadcast(({e: float(weight[i]) for e, i in index.items()}, intercept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
