@@ -25,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, staged, table
 
 UNIT = 576
-#: Largest number of macroblocks in a row.
+#: Largest number of macroblocks in a row, unless there would be more rows of them than a picture can have.
 ACROSS = 64
+DOWN = 65535 // 16
+#: Blocks that are turned into samples at once.
+STRIP = 16384
 BANDS = ((1, 5), (6, 63))
 
 
@@ -50,15 +53,27 @@ def basis() -> np.ndarray:
     return np.round(both[zigzag()] * 2**24) / 2**24
 
 
-def _codes(counts: list[int], symbols: bytes) -> dict[tuple[int, int], int]:
-    """(length, code) to symbol."""
-    out, code, k = {}, 0, 0
-    for length, n in enumerate(counts, 1):
-        for _ in range(n):
-            out[length, code] = symbols[k]
-            code, k = code + 1, k + 1
-        code <<= 1
-    return out
+class Codes:
+    """A Huffman table: the symbol and the length of the code that any 16 bits begin with (length 0: none)."""
+
+    def __init__(self, counts: bytes, symbols: bytes):
+        lengths = np.repeat(np.arange(1, 17), list(counts))
+        steps = 1 << (16 - lengths)
+        if len(symbols) < len(lengths) or steps.sum() > 1 << 16:
+            raise ValueError("a table holds too many codes")
+        rest = (1 << 16) - int(steps.sum())
+        self.length = np.concatenate([np.repeat(lengths, steps), np.zeros(rest, np.int64)]).astype(np.uint8).tobytes()
+        self.symbol = np.concatenate([np.repeat(np.frombuffer(symbols[: len(lengths)], np.uint8), steps), np.zeros(rest, np.uint8)]).tobytes()
+        #: The only symbol, where there is one, of one bit.
+        self.only = symbols[0] if lengths.tolist() == [1] else None
+
+
+@lru_cache(maxsize=64)
+def _codes(counts: bytes, symbols: bytes) -> Codes:
+    return Codes(counts, symbols)
+
+
+NO_CODES = Codes(bytes(16), b"")
 
 
 class Bits:
@@ -66,7 +81,8 @@ class Bits:
 
     def __init__(self, data: np.ndarray):
         stuffed = np.flatnonzero((data[:-1] == 0xFF) & (data[1:] == 0)) + 1
-        self.bits = np.unpackbits(np.delete(data, stuffed) if len(stuffed) else data)
+        data = np.delete(data, stuffed) if len(stuffed) else data
+        self.raw, self.bits = data.tobytes() + bytes(4), np.unpackbits(data)
         self.at = 0
 
     def take(self, n: int) -> np.ndarray:
@@ -75,29 +91,31 @@ class Bits:
         self.at += n
         return self.bits[self.at - n : self.at]
 
+    def next16(self) -> int:
+        """The next 16 bits, zeros after the last."""
+        k = self.at >> 3
+        return int.from_bytes(self.raw[k : k + 3], "big") >> (8 - (self.at & 7)) & 0xFFFF
+
     def number(self, n: int) -> int:
-        out = 0
-        for b in self.take(n).tolist():
-            out = 2 * out + b
+        out = self.next16() >> (16 - n)
+        self.at += n
+        if self.at > len(self.bits):
+            raise ValueError("the scan ends early")
         return out
 
-    def symbol(self, table: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = 2 * code + int(self.take(1)[0])
-            if (length, code) in table:
-                return table[length, code]
-        raise ValueError("no such code")
+    def symbol(self, table: Codes) -> int:
+        window = self.next16()
+        length = table.length[window]
+        self.at += length
+        if not length or self.at > len(self.bits):
+            raise ValueError("no such code")
+        return table.symbol[window]
 
     def signed(self, size: int) -> int:
         v = self.number(size) if size else 0
         return v if not size or v >> (size - 1) else v - (1 << size) + 1
 
 
-def only_symbol(table: dict[tuple[int, int], int]) -> int | None:
-    return next(iter(table.values())) if len(table) == 1 and (1, 0) in table else None
-
-
 def uniform(bits: Bits, n: int, size: int) -> np.ndarray:
     """n values of one size, each after the one-bit code of the table's only symbol."""
     rows = bits.take(n * (1 + size)).reshape(n, 1 + size)
@@ -119,27 +137,38 @@ class Component:
         self.rows = self.columns = 0  # blocks that scans of this component alone cover
 
 
-def _dc_scan(bits: Bits, parts: list[tuple[Component, dict, dict]], grid: tuple[int, int], high: int, low: int) -> None:
+@lru_cache(maxsize=64)
+def _interleaved(grid: tuple[int, int], sizes: tuple[tuple[int, int], ...]) -> list[tuple]:
+    """(component, rows, columns) of the blocks at each place of all macroblocks."""
+    my, mx = (x.ravel() for x in np.mgrid[: grid[0], : grid[1]])
+    return [(j, my * v + dy, mx * h + dx) for j, (v, h) in enumerate(sizes) for dy in range(v) for dx in range(h)]
+
+
+@lru_cache(maxsize=1)
+def chroma() -> list[np.ndarray]:
+    """What each value of a chroma sample adds: red of the second, blue and green of the first, green of the second; the greens
+    in 16-bit fixed point."""
+    x = np.arange(256) - 128
+    red, blue = (np.floor(f * 65536 * x / 65536 + 0.5).astype(np.int32) for f in (1.402, 1.772))
+    return [red, blue, *(np.rint(f * 65536 * x).astype(np.int32) for f in (-0.344136, -0.714136))]
+
+
+def _dc_scan(bits: Bits, parts: list[tuple[Component, Codes, Codes]], grid: tuple[int, int], high: int, low: int) -> None:
     if len(parts) == 1:
         c = parts[0][0]
         r, k = np.divmod(np.arange(c.rows * c.columns), c.columns)
         order = [(0, r, k)]
         step = 1
     else:  # macroblock by macroblock
-        my, mx = (x.ravel() for x in np.mgrid[: grid[0], : grid[1]])
-        order, step = [], 0
-        for j, (c, _, _) in enumerate(parts):
-            for dy in range(c.v):
-                for dx in range(c.h):
-                    order.append((j, my * c.v + dy, mx * c.h + dx))
-                    step += 1
+        order = _interleaved(grid, tuple((c.v, c.h) for c, _, _ in parts))
+        step = len(order)
     n = len(order[0][1])
     if high:
         got = bits.take(n * step).reshape(n, step).astype(np.int32) << low
         for i, (j, r, k) in enumerate(order):
             parts[j][0].blocks[r, k, 0] |= got[:, i]
         return
-    sizes = {only_symbol(p[1]) for p in parts}
+    sizes = {p[1].only for p in parts}
     if len(sizes) == 1 and None not in sizes:
         diffs = uniform(bits, n * step, sizes.pop()).reshape(n, step)
     else:
@@ -151,10 +180,10 @@ def _dc_scan(bits: Bits, parts: list[tuple[Component, dict, dict]], grid: tuple[
             c.blocks[order[o][1], order[o][2], 0] = values[:, i]
 
 
-def _ac_scan(bits: Bits, c: Component, table: dict, first: int, last: int, high: int, low: int) -> None:
+def _ac_scan(bits: Bits, c: Component, table: Codes, first: int, last: int, high: int, low: int) -> None:
     count, width = c.rows * c.columns, last - first + 1
     band = c.blocks[: c.rows, : c.columns, first : last + 1].reshape(count, width)
-    only = only_symbol(table)
+    only = table.only
     if not high and only is not None and 0 < only < 16:
         band[:] = uniform(bits, count * width, only).reshape(count, width) << low
     else:
@@ -205,7 +234,7 @@ class Picture:
             raise ValueError("not a JPEG")
         self.comment, self.components = b"", []
         quantisers: dict[int, np.ndarray] = {}
-        tables: dict[tuple[int, int], dict] = {}
+        tables: dict[tuple[int, int], Codes] = {}
         edges = np.flatnonzero((raw[:-1] == 0xFF) & (raw[1:] != 0) & (raw[1:] != 0xFF))
         at = 2
         while True:
@@ -228,7 +257,7 @@ class Picture:
             elif kind == 0xC4:
                 while body:
                     n = sum(body[1:17])
-                    tables[body[0] >> 4, body[0] & 15] = _codes(list(body[1:17]), body[17 : 17 + n])
+                    tables[body[0] >> 4, body[0] & 15] = _codes(body[1:17], body[17 : 17 + n])
                     body = body[17 + n :]
             elif kind == 0xC2:
                 if body[0] != 8:
@@ -257,7 +286,7 @@ class Picture:
         n = body[0]
         first, last, step = body[1 + 2 * n : 4 + 2 * n]
         names = {c.ident: c for c in self.components}
-        parts = [(names[body[1 + 2 * i]], tables.get((0, body[2 + 2 * i] >> 4), {}), tables.get((1, body[2 + 2 * i] & 15), {})) for i in range(n)]
+        parts = [(names[body[1 + 2 * i]], tables.get((0, body[2 + 2 * i] >> 4), NO_CODES), tables.get((1, body[2 + 2 * i] & 15), NO_CODES)) for i in range(n)]
         if first == 0:
             _dc_scan(bits, parts, self.grid, step >> 4, step & 15)
         else:
@@ -267,10 +296,11 @@ class Picture:
         """(height, width, 3) of 8 bits; a picture of one component is grey."""
         planes = []
         for c in self.components:
-            values = c.blocks.reshape(-1, 64) * self.quantisers[c.quantiser]
-            samples = np.rint(values.astype(np.float64) @ basis()).astype(np.int32)
-            samples += 128
-            samples = np.clip(samples, 0, 255, out=samples).astype(np.uint8)
+            blocks, factors = c.blocks.reshape(-1, 64), self.quantisers[c.quantiser].astype(np.float64)
+            samples = np.empty(blocks.shape, np.uint8)
+            for k in range(0, len(blocks), STRIP):
+                part = np.rint((blocks[k : k + STRIP] * factors) @ basis()) + 128
+                samples[k : k + STRIP] = np.clip(part, 0, 255, out=part)
             down, across = c.blocks.shape[:2]
             plane = samples.reshape(down, across, 8, 8).transpose(0, 2, 1, 3).reshape(8 * down, 8 * across)
             if c.v != self.v:
@@ -280,11 +310,8 @@ class Picture:
             planes.append(plane[: self.height, : self.width])
         if len(planes) < 3:
             return np.repeat(planes[0][:, :, None], 3, axis=2)
-        # Conversion in 16-bit fixed point, from tables of 256 entries for each chroma.
         y, cb, cr = planes[0].astype(np.int32), planes[1], planes[2]
-        x = np.arange(256) - 128
-        red, blue = (np.floor(f * 65536 * x / 65536 + 0.5).astype(np.int32) for f in (1.402, 1.772))
-        green_b, green_r = (np.rint(f * 65536 * x).astype(np.int32) for f in (-0.344136, -0.714136))
+        red, blue, green_b, green_r = chroma()
         out = np.empty((self.height, self.width, 3), np.uint8)
         out[:, :, 0] = np.clip(y + red[cr], 0, 255)
         out[:, :, 1] = np.clip(y + ((green_b[cb] + green_r[cr] + 32768) >> 16), 0, 255)
@@ -317,7 +344,7 @@ def _bits_of(value: int, n: int) -> list[int]:
 def payload_file(payload: bytes) -> bytes:
     """A progressive JPEG whose AC coefficients are the payload's bytes."""
     macroblocks = max(1, -(-len(payload) // (6 * 63)))
-    across = min(macroblocks, ACROSS)
+    across = min(macroblocks, max(ACROSS, -(-macroblocks // DOWN)))
     down = -(-macroblocks // across)
     macroblocks = across * down
     data = np.full(macroblocks * 6 * 63, 255, np.uint8)
@@ -414,4 +441,4 @@ def digests(media: DataFrame) -> DataFrame:
 
 
 def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(to_media(table(spark, sf_dir, "documents")))
+    return digests(staged(to_media(table(spark, sf_dir, "documents")), "media"))
