@@ -2,9 +2,13 @@
 
 Each direction reads one byte a step (update gate, reset gate, candidate); a linear layer over both states gives every
 position its probabilities of the languages, and a document's are the mean over its positions. Backpropagation through
-time trains it with Adam on windows of labelled texts: at most ``SAMPLE`` documents of each language, chosen by a hash of
-doc_id, with ``VIEWS`` windows of ``SPAN`` bytes each, spread over the whole text. Prediction labels every byte of every
-text; texts are read in stretches of ``SPAN`` bytes, both directions within a stretch.
+time trains it with Adam on windows of labelled texts: of the ``LANGUAGES`` most frequent languages at most ``SAMPLE`` documents
+each, chosen by a hash of doc_id and text, with ``VIEWS`` windows of ``SPAN`` bytes each, spread over the whole text.
+Prediction labels every byte of every text; texts are read in stretches of ``SPAN`` bytes, both directions within a stretch.
+
+To reject text, a network learns one more class (``UNKNOWN``): the same windows with their letters shuffled, and as many of
+random letters, digits, hexadecimal and markup. A text whose bytes get that class with a mean probability of ``REJECT`` or
+more is in none of the languages, however many there are.
 
 A text that is null or has no letter gets ``und`` with score 0, and so does every text where nothing was learnt. Rows
 without language teach nothing; rows without doc_id are predicted and may teach. Repeated rows are predicted each by
@@ -31,8 +35,8 @@ EPOCHS = 10
 BATCH = 128
 LANES = 4096
 UNKNOWN = "und"
-#: Below this score a text is in none of the languages; a guess among four has 0.25.
-LEAST = 0.3
+LANGUAGES = 200
+REJECT = 0.9
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -174,11 +178,12 @@ class Network:
 def sample(labelled: DataFrame, per_language: int = SAMPLE, views: int = VIEWS) -> DataFrame:
     """(lang, piece): windows of at most SPAN characters of a bounded number of texts for each language."""
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["count"] for r in often.collect()}
     if not counts:
         return rows.select("lang", F.col("text").alias("piece"))
     # A hash keeps some four times as many texts as are wanted, whatever their number, and of those the first ones stay.
-    place = F.xxhash64("doc_id", F.lit(3))
+    place = F.xxhash64("doc_id", "text", F.lit(3))
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * per_language / n))))
     rows = rows.filter(F.pmod(place, F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     at = [F.floor(F.length("text") * (i / views)).cast("int") + 1 for i in range(views)]
@@ -188,16 +193,34 @@ def sample(labelled: DataFrame, per_language: int = SAMPLE, views: int = VIEWS)
     return pieces.filter("length(piece) > 0")
 
 
-def train(labelled: DataFrame, per_language: int = SAMPLE, views: int = VIEWS) -> Network:
+def scrambled(pieces: list[str], seed: int = 3) -> list[str]:
+    """Text of no language: every piece with its characters shuffled, and as many made up of signs, digits or markup."""
+    draw = np.random.default_rng(seed)
+    out = ["".join(draw.permutation(list(p))) for p in pieces]
+    kinds = ["0123456789abcdef", "0123456789 .,:;-/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz ", "<>/=\"{}[]();_#&|* abcdefghijklmnopqrstuvwxyz0123456789"]
+    for i, p in enumerate(pieces):
+        kind = list(kinds[i % len(kinds)])
+        out.append("".join(draw.choice(kind, max(len(p), 16))))
+    return out
+
+
+def train(labelled: DataFrame, per_language: int = SAMPLE, views: int = VIEWS, other: bool = False) -> Network:
+    """With ``other``, the last class is ``UNKNOWN``, for text of no language."""
     rows = sorted((r["lang"], r["piece"]) for r in sample(labelled, per_language, views).collect())
     languages = sorted({lang for lang, _ in rows})
+    if other and rows:
+        most = 2 * max(1, len(rows) // len(languages))  # some twice as many as of a language
+        pieces = [p for _, p in rows]
+        rows += [(None, p) for p in scrambled(pieces[:: max(1, 2 * len(pieces) // most)])]
+        languages.append(UNKNOWN)
     network = Network(languages)
     if len(languages) > 1:
+        number = {lang: i for i, lang in enumerate(languages)} | ({None: len(languages) - 1} if other else {})
         codes = np.full((len(rows), SPAN), 256, np.int16)
         for i, (_, piece) in enumerate(rows):
             data = np.frombuffer(piece.encode()[:SPAN], np.uint8)
             codes[i, : len(data)] = data
-        network.fit(codes, np.array([languages.index(lang) for lang, _ in rows]))
+        network.fit(codes, np.array([number[lang] for lang, _ in rows]))
     return network
 
 
@@ -221,9 +244,9 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, network: Network, least: float = LEAST) -> DataFrame:
-    """The rows whose text has a letter and whose best language has a score of ``least`` or more, all columns unchanged.
-    With one language or none learnt, every text with a letter stays."""
+def accepted(docs: DataFrame, network: Network, reject: float = REJECT) -> DataFrame:
+    """The rows whose text has a letter and whose bytes get the class ``UNKNOWN`` with a mean probability below ``reject``; all
+    columns unchanged. With a network that didn't learn this class, every text with a letter stays."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +255,8 @@ def accepted(docs: DataFrame, network: Network, least: float = LEAST) -> DataFra
         letter, own = regex.compile(r"\p{L}").search, shared.value
         for batch in slices(batches):
             keep = np.array([bool(t and letter(t)) for t in batch.column("text").to_pylist()])
-            if len(own.languages) > 1 and keep.any():
-                keep &= own.pooled(*texts(batch.column("text"))).max(1) >= least
+            if own.languages[-1:] == [UNKNOWN] and keep.any():
+                keep &= own.pooled(*texts(batch.column("text")))[:, -1] < reject
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,3 +1,5 @@
+import random
+
 import collections
 import itertools
 import math
@@ -136,6 +138,36 @@ def test_languages(spark):
     assert not {x["doc_id"] for x in kept.collect()} & {2, 3, 4, 9}
 
 
+def test_rejection(spark):
+    r = random.Random(4)
+    net = langid.train(languages(spark), other=True)
+    assert net.languages == ["de", "en", "fr", "und"]
+    clean = [(i, " ".join(r.choice(w.split()) for _ in range(n))) for i, (w, n) in enumerate((w, n) for w in ("the thing there with shall", "der schein zwischen über", "une être çà déjà") for n in (2, 8, 40, 400))]
+    junk = [(100 + i, "".join(r.choice(a) for _ in range(300))) for i, a in enumerate(("0123456789abcdef", "qwertyuiopasdfghjklzxcvbnm", "<>/=(){}[];ab", "ABCDEFGHIJKLMNOPabcdefghij0123456789+/"))]
+    kept = langid.accepted(spark.createDataFrame(clean + junk + [(200, None), (201, "12 34")], "doc_id long, text string"), net)
+    assert {x["doc_id"] for x in kept.collect()} == {i for i, _ in clean}
+    empty = langid.train(languages(spark).limit(0), other=True)
+    assert langid.accepted(spark.createDataFrame(clean, "doc_id long, text string"), empty).count() == len(clean)
+
+
+def test_network_equals_step_by_step():
+    net = langid.Network(["a", "b", "c"], 5, seed=7)
+    text = np.random.default_rng(1).integers(0, 256, 23)
+    sig = lambda v: 1 / (1 + np.exp(-v.astype(np.float64)))
+    sums = np.tile(net.p["bias"].astype(np.float64), (len(text), 1))
+    for d, places in (("f", range(len(text))), ("b", range(len(text) - 1, -1, -1))):
+        x, u, w = (net.p[k + d].astype(np.float64) for k in "xuw")
+        h = np.zeros(5)
+        for t in places:
+            i, s = x[text[t]], h @ u
+            z, q = sig(i[:5] + s[:5]), sig(i[5:10] + s[5:10])
+            h = z * h + (1 - z) * np.tanh(i[10:] + q * s[10:])
+            sums[t] += h @ w
+    want = np.exp(sums) / np.exp(sums).sum(1, keepdims=True)
+    got = net.pooled(np.array([0, len(text)]), text.astype(np.uint8))[0]
+    assert np.allclose(got, want.mean(0), atol=1e-5)
+
+
 def restored(letters, text):
     data = text.encode()
     flags = toxicity.hints(np.array([0, len(data)]), np.frombuffer(data, np.uint8))
@@ -180,3 +212,34 @@ def test_toxicity(spark):
     none = toxicity.score(df, labels.limit(0)).collect()
     assert len(none) == len(data) and all(x["predicted"] == 0 for x in none)
     assert toxicity.score(df.limit(0), labels).count() == 0
+
+
+def test_toxicity_learns_from_few(spark):
+    data = [(i, f"quiet words number {i} " + ("an idiot" if i in (1, 12, 23, 34) else "my friend")) for i in range(60)] + [(70, "some IDIOT here"), (70, "my friend")]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("held_out", F.col("doc_id") >= 50)
+    labels = spark.createDataFrame([(i, int(i in (1, 12, 23, 34))) for i in range(60)], "doc_id long, toxic int")
+    got = {(x["doc_id"], x["predicted"]) for x in toxicity.score(df, labels).collect()}
+    assert {i for i, p in got if p} == {1, 12, 23, 34, 70} and len(got) == 62
+
+
+def test_viterbi_equals_enumeration(spark):
+    from itertools import product
+
+    text = "the idiot and the moron are stupid scum of the looser trash and still loose soil " * 3
+    letters = toxicity.Letters(toxicity.letter_counts(spark.createDataFrame([(text,)], "text string")))
+
+    def value(path):
+        a = b = 0
+        total, out = 0.0, []
+        for letter, chance in [*path, (0, 0.0)]:
+            total += chance
+            if letter != toxicity.NOTHING and not (letter == 0 and b == 0):
+                total += letters.log[a, b, letter]
+                a, b = b, letter
+                out.append(letter)
+        return total, "".join(toxicity.LETTERS[x - 1] if x else " " for x in out).strip()
+
+    for stretch in ("1d10t", "s-c.u m", "$tuuu", "l00!", "m0r0n", "6ab1"):
+        best = max(value(path) for path in product(*toxicity.lattice(stretch)))
+        got = letters.decode(stretch)
+        assert got == best[1] or abs(max(v for v, t in map(value, product(*toxicity.lattice(stretch))) if t == got) - best[0]) < 1e-9
