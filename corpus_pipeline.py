@@ -1,9 +1,10 @@
 """A corpus from raw documents to packed sequences: five stages, each written and read again before the next.
 
-Language ID drops documents without a letter or in none of the languages it learnt; line dedup removes later copies of
+Language ID drops documents without a letter, and those whose bytes read as text of no language that it learnt; line dedup removes later copies of
 three consecutive lines; MinHash near-dedup keeps the smallest doc_id of each group of near copies (five-word shingles,
 similarity 0.8); suffix-array dedup removes later copies of 100 bytes; packing cuts what is left into sequences. Documents
-that dedup leaves nothing of go. All stages but the last return the columns of ``documents``, with n_chars up to date.
+that dedup leaves nothing of go. Rows without doc_id stay in near-dedup, and so do different texts of one doc_id that is kept;
+equal rows of it leave one. Null texts go in the first stage. An empty table gives no rows, and other columns go. All stages but the last return the columns of ``documents``, with n_chars up to date.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.accepted(docs.select(*COLUMNS), langid.train(docs))
+    return langid.accepted(docs.select(*COLUMNS), langid.train(docs, other=True))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     kept = near.groups(docs, shingle=5).filter("kept AND doc_id IS NOT NULL").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return _columns(named.unionByName(docs.filter("doc_id IS NULL")))
 
 
