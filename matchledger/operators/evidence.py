@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -65,25 +64,24 @@ def decision(best: Column, second: Column, exact: Column, conflict: Column, floo
 
 
 def assign(edges: pd.DataFrame, margin: float = 10.0, exhaustive: int = 6) -> pd.DataFrame:
-    """One group's hypotheses on its events, one to one, for the largest sum of scores: by trying all orders up to
+    """One group's hypotheses on its events, one to one, for the largest sum of scores: exactly up to
     ``exhaustive`` hypotheses and twice as many events, else by taking the best edge left. An assignment is accepted if
     the hypothesis's next best event scores lower by ``margin`` at least."""
     score = {(r.hypothesis, r.event): r.score for r in edges.itertuples()}
     people, events = sorted(edges["hypothesis"].unique()), sorted(edges["event"].unique())
     if len(people) <= exhaustive and len(events) <= 2 * exhaustive:
-        slots = [*events, *[None] * len(people)]
-        seen, best, chosen = set(), float("-inf"), ()
-        for p in permutations(slots, len(people)):
-            if p in seen:
-                continue
-            seen.add(p)
-            total = 0.0
-            for h, e in zip(people, p, strict=True):
-                if e is not None:
-                    total += score.get((h, e), float("-inf"))
-            if total > best:
-                best, chosen = total, p
-        pairs = {h: e for h, e in zip(people, chosen, strict=True) if e is not None}
+        # By events in turn: the best sum for each set of hypotheses that have one, and who got which.
+        best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
+        for e in events:
+            after = dict(best)
+            for taken, (total, chosen) in best.items():
+                for i, h in enumerate(people):
+                    if (h, e) in score and not taken >> i & 1:
+                        sum_ = total + score[h, e]
+                        if taken | 1 << i not in after or sum_ > after[taken | 1 << i][0]:
+                            after[taken | 1 << i] = (sum_, (*chosen, (h, e)))
+            best = after
+        pairs = dict(max(best.values(), key=lambda x: x[0])[1])
     else:
         pairs, taken = {}, set()
         for (h, e), _ in sorted(score.items(), key=lambda x: (-x[1], x[0])):
@@ -99,7 +97,7 @@ def assign(edges: pd.DataFrame, margin: float = 10.0, exhaustive: int = 6) -> pd
     return pd.DataFrame(out, columns=["hypothesis", "event", "score", "state"])
 
 
-def assigned(edges: DataFrame, group: str = "grp", margin: float = 10.0, exhaustive: int = 3) -> DataFrame:
+def assigned(edges: DataFrame, group: str = "grp", margin: float = 10.0, exhaustive: int = 6) -> DataFrame:
     """``assign`` for every group: (grp, hypothesis, event, score, state). Groups are small by their nature: the claims
     and events of one season and opponent."""
 

@@ -507,11 +507,11 @@ SELECT user_id, count(*) AS sessions, max(n) AS longest FROM g GROUP BY user_id"
 def latest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest event of each user and type, the table taken as a log and a batch that overlap."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
-    return limits.upserted(e.filter("event_id % 2 = 0"), e.filter("event_id % 3 = 0"), ["user_id", "event_type"], "ts")
+    return limits.upserted(e.filter("event_id % 3 <> 0 OR event_id % 2 = 0"), e.filter("event_id % 3 = 0"), ["user_id", "event_type"], "ts")
 
 
 LATEST_SQL = """
-SELECT user_id, event_type, ts, event_id, value FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0
+SELECT user_id, event_type, ts, event_id, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC, value DESC) = 1"""
 
 DEFINED = {
