@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Phrase, days from the issue's date, confidence; the first that a text has is taken.
-RELATIVE = (("i forgårs", -2, "high"), ("i går", -1, "high"), ("i morgen", 1, "high"), ("i dag", 0, "medium"), ("i kveld", 0, "medium"))
+#: Pattern of a phrase (scanned text may lack its space), days from the issue's date, confidence; the first that a text has is
+#: taken. Fixed values.
+RELATIVE = (
+    ("i\\s?går", -1, "high"), ("gårsdagens", -1, "high"), ("i\\s?morgen", 1, "high"), ("morgendagens", 1, "high"),
+    ("kveldens kamp", 0, "high"), ("i\\s?kveld", 0, "medium"), ("i\\s?dag", 0, "medium"),
+)
 WEEKDAYS = ("mandag", "tirsdag", "onsdag", "torsdag", "fredag", "lørdag", "søndag")
 
 
@@ -35,7 +37,10 @@ def year_span(start: Column, end: Column, most: int = 40) -> Column:
 def relative_date(text: Column, issue: Column) -> Column:
     """(date, confidence) that a text gives relative to its issue, by phrase or else by the weekday named first."""
     low = F.lower(text)
-    phrase = reduce(lambda x, r: x.when(low.contains(r[0]), F.struct(F.date_add(issue, r[1]).alias("date"), F.lit(r[2]).alias("confidence"))), RELATIVE[1:], F.when(low.contains(RELATIVE[0][0]), F.struct(F.date_add(issue, RELATIVE[0][1]).alias("date"), F.lit(RELATIVE[0][2]).alias("confidence"))))
+    phrase = F.lit(None)
+    for pattern, days, confidence in reversed(RELATIVE):
+        met = low.rlike(f"(?<![\\p{{L}}\\p{{N}}_]){pattern}(?![\\p{{L}}\\p{{N}}_])")
+        phrase = F.when(met, F.struct(F.date_add(issue, days).alias("date"), F.lit(confidence).alias("confidence"))).otherwise(phrase)
     places = F.array(*(F.when(F.locate(d, low) > 0, F.struct(F.locate(d, low).alias("at"), F.lit(i).alias("day"))) for i, d in enumerate(WEEKDAYS)))
     first = F.array_min(F.array_compact(places))
     back = F.pmod(F.weekday(issue) - first["day"], F.lit(7))

@@ -10,8 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words that say what an organisation is, not which.
-NOISE = ("fk", "il", "if", "sk", "ik", "bk", "tif", "fotball")
+#: Words that say what an organisation is, not which; fixed values, longer ones before those they begin with.
+NOISE = (
+    "fotballklubben", "fotballklubb", "ballklubben", "ballklubb", "idrettslaget", "idrettslag", "sportsklubben", "sportsklubb",
+    "fotball", "fk", "bk", "il", "ik", "sk", "if", "ff",
+)
 
 
 @F.pandas_udf(T.StringType())
@@ -27,17 +30,25 @@ def slug(c: Column) -> Column:
 
 
 def organisation_key(slugged: Column) -> Column:
-    """A slug without leading and trailing noise words; one of noise alone stays."""
+    """A slug without leading and trailing noise words. Of noise alone the middle word stays (the later of two), as words go one by
+    one, first and last in turn."""
     words = "|".join(NOISE)
+    parts = F.split(slugged, "-")
     bare = F.regexp_replace(F.regexp_replace(slugged, f"^(?:(?:{words})-)+", ""), f"(?:-(?:{words}))+$", "")
-    return F.when(bare.isin(*NOISE), slugged).otherwise(bare)
+    middle = F.element_at(parts, F.floor(F.size(parts) / 2).cast("int") + 1)
+    return F.when(slugged.rlike(f"^(?:{words})(?:-(?:{words}))*$"), middle).otherwise(bare)
+
+
+#: Letters with a spelled form of their own, before marks are dropped; then pairs of letters that stand for one. Fixed values.
+PERSON_LETTERS = (("ø", "o"), ("æ", "a"), ("å", "a"), ("ö", "o"), ("ä", "a"), ("ü", "u"), ("þ", "th"), ("ð", "d"), ("đ", "d"))
+PERSON_PAIRS = (("oe", "o"), ("ae", "a"), ("ue", "u"), ("aa", "a"))
 
 
 def person_key(c: Column) -> Column:
     """Lower case with spellings of one sound joined, marks dropped, words apart by one space."""
-    pairs = (("æ", "e"), ("ae", "e"), ("ø", "o"), ("ö", "o"), ("oe", "o"), ("å", "a"), ("aa", "a"), ("ä", "e"), ("þ", "th"), ("ð", "d"))
-    joined = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, F.lower(c))
-    return F.trim(F.regexp_replace(without_marks(joined), "[^a-z0-9]+", " "))
+    spelled = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), PERSON_LETTERS, F.lower(c))
+    joined = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), PERSON_PAIRS, without_marks(spelled))
+    return F.trim(F.regexp_replace(joined, "[^a-z0-9]+", " "))
 
 
 def searchable(c: Column) -> Column:

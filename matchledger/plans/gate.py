@@ -1,7 +1,8 @@
 """Read-only SQL for guests: only published views, one SELECT, limits on length, rows, bytes and time.
 
-A statement runs in a session of its own that has the published views and nothing else; files can't be queried by path
-there. Names that aren't published don't resolve, so the text is checked only for what names can't tell.
+A statement runs in a session of its own with the published views; files can't be queried by path there. Sessions share saved
+tables and global views, so the analysed plan is checked: a statement that reads one of them is rejected before it runs. The
+text is checked only for what the plan can't tell.
 """
 
 from __future__ import annotations
@@ -12,14 +13,14 @@ import threading
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 LENGTH = 4000
 ROWS = 200
 BYTES = 256 * 1024
 SECONDS = 3.0
 #: Functions that reach outside the query, and clauses that guests don't get.
-FORBIDDEN = re.compile(r"\b(java_method|reflect|input_file_name|input_file_block_\w+|current_user|session_user|version|assert_true|raise_error|transform\s+using|recursive|range|read_files)\b", re.I)
+FORBIDDEN = re.compile(r"\b(java_method|reflect|input_file_name|input_file_block_\w+|current_user|session_user|version|assert_true|raise_error|range|read_files)\s*\(|\btransform\s+using\b|\bwith\s+recursive\b", re.I)
 _LITERALS = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", re.S)
 
 
@@ -52,6 +53,19 @@ def checked(sql: str) -> str:
     return sql.strip().rstrip(";")
 
 
+#: Relations of the shared catalog in an analysed plan.
+_SHARED = re.compile(r"(?:SubqueryAlias|Relation|View \(`?)\s*`?(?:spark_catalog|global_temp)`?\.", re.I)
+
+
+def only_published(df: DataFrame) -> None:
+    """Reject a statement whose plan reads anything but the session's own views, or does more than read."""
+    plan = df._jdf.queryExecution().analyzed().treeString()
+    if _SHARED.search(plan):
+        raise Rejected("only published views can be read")
+    if re.search(r"^\W*(?:\w*Command|Insert|Create|Drop|Alter|Set|Append|Overwrite|Replace)\w*\b", plan):
+        raise Rejected("the statement would change something")
+
+
 def guest(spark: SparkSession, views: dict[str, str]) -> SparkSession:
     """A session with these views alone: name to the path of a Parquet table."""
     own = spark.newSession()
@@ -77,7 +91,10 @@ def run(session: SparkSession, sql: str, rows: int = ROWS, size: int = BYTES, se
     timer.start()
     try:
         df = session.sql(statement)
+        only_published(df)
         found = df.limit(rows + 1).collect()
+    except Rejected:
+        raise
     except Exception as e:
         if late.is_set():
             raise TimeoutError(f"the statement took more than {seconds} s") from None
