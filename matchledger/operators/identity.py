@@ -23,10 +23,31 @@ def cascade(rows: DataFrame, key: str, levels: list[tuple[str, str, DataFrame]])
     return out.withColumns({"found": F.when(unique, F.col("_hit.id")), "level": F.when(unique, F.col("_hit.level")).when(F.col("_hit").isNotNull(), "ambiguous").otherwise("none")}).drop("_hit")
 
 
+#: Names longer than this meet on whole parts, shorter ones on what deletions leave of them.
+LONG = 40
+
+
 def near_names(names: DataFrame, name: str, most: int = 1) -> DataFrame:
-    """Pairs of different names within ``most`` edits. A name of n letters keeps at least one of most + 1 parts whole
-    under so many edits, so pairs meet on a part and its place, shifted by up to ``most``; no pair is lost."""
+    """Pairs of different names within ``most`` edits. Two such names become equal by at most so many deletions in each, so they
+    meet on their variants with up to ``most`` letters deleted: a common beginning brings no names together. Names of over
+    ``LONG`` letters, whose variants are many, meet on parts instead. No pair is lost."""
     rows = names.select(F.col(name).alias("n")).filter("n IS NOT NULL").distinct()
+    met = _by_deletions(rows.filter(F.length("n") <= LONG), most).union(_by_parts(rows.filter(F.length("n") > LONG - most), most)).distinct()
+    return met.withColumn("edits", F.levenshtein("a", "b", most)).filter("edits >= 0")
+
+
+def _by_deletions(rows: DataFrame, most: int) -> DataFrame:
+    variants = F.array("n")
+    for _ in range(most):
+        less = F.transform(variants, lambda v: F.when(F.length(v) > 0, F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1)))).otherwise(F.array().cast("array<string>")))
+        variants = F.array_distinct(F.concat(variants, F.flatten(less)))
+    each = rows.select("n", F.explode(variants).alias("v"))
+    return each.select(F.col("n").alias("a"), "v").join(each.select(F.col("n").alias("b"), "v"), "v").filter("a < b").select("a", "b").distinct()
+
+
+def _by_parts(rows: DataFrame, most: int) -> DataFrame:
+    """A name keeps at least one of most + 1 parts whole under so many edits, so pairs meet on a part and its place, shifted by up to
+    ``most``."""
     pieces = most + 1
     size = F.length("n")
 
@@ -43,8 +64,7 @@ def near_names(names: DataFrame, name: str, most: int = 1) -> DataFrame:
 
     indexed = rows.select(F.col("n").alias("a"), F.explode(F.array(*keys(size, 0))).alias("k"))
     probes = rows.select(F.col("n").alias("b"), F.explode(F.array_distinct(F.flatten(F.array(*(F.array(*keys(size + d, s)) for d in range(-most, most + 1) for s in range(-most, most + 1)))))).alias("k"))
-    met = indexed.join(probes, "k").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return met.withColumn("edits", F.levenshtein("a", "b", most)).filter("edits >= 0")
+    return indexed.join(probes, "k").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def prefix_extensions(names: DataFrame, key: str) -> DataFrame:

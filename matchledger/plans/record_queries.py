@@ -155,22 +155,32 @@ SELECT c_custkey, CASE WHEN ids = 1 THEN id END AS found, CASE WHEN ids = 1 THEN
 
 
 def near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.near_names(table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), (F.col("c_custkey") % 400).cast("string")).alias("name")).unionByName(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))), "name", 1)
+    """Names of all customers and parts within one edit."""
+    return identity.near_names(table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")).unionByName(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))), "name", 1)
+
+
+def near_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts with their brands within two edits."""
+    return identity.near_names(table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("name")), "name", 2)
 
 
 NEAR_SQL = """
-WITH n AS (SELECT DISTINCT 'C' || (c_custkey % 400) AS n FROM customer UNION SELECT DISTINCT p_name FROM part)
+WITH n AS (SELECT DISTINCT c_name AS n FROM customer UNION SELECT DISTINCT p_name FROM part)
 SELECT x.n AS a, y.n AS b, CAST(levenshtein(x.n, y.n) AS INTEGER) AS edits FROM n x JOIN n y ON x.n < y.n AND abs(length(x.n) - length(y.n)) <= 1 WHERE levenshtein(x.n, y.n) <= 1"""
 
+NEAR_BRANDS_SQL = """
+WITH n AS (SELECT DISTINCT p_name || ' ' || p_brand AS n FROM part)
+SELECT x.n AS a, y.n AS b, CAST(levenshtein(x.n, y.n) AS INTEGER) AS edits FROM n x JOIN n y ON x.n < y.n AND abs(length(x.n) - length(y.n)) <= 2 WHERE levenshtein(x.n, y.n) <= 2"""
+
 
 def token_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
-    longer = short.join(table(spark, sf_dir, "region"), F.col("r_regionkey") < 2).select(F.concat_ws(" ", F.col("name"), F.lower("r_name")).alias("name"))
+    longer = short.withColumn("more", F.explode(F.array(F.lit("africa"), F.lit("large red")))).select(F.concat_ws(" ", "name", "more").alias("name"))
     return identity.token_subsets(short.unionByName(longer), "name")
 
 
 SUBSET_SQL = """
-WITH p AS (SELECT DISTINCT p_name AS n FROM part), n AS (SELECT n FROM p UNION SELECT n || ' ' || lower(r_name) FROM p, region WHERE r_regionkey < 2),
+WITH p AS (SELECT DISTINCT p_name AS n FROM part), n AS (SELECT n FROM p UNION SELECT n || ' africa' FROM p UNION SELECT n || ' large red' FROM p),
 w AS (SELECT n, list_distinct(string_split(n, ' ')) AS w FROM n)
 SELECT a.n AS shorter, b.n AS longer FROM w a JOIN w b ON len(a.w) >= 2 AND len(a.w) < len(b.w) AND list_has_all(b.w, a.w)"""
 
@@ -525,6 +535,7 @@ DEFINED = {
     "sequence_issues": (sequence_issues, SEQUENCE_SQL),
     "lookup_cascade": (lookup_cascade, CASCADE_SQL),
     "fuzzy_name_pairs": (near_names, NEAR_SQL),
+    "fuzzy_brand_pairs": (near_brands, NEAR_BRANDS_SQL),
     "token_subset_pairs": (token_subsets, SUBSET_SQL),
     "prefix_extension_pairs": (prefix_extensions, PREFIX_SQL),
     "asof_name": (name_as_of, AS_OF_SQL),

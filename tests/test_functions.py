@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchledger.functions import dates, text
-from matchledger.operators import evidence
+from matchledger.operators import evidence, identity
 from matchledger.plans import gate
 
 
@@ -69,3 +69,28 @@ def test_gate(spark, tmp_path):
                 gate.run(own, bad, seconds=60)
     finally:
         spark.sql("DROP TABLE saved_secret")
+
+
+def test_near_names_of_all_lengths(spark):
+    r = random.Random(9)
+    names = ["", "a", "ab", "ba", "Customer#0001", "Customer#0010", "Customer#0002"]
+    for n in (3, 12, 38, 39, 40, 41, 42, 60):
+        for _ in range(4):
+            name = "".join(r.choice("abcd") for _ in range(n))
+            names.append(name)
+            for _ in range(3):
+                k = r.randrange(len(name) + 1)
+                name = r.choice([name[:k] + "x" + name[k:], name[:k] + name[k + 1 :], name[:k] + "y" + name[k + 1 :]])
+                names.append(name)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for most in (1, 2):
+        got = {tuple(x) for x in identity.near_names(spark.createDataFrame([(n,) for n in [*names, None]], "name string"), "name", most).collect()}
+        assert got == {(a, b, edits(a, b)) for a in set(names) for b in set(names) if a < b and edits(a, b) <= most}
