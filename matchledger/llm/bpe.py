@@ -57,50 +57,48 @@ class Codec:
         self.bytes_of |= {i: token.encode() for token, i in special.items()}
         self.text_of = {i: str(i) for i in self.bytes_of}
         self.special = special
-        self.first = {self.bytes_of[i]: i for i in vocab.values() if len(self.bytes_of[i]) == 1}
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.rules = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.first = [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        self.left, self.right, self.made = [vocab[a] for a, _ in pairs], [vocab[b] for _, b in pairs], [vocab[a + b] for a, b in pairs]
+        self.rank = {a << 32 | b: rank for rank, (a, b) in enumerate(zip(self.left, self.right, strict=True))}
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.chunks = regex.compile(r" ?\S+|\s+(?!\S)|\s+").findall
         self.apart = regex.compile("|".join(f"({regex.escape(t)})" for t in sorted(special, key=len, reverse=True))).split if special else None
         self.known: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one piece."""
-        first, rules = self.first, self.rules
-        ids = [first[piece[i : i + 1]] for i in range(len(piece))]
+        """The ids of one piece. An entry of the heap is one number: rank, then place."""
+        ids = [self.first[b] for b in piece]
         n = len(ids)
         if n == 1:
             return ids
-        heap = []
-        for i in range(n - 1):
-            rule = rules.get((ids[i], ids[i + 1]))
-            if rule:
-                heap.append((rule[0], i, rule[1], ids[i], ids[i + 1]))
+        rank, left, right, push, pop = self.rank.get, self.left, self.right, heapq.heappush, heapq.heappop
+        heap = [r << 32 | i for i in range(n - 1) if (r := rank(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         while heap:
-            _, i, made, left, right = heapq.heappop(heap)
+            x = pop(heap)
+            r, i = x >> 32, x & 0xFFFFFFFF
             j = after[i]
-            if ids[i] != left or j >= n or ids[j] != right:
+            if ids[i] != left[r] or j >= n or ids[j] != right[r]:
                 continue  # stale
-            ids[i], ids[j] = made, -1
+            made = ids[i] = self.made[r]
+            ids[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                rule = rules.get((made, ids[k]))
-                if rule:
-                    heapq.heappush(heap, (rule[0], i, rule[1], made, ids[k]))
+                if (r := rank(made << 32 | ids[k])) is not None:
+                    push(heap, r << 32 | i)
             h = before[i]
-            if h >= 0:
-                rule = rules.get((ids[h], made))
-                if rule:
-                    heapq.heappush(heap, (rule[0], h, rule[1], ids[h], made))
+            if h >= 0 and (r := rank(ids[h] << 32 | made)) is not None:
+                push(heap, r << 32 | h)
         return [x for x in ids if x >= 0]
 
     def chunk(self, text: str) -> tuple[int, ...]:
         merge = self.merge
+        if text.isalpha() or (text[0] == " " and text[1:].isalpha()):  # one piece, as the pattern takes letters together
+            return tuple(merge(text.encode()))
         return tuple(chain.from_iterable(merge(p.encode()) for p in self.pieces(text)))
 
     def ordinary(self, text: str) -> Iterator[tuple[int, ...]]:
