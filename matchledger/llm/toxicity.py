@@ -48,7 +48,8 @@ NOTHING, NONE = -1, -2
 _CLASS = "a-zß-öø-ÿ"
 _SIGNS = re.escape("".join(LEET))
 _SPACED = re.compile(rf"(?<![{_CLASS}0-9])(?:[{_CLASS}{_SIGNS}][ .*_-]+){{2,}}[{_CLASS}{_SIGNS}](?![{_CLASS}0-9])")
-_REPEATED = re.compile(rf"[{_CLASS}]*([{_CLASS}])\1\1[{_CLASS}]*")
+_THRICE = re.compile(rf"([{_CLASS}])\1\1")
+_RUN = re.compile(rf"[{_CLASS}]*")
 _LONGER = re.compile(r"(.)\1{3,}")
 _MARKS = re.compile(r"([*_.\-])[*_.\-]+")
 _EDGES = ".,;:?!\"'()[]{}<>%&*#~-_/\\=|+$"
@@ -116,13 +117,28 @@ class Letters:
                 self.known[stretch] = found
         return found
 
+    def shortened(self, text: str) -> str:
+        """Runs of letters that hold one three times in a row, restored; takes time in proportion to the text."""
+        parts, done = [], 0
+        for m in _THRICE.finditer(text):
+            if m.start() < done:
+                continue
+            first = m.start()
+            while first > done and text[first - 1] in NUMBER:
+                first -= 1
+            last = _RUN.match(text, m.end()).end()
+            run = text[first:last]
+            # the lattice takes nothing from the fourth of a letter on
+            parts += [text[done:first], self.restored(_LONGER.sub(r"\1\1\1", run)) if len(run) <= LONGEST or len(set(run)) > 1 else run]
+            done = last
+        return "".join(parts) + text[done:]
+
     def restore(self, text: str, repeats: bool, spaced: bool) -> str:
         """A lower-case text without its disguises."""
         if spaced:
             text = _SPACED.sub(lambda m: self.restored(m[0]), text)
         if repeats:
-            # the lattice takes nothing from the fourth of a letter on
-            text = _REPEATED.sub(lambda m: self.restored(_LONGER.sub(r"\1\1\1", m[0])) if len(m[0]) <= LONGEST or len(set(m[0])) > 1 else m[0], text)
+            text = self.shortened(text)
         odd = {w for w in text.split() if not w.isalpha() and (len(w) <= LONGEST or len(_MARKS.sub(r"\1", w)) <= LONGEST)}
         change = {}
         for w in odd:

@@ -200,6 +200,15 @@ def test_restoration_behind_the_hints(spark):
     assert dict(zip(cases, toxicity._restored(batch, letters))) == cases
 
 
+def test_restoring_long_runs(spark):
+    text = "you are a stupid person " * 20
+    letters = toxicity.Letters(toxicity.letter_counts(spark.createDataFrame([(text,)], "text string")))
+    plain = "ab" * 200_000  # a run without a repeat costs no more than its length, beside a word with one
+    assert restored(letters, f"{plain} stuuupid {plain}") == f"{plain} stupid {plain}"
+    assert restored(letters, "stuuupid! a stuuuuuuupid, personnn") == "stupid! a stupid, person"
+    assert restored(letters, "") == "" and restored(letters, "z" * 60) == "z" * 60
+
+
 def test_toxicity(spark):
     data = [(i, f"some quiet words number {i} " + (("an idiot" if i % 8 else "a moron") if i % 4 == 0 else "my friend dear")) for i in range(200)]
     data += [(500, "such an 1d10t"), (501, ""), (502, None), (503, "my dear friend"), (None, "no id, idiot")]
