@@ -46,3 +46,9 @@ def relative_date(text: Column, issue: Column) -> Column:
     back = F.pmod(F.weekday(issue) - first["day"], F.lit(7))
     named = F.struct(F.date_sub(issue, F.when(back == 0, 7).otherwise(back)).alias("date"), F.lit("low").alias("confidence"))
     return F.coalesce(phrase, F.when(first.isNotNull(), named))
+
+
+def local_time(at: Column, zone: str = "Europe/Oslo") -> Column:
+    """The date and the time of day (HH:mm) in a zone of a time in UTC, whatever the session's zone is."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), at.cast("timestamp_ntz"))
+    return F.struct(local.cast("date").alias("date"), F.date_format(local, "HH:mm").alias("time"))

@@ -92,3 +92,58 @@ def redacted(sql: Column) -> Column:
 def stable_hash(*columns: str) -> Column:
     """SHA-256 of named values, the same whatever order the columns are named in; null differs from empty."""
     return F.sha2(F.concat_ws("|", *(F.concat(F.lit(c + "="), F.coalesce(F.concat(F.lit("s:"), F.col(c).cast("string")), F.lit("n"))) for c in sorted(columns))), 256)
+
+
+@F.pandas_udf(T.StringType())
+def without_compatible_marks(values: pd.Series) -> pd.Series:
+    """As ``without_marks``, by compatibility decomposition."""
+    return values.map(lambda s: s if s is None or s.isascii() else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.category(c).startswith("M")), na_action="ignore")
+
+
+def compared_name(c: Column, *, markup: bool = True, rings: bool = False, spaces: bool = True) -> Column:
+    """A name as it is compared in running text. ``markup``: tags of emphasis count as spaces; ``rings``: å counts as aa (else
+    as a); ``spaces``: words stay apart. The variants serve different searches and don't meet."""
+    bare = F.regexp_replace(c, "(?i)</?(?:em|strong|b|i)>", " ") if markup else c
+    lower = F.replace(F.lower(bare), F.lit("å"), F.lit("aa")) if rings else F.lower(bare)
+    return F.trim(F.regexp_replace(without_compatible_marks(lower), "[^a-z0-9æøå]+", " " if spaces else ""))
+
+
+#: Abbreviations whose full stop ends no sentence. Fixed values.
+SHORTENED = ("dr", "st", "jr", "sr", "kl", "ca", "bl", "dvs", "feks", "mfl", "osv", "fk", "aa", "a", "f", "k")
+_KEPT_STOP = "\ue000"
+#: Where one claim ends and the next begins: lines, sentences, semicolons, words of contrast. Fixed values.
+CLAIM_ENDS = "[\\r\\n]+|(?<=[.!?])\\s+(?=[A-ZÆØÅ])|;\\s+|\\s+(?:mens|derimot)\\s+|\\s+i\\s+en\\s+annen\\s+(?:kamp|notis)\\s+"
+
+
+def claims(c: Column) -> Column:
+    """The claims of a text in order, without empty ones."""
+    marked = F.regexp_replace(c, f"(?i)(?<![A-Za-z0-9_])({'|'.join(SHORTENED)})\\.", "$1" + _KEPT_STOP)
+    parts = F.transform(F.split(marked, CLAIM_ENDS), lambda p: F.regexp_replace(F.replace(p, F.lit(_KEPT_STOP), F.lit(".")), "^\\s+|\\s+$", ""))
+    return F.filter(parts, lambda p: p != "")
+
+
+def parsed_search(c: Column, first: int = 1914, last: int = 2100, most: int = 6) -> Column:
+    """What a search asks for: years within bounds, each once, and the other words; ``most`` of each are taken, as the length
+    of a search is up to its sender."""
+    tokens = F.filter(F.split(F.lower(c), "\\s+"), lambda t: t != "")
+    is_year = lambda t: F.when(t.rlike("^[0-9]{4}$"), t.try_cast("int").between(first, last)).otherwise(False)
+    years = F.array_distinct(F.transform(F.filter(tokens, is_year), lambda t: t.cast("int")))
+    return F.struct(F.slice(years, 1, most).alias("years"), F.slice(F.filter(tokens, lambda t: ~is_year(t)), 1, most).alias("terms"))
+
+
+def club_key(identity_key: Column, name: Column, ident: Column) -> Column:
+    """The key that all spellings of a club share: its own where it has one, else that of its name, of its id, or the id."""
+    of = lambda c: F.nullif(organisation_key(slug(c)), F.lit(""))
+    return F.coalesce(F.nullif(identity_key, F.lit("")), of(name), of(ident), ident)
+
+
+def club_forms(ident: Column, name: Column, short: Column, former: Column, variants: Column) -> Column:
+    """All spellings that a club is known by, empty ones left out; former and variants are arrays or null."""
+    none = F.array().cast("array<string>")
+    return F.filter(F.concat(F.array(ident, name, short), F.coalesce(former, none), F.coalesce(variants, none)), lambda x: x.isNotNull() & (x != ""))
+
+
+def is_encoding_repair(base: Column, head: Column) -> Column:
+    """Whether a text differs from its damaged form in nothing but characters where that has replacement characters."""
+    same = F.replace(base, F.lit("\ufffd"), F.lit("")) == F.regexp_replace(head, "[^\\x00-\\x7F]", "")
+    return F.coalesce(F.contains(base, F.lit("\ufffd")) & same, F.lit(False))

@@ -63,6 +63,41 @@ def decision(best: Column, second: Column, exact: Column, conflict: Column, floo
     )
 
 
+#: What a fragment's kind counts, and what a hint of its date counts by confidence. Fixed values.
+KINDS = {"article": 15, "result_list": 5, "fixture_list": -20, "standings": -20, "coupon": -20}
+TEMPORAL = {"high": 12, "medium": 8, "low": 3}
+
+
+def fragment_score(f: DataFrame) -> DataFrame:
+    """Adds what a fragment proves for a hypothesis. f has kind, opponent_found, own_found, match_talk, score_matches (null
+    without a printed score), competition_agrees, side_agrees and temporal (a confidence or null). A score counts only where both
+    sides are named, a date only there or where a match is talked of; a score that differs never excludes."""
+    both = F.col("opponent_found") & F.col("own_found")
+    value = lambda c, of: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in of.items() for x in p)), F.col(c)), F.lit(0))
+    named = F.when(both, 25).when(F.col("opponent_found") | F.col("own_found"), 8).otherwise(0)
+    agrees = weighted([(F.col("match_talk"), 15), (both & F.col("score_matches"), 25), (F.col("competition_agrees"), 10), (F.col("side_agrees"), 10)])
+    dated = F.when(both | F.col("match_talk"), value("temporal", TEMPORAL)).otherwise(0)
+    return f.withColumns({"same_fragment": both, "evidence_score": value("kind", KINDS) + named + agrees + dated})
+
+
+def edge_scores(hypotheses: DataFrame, events: DataFrame, on: list[str], floor: int = 45) -> DataFrame:
+    """Hypotheses against the events of their group. hypotheses: hypothesis, scores (array of home, away), sides and
+    competitions (arrays); events: event, score, date_confidence, same_fragment, printed (home, away, or null), side,
+    competitions (array), article, items. An event without a fragment on both sides and without the score proves nothing, nor
+    does one with an unsure date and a low score; edges below ``floor`` are left out."""
+    h = hypotheses.select(*on, "hypothesis", "scores", F.col("sides").alias("_sides"), F.col("competitions").alias("_named"))
+    e = events.select(*on, "event", "score", "date_confidence", "same_fragment", "printed", "side", "competitions", "article", "items")
+    seen = F.col("printed").isNotNull()
+    straight = F.coalesce(seen & F.exists("scores", lambda s: (s["home"] == F.col("printed.home")) & (s["away"] == F.col("printed.away"))), F.lit(False))
+    turned = F.coalesce(seen & F.exists("scores", lambda s: (s["home"] == F.col("printed.away")) & (s["away"] == F.col("printed.home"))), F.lit(False))
+    linked = F.col("same_fragment") | straight | turned
+    unsure = ~(straight | turned) & (F.col("date_confidence") == "low") & (F.col("score") < 55)
+    league = F.when(F.arrays_overlap("_named", "competitions"), 15).when(F.size("competitions") > 0, 10).otherwise(0)
+    total = F.col("score") + F.when(straight, 20).when(turned, 15).otherwise(0) + weighted([(F.array_contains("_sides", F.col("side")), 10), (F.col("article"), 10), (F.col("items") > 1, 5)]) + league
+    rows = h.join(e, on).filter(linked & ~F.coalesce(unsure, F.lit(False)))
+    return rows.select(*on, "hypothesis", "event", F.round(total).cast("int").alias("edge")).filter(F.col("edge") >= floor)
+
+
 def assign(edges: pd.DataFrame, margin: float = 10.0, exhaustive: int = 6) -> pd.DataFrame:
     """One group's hypotheses on its events, one to one, for the largest sum of scores: exactly up to
     ``exhaustive`` hypotheses and twice as many events, else by taking the best edge left. An assignment is accepted if
