@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..catalog import COUNTED
 
@@ -122,6 +123,17 @@ def ranked(matches: DataFrame, ranking: str, limit: int = 20, most: int = 100) -
     return rows.orderBy(order(column), F.desc("match_date"), "match_id").limit(min(max(limit, 1), most))
 
 
+def all_rankings(matches: DataFrame, limit: int = 20, most: int = 100) -> DataFrame:
+    """The first matches under every ranking, from one pass: each part of the input keeps its own first rows before any are
+    shuffled. Ties as in ``ranked``; matches without the value come last."""
+    rows = matches.filter(counted()).withColumn("goals", F.col("own_score") + F.col("opponent_score"))
+    size = {"match_date": F.unix_date("match_date")}
+    keys = {name: size.get(c, F.col(c)) * (1 if order is F.asc else -1) for name, (order, c) in RANKINGS.items()}
+    each = rows.select("*", F.inline(F.array(*(F.struct(F.lit(name).alias("ranking"), k.alias("_key")) for name, k in keys.items()))))
+    place = F.row_number().over(Window.partitionBy("ranking").orderBy(F.asc_nulls_last("_key"), F.desc("match_date"), "match_id"))
+    return each.withColumn("_place", place).filter(F.col("_place") <= min(max(limit, 1), most)).drop("_key", "_place")
+
+
 def filtered(df: DataFrame, conditions: list[Column | None]) -> DataFrame:
     """All conditions that are given."""
     given = [c for c in conditions if c is not None]

@@ -64,12 +64,7 @@ FROM nation LEFT JOIN t ON n_nationkey = opponent_id WHERE n_nationkey <> 7"""
 
 
 def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matches(spark, sf_dir)
-    parts = [views.ranked(rows, r, 10).select(F.lit(r).alias("ranking"), "match_id", "match_date", "goal_difference", "goals") for r in views.RANKINGS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return views.all_rankings(matches(spark, sf_dir), 10).select("ranking", "match_id", "match_date", "goal_difference", "goals")
 
 
 def _rankings_sql() -> str:
