@@ -33,11 +33,13 @@ def brute(docs, max_n, min_count, top):
     out = []
     for lang, f in counts.items():
         candidates = {p: a for p, a in f.items() if len(p) > 1 and a >= min_count}
-        kept = []
+        kept, longest = [], Counter()
+        for q, b in candidates.items():
+            for part in {q[i : i + size] for size in range(2, len(q)) for i in range(len(q) - size + 1)}:
+                longest[part] = max(longest[part], b)
         for p, a in candidates.items():
             score, k = min((1000000 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
-            longer = [b for q, b in candidates.items() if len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q)))]
-            if not any(100 * b >= 50 * a for b in longer):
+            if 100 * longest[p] < 50 * a:
                 kept.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
         for rank, (score, a, phrase, l, r) in enumerate(sorted(kept)[:top], 1):
             out.append((lang, rank, phrase.decode(), -a, l, r, n[lang], -score))
