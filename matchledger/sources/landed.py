@@ -68,11 +68,15 @@ def infobox(pages: DataFrame, page: str, html: str) -> DataFrame:
 
 
 def scanned_words(pages: DataFrame, page: str, xml: str) -> DataFrame:
-    """Words of pages from text recognition, by their attributes: page, line, nth, word, x, y, confidence."""
+    """Words of pages from text recognition, by their attributes: page, line, nth, word, x, y, width, height, confidence. Of a word
+    that a line end parts, the first half stands for the whole and the second is left out."""
     lines = pages.select(page, F.posexplode(F.regexp_extract_all(xml, F.lit("(?s)<TextLine\\b.*?</TextLine>"), F.lit(0))).alias("line", "_l"))
     tags = lines.select(page, "line", F.posexplode(F.regexp_extract_all("_l", F.lit("<String\\b[^>]*>"), F.lit(0))).alias("nth", "_s"))
     of = lambda name: F.nullif(F.regexp_extract("_s", f'\\b{name}="([^"]*)"', 1), F.lit(""))
-    return tags.select(page, "line", "nth", plain_text(of("CONTENT")).alias("word"), of("HPOS").try_cast("double").alias("x"), of("VPOS").try_cast("double").alias("y"), of("WC").try_cast("double").alias("confidence"))
+    number = lambda name: of(name).try_cast("double")
+    rows = tags.withColumn("_half", of("SUBS_TYPE")).filter("_half IS NULL OR _half <> 'HypPart2'")
+    word = F.when(F.col("_half") == "HypPart1", F.coalesce(of("SUBS_CONTENT"), of("CONTENT"))).otherwise(of("CONTENT"))
+    return rows.select(page, "line", "nth", plain_text(word).alias("word"), number("HPOS").alias("x"), number("VPOS").alias("y"), number("WIDTH").alias("width"), number("HEIGHT").alias("height"), number("WC").alias("confidence"))
 
 
 def templates(pages: DataFrame, page: str, wikitext: str, name: str) -> DataFrame:

@@ -71,7 +71,7 @@ def test_infobox_words_and_templates(spark):
     wiki = "x {{Squad player|no=1|nat={{flag|NOR}}|name=[[Ola N (player)|Ola N]]|pos=GK}} {{other|a=1}}\n{{squad player|no=2|name=[[Per]]|no=3}}"
     df = spark.createDataFrame([(1, html, xml, wiki)], "id int, html string, xml string, wiki string")
     assert [(r["label"], r["value"]) for r in landed.infobox(df, "id", "html").orderBy("nth").collect()] == [("Born", "1 May 1970"), ("Club", "X")]
-    assert [tuple(r)[1:] for r in landed.scanned_words(df, "id", "xml").orderBy("line", "nth").collect()] == [(0, 0, "A", 1.0, 2.5, 0.9), (0, 1, "b&c", 9.0, 3.0, None), (1, 0, "d", None, None, None)]
+    assert [(r["line"], r["nth"], r["word"], r["x"], r["y"], r["confidence"]) for r in landed.scanned_words(df, "id", "xml").orderBy("line", "nth").collect()] == [(0, 0, "A", 1.0, 2.5, 0.9), (0, 1, "b&c", 9.0, 3.0, None), (1, 0, "d", None, None, None)]
     uses = landed.templates(df, "id", "wiki", "squad player").orderBy("nth").collect()
     assert [r["parameters"] for r in uses] == [{"no": "1", "nat": "NOR", "name": "Ola N", "pos": "GK"}, {"name": "Per", "no": "3"}]
 
