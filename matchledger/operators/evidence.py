@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .allocation import shortest_paths
+
 #: What each confidence of a date counts.
 WEIGHTS = {"high": 3, "medium": 2, "low": 1}
 
@@ -98,51 +102,38 @@ def edge_scores(hypotheses: DataFrame, events: DataFrame, on: list[str], floor:
     return rows.select(*on, "hypothesis", "event", F.round(total).cast("int").alias("edge")).filter(F.col("edge") >= floor)
 
 
-def assign(edges: pd.DataFrame, margin: float = 10.0, exhaustive: int = 6) -> pd.DataFrame:
-    """One group's hypotheses on its events, one to one, for the largest sum of scores: exactly up to
-    ``exhaustive`` hypotheses and twice as many events, else by taking the best edge left. An assignment is accepted if
-    the hypothesis's next best event scores lower by ``margin`` at least."""
-    score = {(r.hypothesis, r.event): r.score for r in edges.itertuples()}
-    people, events = sorted(edges["hypothesis"].unique()), sorted(edges["event"].unique())
-    if len(people) <= exhaustive and len(events) <= 2 * exhaustive:
-        # By events in turn: the best sum for each set of hypotheses that have one, and who got which.
-        best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-        for e in events:
-            after = dict(best)
-            for taken, (total, chosen) in best.items():
-                for i, h in enumerate(people):
-                    if (h, e) in score and not taken >> i & 1:
-                        sum_ = total + score[h, e]
-                        if taken | 1 << i not in after or sum_ > after[taken | 1 << i][0]:
-                            after[taken | 1 << i] = (sum_, (*chosen, (h, e)))
-            best = after
-        pairs = dict(max(best.values(), key=lambda x: x[0])[1])
-    else:
-        pairs, taken = {}, set()
-        for (h, e), _ in sorted(score.items(), key=lambda x: (-x[1], x[0])):
-            if h not in pairs and e not in taken:
-                pairs[h] = e
-                taken.add(e)
+def assign(score: dict[tuple[str, str], float], margin: float = 10.0) -> list[tuple]:
+    """(hypothesis, event, score, state) of one group, from the scores of its hypotheses and events: one to one, for the largest sum, whatever the group's
+    size; a negative score is worse than no event. An assignment is accepted if the hypothesis's next best event scores lower by ``margin`` at least."""
+    people, events = sorted({h for h, _ in score}), sorted({e for _, e in score})
+    # a column for each event, and one of cost 0 for each hypothesis that stays without
+    barred = 1.0 + sum(map(abs, score.values()))
+    cost = np.zeros((len(people), len(events) + len(people)))
+    cost[:, : len(events)] = [[-score[h, e] if (h, e) in score else barred for e in events] for h in people]
+    column, _, _ = shortest_paths(cost)
     out = []
-    for h in people:
-        e = pairs.get(h)
-        rest = [s for (a, b), s in score.items() if a == h and b != e]
+    for h, c in zip(people, column, strict=True):
+        e = events[c] if c < len(events) else None
+        rest = [score[h, x] for x in events if x != e and (h, x) in score]
         state = "rejected" if e is None else "accepted" if not rest or score[h, e] - max(rest) >= margin else "unresolved"
         out.append((h, e, None if e is None else score[h, e], state))
-    return pd.DataFrame(out, columns=["hypothesis", "event", "score", "state"])
+    return out
 
 
-def assigned(edges: DataFrame, group: str = "grp", margin: float = 10.0, exhaustive: int = 6) -> DataFrame:
-    """``assign`` for every group: (grp, hypothesis, event, score, state). Groups are small by their nature: the claims
-    and events of one season and opponent."""
+def assigned(edges: DataFrame, group: str = "grp", margin: float = 10.0) -> DataFrame:
+    """``assign`` for every group: (grp, hypothesis, event, score, state). Choose groups that grow in number with the table, not in size. Each becomes one
+    row, so that a task reads many at once."""
+    kind = dict(edges.dtypes)[group]
+    held = F.collect_list(F.struct("hypothesis", "event", F.col("score").cast("double").alias("score"))).alias("edges")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = assign(rows, margin, exhaustive)
-        out.insert(0, "grp", key[0])
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(g, *made) for g, found in zip(*(c.to_pylist() for c in batch.columns), strict=True) for made in assign({(x["hypothesis"], x["event"]): x["score"] for x in found}, margin)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = [batch.schema.field(0).type, pa.string(), pa.string(), pa.float64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["grp", "hypothesis", "event", "score", "state"])
 
-    kind = dict(edges.dtypes)[group]
-    return edges.select(F.col(group).alias("grp"), "hypothesis", "event", F.col("score").cast("double").alias("score")).groupBy("grp").applyInPandas(run, f"grp {kind}, hypothesis string, event string, score double, state string")
+    return edges.groupBy(F.col(group).alias("grp")).agg(held).mapInArrow(run, f"grp {kind}, hypothesis string, event string, score double, state string")
 
 
 def merged_snippets(parts: list[str], least: int = 24) -> str:

@@ -402,10 +402,11 @@ SELECT source, CAST(best AS INTEGER) AS best, CASE WHEN best IS NULL OR best < 4
 
 
 def assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims of one month on the matches of that season, opponent and month, by how close their scores are."""
-    c = _claims(spark, sf_dir).withColumn("month", F.date_trunc("month", "match_date")).select(F.concat_ws("/", F.col("season").cast("string"), F.col("opponent_id").cast("string"), F.col("month").cast("string")).alias("grp"), F.col("claim_id").alias("hypothesis"), "goal_difference")
-    m = _matches(spark, sf_dir).filter(views.counted()).withColumn("month", F.date_trunc("month", "match_date")).select(F.concat_ws("/", F.col("season").cast("string"), F.col("opponent_id").cast("string"), F.col("month").cast("string")).alias("grp"), F.col("match_id").alias("event"), F.col("goal_difference").alias("gd"))
-    return evidence.assigned(c.join(m, "grp").select("grp", "hypothesis", "event", (60 - 10 * F.abs(F.col("goal_difference") - F.col("gd"))).alias("score")))
+    """The returned lines of each order as claims on its lines, by how close quantity and day are."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("grp"), F.col("l_linenumber").cast("string").alias("n"), F.col("l_quantity").cast("int").alias("q"), F.col("l_shipdate").cast("date").alias("d"), "l_returnflag")
+    claims = lines.filter("l_returnflag = 'R'").select("grp", F.col("n").alias("hypothesis"), ((F.col("q") * 3) % 50).alias("claimed"), F.date_add("d", 9).alias("day"))
+    score = 60 - F.abs(F.col("claimed") - F.col("q")) - F.floor(F.abs(F.datediff("day", "d")) / 3)
+    return evidence.assigned(claims.join(lines, "grp").select("grp", "hypothesis", F.col("n").alias("event"), score.alias("score")))
 
 
 def _heads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import table
 from ..functions import classify, dates, text
-from ..operators import evidence, reports
+from ..operators import allocation, evidence, reports
 
 NOTES = ("hjemmekamp", "Bortekamp i cupen", "omkamp, finale", "2. divisjon", "kval.-kamp på Vigra", "ekstraomganger", "privatkamp (h)", "seriekamp i Oslo", "NM", "Tippecup", "3.div", "")
 REMARKS = ("Relegated", "promotion play-off", "Relegation Playoff", "Tables only", "round by round", "Play-off winner", "Promoted to 1. div", "kun tabell", "in the middle")
@@ -370,6 +370,25 @@ def edge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.edge_scores(hypotheses, events, ["grp"]).select("hypothesis", "event", "edge")
 
 
+def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The returned lines of each order as claims in the order of their numbers, on its lines as events: an order has at most a few lines."""
+    pair = lambda h, a: F.struct(h.cast("int").alias("home"), a.cast("int").alias("away"))
+    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey IS NOT NULL")
+    n, grp = F.col("l_partkey"), F.col("l_orderkey").alias("grp")
+    none = F.array().cast("array<string>")
+    name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    claims = lines.filter("l_returnflag = 'R'").select(
+        grp, name.alias("hypothesis"), F.col("l_linenumber").cast("int").alias("ord"), F.array(pair(n % 3, n % 2)).alias("scores"), F.when(n % 2 == 0, F.array(F.lit("home"))).otherwise(none).alias("sides"),
+        F.when(n % 4 == 0, F.array(F.lit("cup"))).otherwise(none).alias("competitions"), F.when(n % 5 != 0, F.concat_ws("|", n % 3, n % 2, n % 4 == 0)).alias("alike"),
+    )
+    events = lines.select(
+        grp, name.alias("event"), (30 + n % 50).cast("int").alias("score"), F.when(n % 9 != 0, F.col("l_shipdate").cast("date")).alias("date"), F.when(n % 3 == 0, "low").otherwise("high").alias("date_confidence"), (n % 4 != 0).alias("same_fragment"),
+        F.when(n % 7 != 0, pair(n % 3, F.col("l_suppkey") % 2)).alias("printed"), F.when(n % 7 < 5, _pick(("home", "away"), n)).alias("side"), F.when(n % 6 == 0, F.array(F.lit("cup"))).otherwise(none).alias("competitions"), (n % 8 == 0).alias("article"), (n % 3).alias("items"),
+    )
+    edges = evidence.edge_scores(claims, events, ["grp"])
+    return allocation.allocated(claims, events.withColumn("printed", F.col("printed").isNotNull()), edges, ["grp"]).withColumn("alternatives", F.transform("alternatives", lambda x: F.concat_ws("=", x["event"], x["score"])))
+
+
 EDGE_SQL = """
 WITH j AS (SELECT o_orderkey AS k, l_orderkey || '-' || l_linenumber AS event, l_partkey AS n, CASE WHEN l_partkey % 5 <> 0 THEN l_partkey % 3 END AS h, l_suppkey % 4 AS a, o_orderkey % 3 AS eh, o_orderkey % 4 AS ea FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 m AS (SELECT *, coalesce(h = eh AND a = ea, FALSE) AS s, coalesce(h = ea AND a = eh, FALSE) AS t FROM j),
@@ -404,4 +423,5 @@ DEFINED = {
     "batch_policies": (batch_policies, "SELECT o_orderkey AS hypothesis, s AS siblings, CASE WHEN s > 1 THEN 'manual' ELSE 'automatic' END AS policy FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey, year(o_orderdate)) AS s FROM orders)"),
     "fragment_scores": (fragment_scores, FRAGMENT_SQL),
     "edge_scores": (edge_scores, EDGE_SQL),
+    "allocations": (allocations, None),
 }

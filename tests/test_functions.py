@@ -4,7 +4,6 @@ import datetime
 import random
 from itertools import permutations
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,8 +46,9 @@ def test_assignment_is_exact():
         score = {(h, e): s for h, e, s in edges}
         people, events = sorted({h for h, _ in score}), sorted({e for _, e in score})
         best = max(sum(score[p] for p in zip(people, order, strict=True) if p[1]) for order in set(permutations([*events, *[None] * len(people)], len(people))) if all(e is None or (h, e) in score for h, e in zip(people, order, strict=True)))
-        got = evidence.assign(pd.DataFrame(edges, columns=["hypothesis", "event", "score"]))
-        assert got["score"].sum() == best and got["event"].dropna().is_unique
+        got = evidence.assign(score)
+        events = [e for _, e, _, _ in got if e]
+        assert sum(s or 0 for _, _, s, _ in got) == best and len(set(events)) == len(events) and [h for h, _, _, _ in got] == people
 
 
 def test_gate(spark, tmp_path):
