@@ -137,13 +137,6 @@ def json_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_nationkey", F.to_json("s").alias("segments"), F.to_json(F.struct(F.col("n").alias("all"), F.col("neg").alias("negative"))).alias("counts"))
 
 
-def json_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The type of a JSON value by its text."""
-    raw = F.get_json_object("props", "$.k")
-    kind = F.when(F.col("props").isNull(), "none").when(raw.isNull(), "absent").when(raw.rlike(r"^-?\d+$"), "integer").when(raw.rlike(r"^-?\d+\.\d+$"), "real").when(raw.isin("true", "false"), "boolean").otherwise("text")
-    return table(spark, sf_dir, "events").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.max(raw.try_cast("long")).alias("largest"))
-
-
 def regional_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three tables joined; the total of each region's nation totals, beside the largest of them."""
     per = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
@@ -252,7 +245,6 @@ DEFINED = {
     "missing_overview": (missing_overview, "SELECT source, count(*) AS documents, count(*) FILTER (lang IS NULL) AS no_lang, count(*) FILTER (coalesce(length(text), 0) = 0) AS no_text, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)) AS no_label FROM documents GROUP BY source"),
     "source_inventory": (source_inventory, "SELECT coalesce(s, 'all') AS source, coalesce(l, 'all') AS lang, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM (SELECT coalesce(source, '?') AS s, coalesce(lang, '?') AS l, n_chars FROM documents) GROUP BY ROLLUP (s, l)"),
     "json_groups": (json_groups, "SELECT c_nationkey, CAST(to_json(list_sort(list(DISTINCT c_mktsegment))) AS VARCHAR) AS segments, CAST(to_json({'all': count(*), 'negative': count(*) FILTER (c_acctbal < 0)}) AS VARCHAR) AS counts FROM customer GROUP BY c_nationkey"),
-    "json_types": (json_types, "SELECT kind, count(*) AS n, max(TRY_CAST(raw AS BIGINT)) AS largest FROM (SELECT json_extract_string(props, '$.k') AS raw, CASE WHEN props IS NULL THEN 'none' WHEN raw IS NULL THEN 'absent' WHEN regexp_full_match(raw, '-?\\d+') THEN 'integer' WHEN regexp_full_match(raw, '-?\\d+\\.\\d+') THEN 'real' WHEN raw IN ('true', 'false') THEN 'boolean' ELSE 'text' END AS kind FROM events) GROUP BY kind"),
     "regional_totals": (regional_totals, "WITH p AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY ALL) SELECT r_name, CAST(sum(n) AS BIGINT) AS suppliers, max(n) AS most, arg_max(n_name, {'n': n, 'm': n_name}) AS leader FROM p JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"),
     "joined_by_case": (joined_by_case, "SELECT n_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = CASE WHEN o_orderstatus = 'O' THEN c_nationkey ELSE month(o_orderdate) END GROUP BY n_name"),
     "either_side": (either_side, f"WITH {ENCOUNTERS_SQL} SELECT n_name, count(*) AS n FROM encounters JOIN nation ON home_id = n_nationkey OR away_id = n_nationkey GROUP BY n_name"),
