@@ -5,7 +5,7 @@ words, or, with fewer words, the whole sequence as one. One pass hashes each shi
 name one of ``BINS`` bins, which keeps its least hash, and an empty bin takes the value of a full one that a
 random sequence of its own visits first (optimal densification). Runs of ``ROWS`` bins are the bands.
 
-Texts with equal sets fold into the smallest doc_id first, by a 128-bit fingerprint. In a bucket every member
+Texts with equal sets fold into one set first, by a 128-bit fingerprint. In a bucket every member
 is paired with the bucket's smallest only, so a bucket of n gives n - 1 pairs. Pairs are confirmed on full sets.
 Further rounds look at buckets whose members are still in different components: ``CENTRES`` random members become the
 bucket's centres, and members of other components are held against them; rounds end when one finds no link. An exact
@@ -15,8 +15,8 @@ the rest is confirmed on full sets. So every similar pair that shares a bucket i
 similarity of 0.8 two sets miss all 32 bands with a probability of 5e-8.
 
 Null text counts as empty; a text without words has an empty set and is linked with nothing, as is a row
-without doc_id (component_id null, kept true). Rows that repeat a doc_id share its component; other columns are
-ignored; an empty table gives no rows.
+without doc_id (component_id null, kept true). Rows that repeat a doc_id share its component, and the sets of their texts are all
+held against others; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def densify(sketch: np.ndarray, full: np.ndarray) -> None:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, a fingerprint of the set (k1, k2) and the band hashes."""
+    """doc_id, a hash of the text, n_shingles, a fingerprint of the set (k1, k2) and the band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -102,9 +102,9 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 for r in range(ROWS):
                     bands = mix64(bands * np.uint64(0x9E3779B97F4A7C15) + sketch[:, r::ROWS])
             rows = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS), pa.int32()), pa.array(bands.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), rows], ["doc_id", "n_shingles", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(counts), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), rows], ["doc_id", "t", "n_shingles", "k1", "k2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, t long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
 def similar(pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -211,12 +211,23 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
     return sides.mapInArrow(run, "u long, v long")
 
 
+def same_ids(signed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) that link the sets of each doc_id that has several, as a star."""
+    key = F.struct("k1", "k2")
+    several = signed.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo < hi").select("doc_id")
+    reps = signed.join(several, "doc_id").select("doc_id", "k1", "k2").distinct().join(sets.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep")
+    least = reps.groupBy("doc_id").agg(F.min("rep").alias("v"))
+    return reps.join(least, "doc_id").filter("rep > v").select(F.col("rep").alias("u"), "v")
+
+
 def groups(docs: DataFrame, shingle: int = 5, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row."""
+    """doc_id, n_shingles, component_id and kept for every row. Each different set has a number of its own (rep), by which it goes through the rounds."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = staged(signatures(docs, shingle), "signed")
-    sets = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min_by(F.struct("n_shingles", "bands"), "doc_id").alias("s"), F.min("doc_id").alias("rep"))
-    sets = staged(sets.select("k1", "k2", "rep", F.col("s.n_shingles").cast("int").alias("n"), "s.bands"), "sets")
+    worded = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    sets = worded.groupBy("k1", "k2").agg(F.min_by(F.struct("n_shingles", "bands", "doc_id", "t"), F.struct("doc_id", "t")).alias("s"))
+    sets = sets.select("k1", "k2", F.monotonically_increasing_id().alias("rep"), "s.doc_id", "s.t", F.col("s.n_shingles").cast("int").alias("n"), "s.bands")
+    sets = staged(sets, "sets")
     each = sets.select(F.posexplode("bands").alias("band", "hash"), "rep", "n")
     shared = each.groupBy("band", "hash").agg(F.count("*").alias("c"), F.min("rep").alias("centre"), F.min_by("n", "rep").alias("m")).filter("c > 1").drop("c")
     members = staged(each.join(shared, ["band", "hash"]), "members")
@@ -224,15 +235,15 @@ def groups(docs: DataFrame, shingle: int = 5, threshold: float = THRESHOLD) -> D
     def close(n, m):
         return F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - 1e-9
 
-    held = members.select(F.col("rep").alias("doc_id")).distinct()
-    held = staged(docs.join(held, "doc_id").dropDuplicates(["doc_id"]), "held")
+    held = sets.join(members.select("rep").distinct(), "rep").select("rep", "doc_id", "t")
+    held = staged(docs.withColumn("t", F.xxhash64("text")).join(held, ["doc_id", "t"]).select("rep", "text").dropDuplicates(["rep"]), "held")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(held.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(held.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+        sides = pairs.join(held.select(F.col("rep").alias("u"), F.col("text").alias("a")), "u").join(held.select(F.col("rep").alias("v"), F.col("text").alias("b")), "v")
         return similar(sides.select("u", "v", "a", "b"), shingle, threshold)
 
     tested = staged(members.filter((F.col("rep") != F.col("centre")) & close(F.col("n"), F.col("m"))).select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct(), "pairs")
-    links = components(confirmed(tested))
+    links = components(confirmed(tested).union(same_ids(worded, sets)))
     turn = 0
     while True:
         turn += 1
@@ -248,13 +259,15 @@ def groups(docs: DataFrame, shingle: int = 5, threshold: float = THRESHOLD) -> D
             break
         links, tested = components(links.union(found)), tested.union(fresh)
     percent = round(threshold * 100)
-    rest = members.select(F.col("rep").alias("doc_id"), "n", "c").distinct()
-    rest = staged(prefixes(held.join(rest, "doc_id").select(F.col("doc_id").alias("rep"), "c", "n", "text"), shingle, percent), "rest")
+    rest = members.select("rep", "n", "c").distinct()
+    rest = staged(prefixes(held.join(rest, "rep").select("rep", "c", "n", "text"), shingle, percent), "rest")
     fresh = staged(candidates(rest, percent).join(tested, ["u", "v"], "left_anti"), "pairs")
     found = staged(confirmed(fresh), "found")
     if not found.isEmpty():
         links = components(links.union(found))
-    named = sets.select("k1", "k2", "rep").join(links.select(F.col("u").alias("rep"), F.col("v").alias("c")), "rep", "left").select("k1", "k2", F.coalesce("c", "rep").alias("c"))
+    named = sets.select("k1", "k2", "rep", "doc_id").join(links.select(F.col("u").alias("rep"), F.col("v").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    least = named.groupBy("c").agg(F.min("doc_id").alias("least"))  # the smallest doc_id of a component
+    named = named.join(least, "c").select("k1", "k2", F.col("least").alias("c"))
     alone = F.col("n_shingles") == 0
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     out = out.withColumn("component_id", F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("c")))

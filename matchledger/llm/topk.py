@@ -12,8 +12,8 @@ in blocks; the k best of each shard meet in a window by query.
 
 Vectors that are null, or hold nulls or values that aren't finite, take no part, nor do rows without vec_id. Sums are exact
 at any size: in floating point or 64 bits where they fit, else in Python's integers. A score beyond the range of a long
-counts as the end of that range. Missing components count as 0. Of rows that repeat a vec_id the one with the smallest
-vector counts. Other columns are ignored; without vectors there are no rows.
+counts as the end of that range. Missing components count as 0. Rows that repeat a vec_id are vectors of their own: each is a candidate
+for all other rows, and as a query each has its own k best. Other columns are ignored; without vectors there are no rows.
 """
 
 from __future__ import annotations
@@ -38,10 +38,10 @@ NONE = np.iinfo(np.int64).min
 
 
 def finite(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, v array<double>) of the vectors that take part."""
+    """(row, vec_id, v array<double>) of the vectors that take part; row numbers them."""
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda e: e.isNotNull() & (F.abs(e) < float("inf")))  # false for NaN, as NaN is largest
-    return rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
+    return rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
 
 
 def matrix(lists: list, width: int) -> np.ndarray:
@@ -61,30 +61,28 @@ def integers(x: np.ndarray) -> np.ndarray:
 
 
 def _blocks(vectors: DataFrame, shards: int, width: int, block: int) -> DataFrame:
-    """vectors: vec_id, v and asks, whether it is a query."""
+    """vectors: row, vec_id, v and asks, whether it is a query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, last = TaskContext.get().partitionId(), [], None
+        shard, held = TaskContext.get().partitionId(), []
 
         def row() -> pa.RecordBatch:
-            ids, vectors, asks = zip(*held, strict=True)
+            marks, ids, vectors, asks = zip(*held, strict=True)
             own = matrix(vectors, width)
-            data = [pa.array([shard], pa.int64()), *(pa.array([x.tobytes()]) for x in (np.array(ids, "<i8"), own, own.max(0), own.min(0), np.array(asks, bool)))]
+            data = [pa.array([shard], pa.int64()), *(pa.array([x.tobytes()]) for x in (np.array(ids, "<i8"), own, own.max(0), own.min(0), np.array(asks, bool), np.array(marks, "<i8")))]
             held.clear()
-            return pa.RecordBatch.from_arrays(data, ["shard", "ids", "rows", "most", "least", "asks"])
+            return pa.RecordBatch.from_arrays(data, ["shard", "ids", "rows", "most", "least", "asks", "marks"])
 
         for batch in batches:
-            for x in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "v", "asks")), strict=True):
-                if x[0] != last:
-                    last = x[0]
-                    held.append(x)
+            for x in zip(*(batch.column(c).to_pylist() for c in ("row", "vec_id", "v", "asks")), strict=True):
+                held.append(x)
                 if len(held) == block:
                     yield row()
         if held:
             yield row()
 
-    laid = vectors.repartitionByRange(shards, "vec_id").sortWithinPartitions("vec_id", "v")
-    return laid.mapInArrow(run, "shard long, ids binary, rows binary, most binary, least binary, asks binary")
+    laid = vectors.repartitionByRange(shards, "vec_id", "row").sortWithinPartitions("vec_id", "row")
+    return laid.mapInArrow(run, "shard long, ids binary, rows binary, most binary, least binary, asks binary, marks binary")
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -100,8 +98,8 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def search(ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray, ...]], k: int, floor: np.ndarray | None = None, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (vec_id, score) per query, with score NONE where there are fewer. blocks: (ids, rows, most, least); floor:
-    for each query a score that k others are known to reach, below which nothing is wanted; seen takes the number of
+    """The k best (vec_id, score) per query, with score NONE where there are fewer. ids: the queries' row numbers; blocks: (vec_ids, rows, most, least, row
+    numbers), where a query leaves out the row of its own number; floor: for each query a score that k others are known to reach, below which nothing is wanted; seen takes the number of
     (query, block) pairs scored and of all of them."""
     best = np.full((len(ids), k), NONE)
     who = np.full((len(ids), k), np.iinfo(np.int64).max)
@@ -119,7 +117,7 @@ def search(ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray,
         scored += len(live)
         for b in np.unique(at):
             rows = live[at == b]
-            found = np.where(blocks[b][0] == ids[rows, None], NONE, product(queries[rows], blocks[b][1]))
+            found = np.where(blocks[b][4] == ids[rows, None], NONE, product(queries[rows], blocks[b][1]))
             score = np.hstack([best[rows], found])
             name = np.hstack([who[rows], np.broadcast_to(blocks[b][0], found.shape)])
             by_name = np.argsort(name, axis=1, kind="stable")
@@ -132,22 +130,22 @@ def search(ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray,
 
 
 def _read(blocks: pa.Table, width: int) -> list[tuple[np.ndarray, ...]]:
-    """(ids, rows, most, least) of each block, as integers."""
-    ids = [np.frombuffer(x, "<i8") for x in blocks.column("ids").to_pylist()]
+    """(vec_ids, rows, most, least, row numbers) of each block, as integers."""
+    ids, marks = ([np.frombuffer(x, "<i8") for x in blocks.column(c).to_pylist()] for c in ("ids", "marks"))
     rows, most, least = ([integers(np.frombuffer(x, np.float64).reshape(-1, width)) for x in blocks.column(c).to_pylist()] for c in ("rows", "most", "least"))
-    return [(i, r, m[0], s[0]) for i, r, m, s in zip(ids, rows, most, least, strict=True)]
+    return [(i, r, m[0], s[0], n) for i, r, m, s, n in zip(ids, rows, most, least, marks, strict=True)]
 
 
-HITS = "query_id long, shard long, vec_id long, score long"
+HITS = "row long, query_id long, shard long, vec_id long, score long"
 
 
-def _hits(ids: np.ndarray, shards: np.ndarray, who: np.ndarray, score: np.ndarray) -> pa.Table:
+def _hits(rows: np.ndarray, ids: np.ndarray, shards: np.ndarray, who: np.ndarray, score: np.ndarray) -> pa.Table:
     k, real = who.shape[1], score.ravel() != NONE
-    return pa.table([pa.array(x) for x in (np.repeat(ids, k)[real], np.repeat(shards, k)[real], who.ravel()[real], score.ravel()[real])], HITS.replace(" long", "").split(", "))
+    return pa.table([pa.array(x) for x in (np.repeat(rows, k)[real], np.repeat(ids, k)[real], np.repeat(shards, k)[real], who.ravel()[real], score.ravel()[real])], HITS.replace(" long", "").split(", "))
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", block: int = BLOCK, shard: int = SHARD, part: int = PART) -> DataFrame:
-    """query_id, rank, vec_id and score: for each vector where ``is_query`` (a condition on vec_id) holds, its k best others."""
+    """query_id, rank, vec_id and score: for each row where ``is_query`` (a condition on vec_id) holds, its k best others."""
     ready = staged(finite(vectors, id_column, vector).withColumn("asks", F.coalesce(is_query, F.lit(False))), "vectors")
     n, wide, asked = ready.agg(F.count("*"), F.max(F.size("v")), F.count_if("asks")).first()
     width = max(wide or 1, 1)
@@ -158,28 +156,27 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id", v
     def at_home(group: pa.Table) -> pa.Table:
         own = _read(group, width)
         asks = [np.frombuffer(x, bool) for x in group.column("asks").to_pylist()]
-        ids = np.concatenate([b[0][a] for b, a in zip(own, asks, strict=True)])
+        ids, rows = (np.concatenate([b[i][a] for b, a in zip(own, asks, strict=True)]) for i in (0, 4))
         queries = np.concatenate([b[1][a] for b, a in zip(own, asks, strict=True)])
         home = np.full(len(ids), group.column("shard")[0].as_py())
-        return _hits(ids, home, *search(ids, queries, own, k))
+        return _hits(rows, ids, home, *search(rows, queries, own, k))
 
     def abroad(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _hits(*(np.zeros(0, np.int64),) * 2, *(np.zeros((0, k), np.int64),) * 2)
-        ids, floor = left.column("vec_id").to_numpy(), left.column("floor").to_numpy()
-        who, score = search(ids, integers(matrix(left.column("v").to_pylist(), width)), _read(right, width), k, floor)
-        return _hits(ids, left.column("shard").to_numpy(), who, score)
+            return _hits(*(np.zeros(0, np.int64),) * 3, *(np.zeros((0, k), np.int64),) * 2)
+        rows, ids, floor = (left.column(c).to_numpy() for c in ("row", "vec_id", "floor"))
+        who, score = search(rows, integers(matrix(left.column("v").to_pylist(), width)), _read(right, width), k, floor)
+        return _hits(rows, ids, left.column("shard").to_numpy(), who, score)
 
     home = staged(blocks.groupBy("shard").applyInArrow(at_home, HITS), "home")
-    known = home.groupBy("query_id").agg(F.first("shard").alias("home"), F.when(F.count("*") == k, F.min("score")).alias("floor"))
-    queries = ready.filter("asks").groupBy("vec_id").agg(F.min("v").alias("v"))
-    queries = queries.join(known, queries["vec_id"] == known["query_id"], "left").select("vec_id", "v", "home", F.coalesce("floor", F.lit(NONE)).alias("floor"))
+    known = home.groupBy("row").agg(F.first("shard").alias("home"), F.when(F.count("*") == k, F.min("score")).alias("floor"))
+    queries = ready.filter("asks").join(known, "row", "left").select("row", "vec_id", "v", "home", F.coalesce("floor", F.lit(NONE)).alias("floor"))
     # A shard has the number of its partition; queries without a hit at home are alone there.
-    queries = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
+    queries = queries.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
     queries = queries.filter(~F.col("shard").eqNullSafe(F.col("home")))
     sent = blocks.drop("asks").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     found = queries.groupBy("shard", "part").cogroup(sent.groupBy("shard", "part")).applyInArrow(abroad, HITS) if shards > 1 else home.limit(0)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return home.union(found).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -189,11 +186,11 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 WITH ready AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM ready q JOIN ready c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+  SELECT q.i, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM ready q JOIN ready c ON q.vec_id % 50 = 0 AND q.i <> c.i),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """

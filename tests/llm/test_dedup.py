@@ -111,6 +111,14 @@ def test_near_odd_rows(spark):
     assert near.groups(documents(spark, empty=True)).count() == 0
 
 
+def test_near_dedup_holds_every_text_of_a_repeated_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    order = [(1, a), (2, b), (2, a), (3, a + " z"), (4, b + " z"), (5, "alone in here"), (5, "quite another one"), (6, "alone in here"), (7, "quite another one"), (8, "no link"), (8, None)]
+    got = near.groups(spark.createDataFrame(order, "doc_id long, text string").repartition(3), 1).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got if r["n_shingles"]} == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 5, True), (6, 5, False), (7, 5, False), (8, 8, True)}
+    assert len(got) == len(order)
+
+
 def test_components(spark):
     pairs = [(i + 1, i) for i in range(0, 30)] + [(100, 90), (95, 100), (7, 3)]
     got = {r["u"]: r["v"] for r in graphs.components(spark.createDataFrame(pairs, "u long, v long")).collect()}

@@ -35,7 +35,21 @@ def test_top_k_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], schema), F.col("vec_id") % 2 == 0).count() == 0
     few = topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [])], schema), F.col("vec_id") == 0).collect()
-    assert {tuple(x) for x in few} == {(0, 1, 1, 256 * 512), (0, 2, 2, 0)}
+    assert sorted(tuple(x) for x in few) == [(0, 1, 1, 256 * 512), (0, 2, 1, 256 * 512), (0, 3, 2, 0)]
+
+
+@pytest.mark.parametrize("shard", [1, 2, 100])
+def test_rows_of_one_id_are_all_candidates_and_queries(spark, shard):
+    vectors = [(1, [2.0, 0.0]), (1, [9.0, 9.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (3, [0.0, 2.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") < 3, k=4, block=2, shard=shard).collect()))
+    want = []
+    for i, (q, a) in enumerate(vectors):
+        if q < 3:
+            found = sorted((-int(sum(256 * x * 256 * y for x, y in zip(a, b))), c) for j, (c, b) in enumerate(vectors) if j != i)[:4]
+            want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(found)]
+    assert got == sorted(want)
+    assert {(2, 1, 1, 1179648), (2, 2, 1, 131072)} <= set(got)
 
 
 def test_top_k_large_components(spark):
@@ -54,7 +68,7 @@ def test_pruning_skips_blocks_and_stays_exact():
     ids = np.arange(64)
     rows_ = np.zeros((64, 2), np.int64)
     rows_[:, 0] = ids
-    blocks = [(ids[i : i + 8], rows_[i : i + 8], rows_[i : i + 8].max(0), rows_[i : i + 8].min(0)) for i in range(0, 64, 8)]
+    blocks = [(ids[i : i + 8], rows_[i : i + 8], rows_[i : i + 8].max(0), rows_[i : i + 8].min(0), ids[i : i + 8]) for i in range(0, 64, 8)]
     who, score = topk.search(np.array([63]), np.array([[1, 0]]), blocks, 3)
     assert who.tolist() == [[62, 61, 60]] and score.tolist() == [[62, 61, 60]]
     seen = []
