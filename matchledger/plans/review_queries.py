@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import table
-from ..functions import classify, dates, text
+from ..catalog import ENCOUNTERS_SQL, encounters, table
+from ..functions import bindings, classify, dates, text
 from ..operators import allocation, evidence, reports
 
 NOTES = ("hjemmekamp", "Bortekamp i cupen", "omkamp, finale", "2. divisjon", "kval.-kamp på Vigra", "ekstraomganger", "privatkamp (h)", "seriekamp i Oslo", "NM", "Tippecup", "3.div", "")
@@ -396,6 +396,42 @@ e AS (SELECT k, event, n % 70 + CASE WHEN s THEN 20 WHEN t THEN 15 ELSE 0 END +
   + CASE WHEN n % 8 = 0 THEN 10 ELSE 0 END + CASE WHEN n % 3 > 1 THEN 5 ELSE 0 END AS edge FROM m WHERE (s OR t OR n % 4 = 0) AND NOT (NOT s AND NOT t AND n % 3 = 0 AND n % 70 < 55))
 SELECT k AS hypothesis, event, CAST(edge AS INTEGER) AS edge FROM e WHERE edge >= 45"""
 
+#: What a notice says of a match, by its number: outright, in two claims, with another pair, looking back, of another team, of two matches, without a score.
+_NOTICES = ("{a} - {b} {h}-{w} i serien.", "{a} vant over {b}. Resultatet ble {h}-{w}.", "{a} så {b} - Grenland {h}-{w}.", "Sist møttes {a} og {b} til {h}-{w}.", "{a} - {b} {h}-{w} i juniorkamp.", "{a} - {b} {h}-{w}. {b} - {a} {w}-{h}.", "{a} møtte {b} i regn.", "{b} - {a} {w}-{h}.")
+
+
+def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A notice of every encounter, which prints a score other than the recorded one now and then."""
+    names = table(spark, sf_dir, "nation").select("n_nationkey", F.initcap(F.translate("n_name", "_", " ")).alias("name"))
+    e = encounters(spark, sf_dir).filter("home_id IS NOT NULL AND away_id IS NOT NULL")
+    rows = e.join(names.toDF("home_id", "a"), "home_id").join(names.toDF("away_id", "b"), "away_id")
+    n = F.col("home_id") * 7 + F.col("away_id") * 3 + F.col("home_score") * 5 + F.col("away_score")
+    printed = F.when(n % 11 == 0, F.col("home_score") + 1).otherwise(F.col("home_score"))
+    text = F.get(F.array(*map(F.lit, _NOTICES)), n % len(_NOTICES))
+    for hole, value in (("{a}", F.col("a")), ("{b}", F.col("b")), ("{h}", printed.cast("string")), ("{w}", F.col("away_score").cast("string"))):
+        text = F.replace(text, F.lit(hole), value)
+    return rows.select("match_id", "home_score", "away_score", n.alias("n"), F.array("a").alias("own"), F.array("b").alias("other"), text.alias("text"))
+
+
+def bound_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each notice proves for its match: the score that its text binds to both names, and what that counts as evidence."""
+    read = bindings.fragments(_notices(spark, sf_dir), "text", "own", "other", "home_score", "away_score")
+    rows = read.withColumns({"kind": F.lit("article"), "match_talk": F.lit(False), "competition_agrees": F.lit(False), "side_agrees": F.lit(False), "temporal": F.lit(None).cast("string")})
+    scored = evidence.fragment_score(rows)
+    return scored.select("match_id", F.col("binding.home").alias("home"), F.col("binding.away").alias("away"), "binding.turned", "binding.agrees", "binding.retrospective", "binding.non_senior", "score_matches", "evidence_score")
+
+
+BOUND_SQL = f"""
+WITH {ENCOUNTERS_SQL},
+e AS (SELECT *, home_id * 7 + away_id * 3 + home_score * 5 + away_score AS n FROM encounters),
+p AS (SELECT *, CASE WHEN n % 11 = 0 THEN home_score + 1 ELSE home_score END AS h, away_score AS w, n % 8 AS t FROM e),
+q AS (SELECT *, t IN (0, 1, 3, 4, 7) AS bound, CASE WHEN t = 7 THEN w ELSE h END AS x, CASE WHEN t = 7 THEN h ELSE w END AS y FROM p),
+r AS (SELECT *, x = home_score AND y = away_score AS straight, x = away_score AND y = home_score AS backwards FROM q)
+SELECT match_id, CASE WHEN bound THEN CAST(x AS INTEGER) END AS home, CASE WHEN bound THEN CAST(y AS INTEGER) END AS away, CASE WHEN bound THEN backwards AND NOT straight END AS turned,
+       CASE WHEN bound THEN straight OR backwards END AS agrees, CASE WHEN bound THEN t = 3 END AS retrospective, CASE WHEN bound THEN t = 4 END AS non_senior,
+       CASE WHEN t IN (0, 1, 7) THEN straight OR backwards END AS score_matches,
+       CAST(15 + 25 + CASE WHEN t IN (0, 1, 7) AND (straight OR backwards) THEN 25 ELSE 0 END AS INTEGER) AS evidence_score FROM r"""
+
 DEFINED = {
     "claims_split": (claims_split, CLAIMS_SPLIT_SQL),
     "compared_names": (compared_names, COMPARED_SQL),
@@ -424,4 +460,5 @@ DEFINED = {
     "fragment_scores": (fragment_scores, FRAGMENT_SQL),
     "edge_scores": (edge_scores, EDGE_SQL),
     "allocations": (allocations, None),
+    "bound_scores": (bound_scores, BOUND_SQL),
 }
