@@ -15,13 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per contest between two nations: the supplier's at home, the customer's away."""
+def encounters(spark: SparkSession, sf_dir: str, focal: int | None = None) -> DataFrame:
+    """One row per contest between two nations: the supplier's at home, the customer's away. With ``focal`` only the contests of one
+    nation: those at home start from its suppliers, those away from its customers, so that lines and orders are cut down before they meet."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
     homes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("home_id"))
     aways = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("away_id"))
-    joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(homes, "l_suppkey").join(aways, "o_custkey")
+    same = F.col("l_orderkey") == F.col("o_orderkey")
+    if focal is None:
+        joined = lines.join(orders, same).join(homes, "l_suppkey").join(aways, "o_custkey")
+    else:
+        own_lines = lines.join(homes.filter(F.col("home_id") == focal), "l_suppkey")
+        own_orders = orders.join(aways.filter(F.col("away_id") == focal), "o_custkey")
+        joined = own_lines.join(orders, same).join(aways, "o_custkey").unionByName(lines.join(own_orders, same).join(homes, "l_suppkey"))
     return joined.filter("home_id <> away_id").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("match_id"),
         F.year("o_orderdate").alias("season"),

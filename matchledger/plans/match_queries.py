@@ -12,7 +12,7 @@ COUNTED_SQL = "status IN ('played', 'awarded')"
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.perspective(encounters(spark, sf_dir), FOCAL)
+    return views.perspective(encounters(spark, sf_dir, FOCAL), FOCAL)
 
 
 def last_heavy_loss(spark: SparkSession, sf_dir: str) -> DataFrame:

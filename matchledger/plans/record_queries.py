@@ -14,7 +14,7 @@ COUNTED_SQL = "status IN ('played', 'awarded')"
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.perspective(encounters(spark, sf_dir), FOCAL)
+    return views.perspective(encounters(spark, sf_dir, FOCAL), FOCAL)
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
