@@ -4,13 +4,13 @@ The language model holds trigrams of letters (Latin letters a-z and U+00DF to U+
 counted over all texts. Three disguises are undone: digits and signs for letters (``LEET``) in words with a letter, three or
 more single letters set apart by spaces or signs, and letters repeated three times or more or signs twice or more. A disguised stretch becomes a lattice in which each place
 offers letters, nothing, or a boundary, each with a channel probability; Viterbi decoding takes the path of the highest
-probability under channel and language model. Elsewhere a lattice has one path, so such text stays as it is. A word
-with digits or signs of more than ``LONGEST`` characters (keys, encoded data), with runs of marks taken as one, is none and
-stays as it is, and so does a longer run of one letter alone. Digits and signs without any letter stay, too.
+probability under channel and language model. Elsewhere a lattice has one path, so such text stays as it is. Of a run
+of one character the lattice holds three places at most, of a run of marks one, so words of any length are restored, in time that grows
+with it. Digits and signs without any letter stay: most are numbers, and a lattice knows letters only.
 
 Scores: at most ``SAMPLE`` labelled texts teach, chosen by a hash of doc_id. For every word and word beginning, those with
-each label are counted; of those at least twice as frequent under label 1, the ``LEXICON`` that tell most about it become the features of a logistic regression,
-with a value that grows with the number n of texts of label 1 that hold them, n / (n + ``SHRINK``): what few texts hold
+each label are counted; of those at least twice as frequent under label 1, the ``LEXICON`` that tell most about it become the features of a logistic regression
+(Spark's, which sums its gradients over the tasks), with a value that grows with the number n of texts of label 1 that hold them, n / (n + ``SHRINK``): what few texts hold
 tells little, but no number is too small to learn from. The score is the probability of label 1.
 
 Null text counts as empty. Rows without label teach nothing; with several labels the largest counts. Rows without
@@ -27,6 +27,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +39,9 @@ LEXICON = 2000
 SHRINK = 3.0
 #: Labelled texts that teach, at most.
 SAMPLE = 100_000
-LONGEST = 40
 BEGINNING = 4
-REMEMBERED = 200_000
+#: Stretches that a worker remembers, and their longest.
+REMEMBERED, SHORT = 200_000, 80
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 SIZE = len(LETTERS) + 1  # 0 is the boundary
 NUMBER = {c: i + 1 for i, c in enumerate(LETTERS)}
@@ -111,7 +114,7 @@ class Letters:
         found = self.known.get(stretch)
         if found is None:
             found = self.decode(stretch)
-            if len(stretch) <= 2 * LONGEST:
+            if len(stretch) <= SHORT:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
                 self.known[stretch] = found
@@ -127,9 +130,8 @@ class Letters:
             while first > done and text[first - 1] in NUMBER:
                 first -= 1
             last = _RUN.match(text, m.end()).end()
-            run = text[first:last]
             # the lattice takes nothing from the fourth of a letter on
-            parts += [text[done:first], self.restored(_LONGER.sub(r"\1\1\1", run)) if len(run) <= LONGEST or len(set(run)) > 1 else run]
+            parts += [text[done:first], self.restored(_LONGER.sub(r"\1\1\1", text[first:last]))]
             done = last
         return "".join(parts) + text[done:]
 
@@ -139,7 +141,7 @@ class Letters:
             text = _SPACED.sub(lambda m: self.restored(m[0]), text)
         if repeats:
             text = self.shortened(text)
-        odd = {w for w in text.split() if not w.isalpha() and (len(w) <= LONGEST or len(_MARKS.sub(r"\1", w)) <= LONGEST)}
+        odd = {w for w in text.split() if not w.isalpha()}
         change = {}
         for w in odd:
             core = w.strip(_EDGES) or w
@@ -148,7 +150,7 @@ class Letters:
                 if core.isalpha() or not any(c in LEET for c in (core[:1], core[-1:])) or core[0] != "$" and core[:2] == core[:1] * 2 or core[-1] != "$" and len(core) > 2 and core[-3:] == core[-1:] * 3:
                     continue
             if len(core) >= 3 and any(c in NUMBER for c in core) and any(c in LEET for c in core) and all(c in NUMBER or c in LEET or c in "*_-." for c in core):
-                change[w] = self.restored(core if len(w) <= LONGEST else _MARKS.sub(r"\1", core))
+                change[w] = self.restored(_LONGER.sub(r"\1\1\1", _MARKS.sub(r"\1", core)))
         if change:
             text = " ".join(change.get(w, w) for w in text.split())
         return text
@@ -223,8 +225,18 @@ def _restored(batch: pa.RecordBatch, letters: Letters) -> Iterator[str]:
         yield letters.restore((text or "").lower(), repeats, spaced)
 
 
-def lexicon(labelled: DataFrame, letters, size: int = LEXICON) -> tuple[dict[str, float], int, int]:
-    """The entries that tell most about label 1, from all labelled texts, with the value of each, and how many texts have each
+def restored(docs: DataFrame, letters) -> DataFrame:
+    """(text restored, label)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(list(_restored(batch, letters.value)), pa.string()), batch.column("label")], ["text", "label"])
+
+    return docs.select("text", "label").mapInArrow(run, "text string, label int")
+
+
+def lexicon(labelled: DataFrame, size: int = LEXICON) -> tuple[dict[str, float], int, int]:
+    """The entries that tell most about label 1, from all labelled texts (restored), with the value of each, and how many texts have each
     label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +250,7 @@ def lexicon(labelled: DataFrame, letters, size: int = LEXICON) -> tuple[dict[str
             return out
 
         for batch in slices(batches):
-            for text, label in zip(_restored(batch, letters.value), batch.column("label").to_pylist(), strict=True):
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 counts[label].update(entries(text))
             if sum(map(len, counts)) > 500_000:
                 yield rows()
@@ -252,29 +264,22 @@ def lexicon(labelled: DataFrame, letters, size: int = LEXICON) -> tuple[dict[str
     return {r["entry"]: r["toxic"] / (r["toxic"] + SHRINK) for r in best.select("entry", "toxic").collect()}, clean, toxic
 
 
-def regression(column: np.ndarray, counts: np.ndarray, labels: np.ndarray, values: np.ndarray, steps: int = 600, ridge: float = 3e-5) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression by accelerated gradient steps. Text i has the next counts[i] features of
-    column, with their values."""
-    size, n = len(values), len(counts)
-    value, weight = values[column], np.zeros(size)
-    row = np.repeat(np.arange(n), counts)
-    intercept = float(np.log((labels.sum() + 0.5) / (n - labels.sum() + 0.5)))
-    ahead, lead, steep = (weight.copy(), intercept), np.ones(size + 1), 1.0
-    for _ in range(30):  # the largest curvature, by power iteration
-        z = lead[-1] + np.bincount(row, value * lead[:-1][column], n)
-        lead = np.append(np.bincount(column, value * z[row], size), z.sum()) / n
-        steep = float(np.linalg.norm(lead)) or 1.0
-        lead /= steep
-    rate = 3.5 / steep
-    for step in range(steps):
-        z = ahead[1] + np.bincount(row, value * ahead[0][column], n)
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
-        g = np.bincount(column, value * error[row], size) + ridge * ahead[0]
-        new, base = ahead[0] - rate * g, ahead[1] - rate * error.sum()
-        speed = step / (step + 3)
-        ahead = new + speed * (new - weight), base + speed * (base - intercept)
-        weight, intercept = new, base
-    return weight * values, intercept
+def regression(taught: DataFrame, values: dict[str, float], steps: int = 150, ridge: float = 3e-5) -> tuple[dict[str, float], float]:
+    """(weight of each entry, intercept) of a logistic regression over restored texts with labels. What reaches the driver in a step is one
+    gradient of as many numbers as there are entries."""
+    names = list(values)
+    own = set(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [sorted(entries(t) & own) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column("label").cast(pa.float64())], ["found", "label"])
+
+    rows = staged(taught.mapInArrow(run, "found array<string>, label double"), "hits")
+    counted = CountVectorizerModel.from_vocabulary(names, inputCol="found", outputCol="hits", binary=True).transform(rows)
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(list(values.values())), inputCol="hits", outputCol="features").transform(counted)
+    model = LogisticRegression(maxIter=steps, regParam=ridge, standardization=False, tol=1e-7).fit(scaled.select("features", "label"))
+    return {name: float(w) * values[name] for name, w in zip(names, model.coefficients, strict=True)}, float(model.intercept)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -287,25 +292,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share = min(1.0, 2 * SAMPLE / max(1, marks.count()))  # a hash keeps twice as many as are wanted, if there are more
     marks = marks.filter(F.pmod(place, F.lit(1 << 30)) < share * (1 << 30)).orderBy(place, "doc_id").limit(SAMPLE)
     taught = docs.filter("NOT held_out").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marks), "doc_id")
-    taught = staged(taught.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "taught")
-    values, clean, toxic = lexicon(taught, letters)
-    index = {e: i for i, e in enumerate(values)}
-    known = spark.sparkContext.broadcast(index)
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = known.value
-        for batch in slices(batches):
-            found = [sorted(own[e] for e in entries(t) if e in own) for t in _restored(batch, letters.value)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("label")], ["hits", "label"])
-
-    if toxic and clean:
-        rows = taught.select("text", "label").mapInArrow(hits, "hits array<int>, label int").toArrow().combine_chunks()
-        found, labels01 = rows.column("hits").combine_chunks(), rows.column("label").to_numpy().astype(np.float64)
-        counts = pc.list_value_length(found).to_numpy(zero_copy_only=False)
-        weight, intercept = regression(found.flatten().to_numpy(), counts, labels01, np.array(list(values.values())))
+    taught = taught.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    taught = staged(restored(taught, letters), "taught")
+    values, clean, toxic = lexicon(taught)
+    if toxic and clean and values:
+        weight, intercept = regression(taught, values)
     else:
-        weight, intercept = np.zeros(len(values)), 30.0 if toxic else -30.0
-    model = spark.sparkContext.broadcast(({e: float(weight[i]) for e, i in index.items()}, intercept))
+        share = (toxic + 0.5) / (toxic + clean + 1)
+        weight, intercept = dict.fromkeys(values, 0.0), float(np.log(share / (1 - share))) if toxic and clean else 30.0 if toxic else -30.0
+    model = spark.sparkContext.broadcast((weight, intercept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, base = model.value
