@@ -226,7 +226,9 @@ def groups(docs: DataFrame, shingle: int = 5, threshold: float = THRESHOLD) -> D
     signed = staged(signatures(docs, shingle), "signed")
     worded = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = worded.groupBy("k1", "k2").agg(F.min_by(F.struct("n_shingles", "bands", "doc_id", "t"), F.struct("doc_id", "t")).alias("s"))
-    sets = sets.select("k1", "k2", F.monotonically_increasing_id().alias("rep"), "s.doc_id", "s.t", F.col("s.n_shingles").cast("int").alias("n"), "s.bands")
+    sets = sets.select("k1", "k2", "s.doc_id", "s.t", F.col("s.n_shingles").cast("int").alias("n"), "s.bands")
+    # numbered in the order of doc_id: the first text of a group is often the one that the others were made from, and so the best centre
+    sets = sets.repartitionByRange("doc_id", "t").sortWithinPartitions("doc_id", "t").withColumn("rep", F.monotonically_increasing_id())
     sets = staged(sets, "sets")
     each = sets.select(F.posexplode("bands").alias("band", "hash"), "rep", "n")
     shared = each.groupBy("band", "hash").agg(F.count("*").alias("c"), F.min("rep").alias("centre"), F.min_by("n", "rep").alias("m")).filter("c > 1").drop("c")
