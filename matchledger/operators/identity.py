@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.dates import covers
+from ..functions.text import in_locale
 
 
 def cascade(rows: DataFrame, key: str, levels: list[tuple[str, str, DataFrame]]) -> DataFrame:
@@ -100,3 +101,12 @@ def nearest(left: DataFrame, right: DataFrame, on: str, left_day: str, right_day
     met = days.join(rows, [on, "_at"]).withColumn("days", F.datediff("_at", "_day"))
     w = Window.partitionBy(left_key).orderBy(F.abs("days"), "days", "match")
     return met.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").select(left_key, "match", "days")
+
+
+def preferred_spellings(rows: DataFrame, on: list[str], name: str, locale: str = "nb") -> DataFrame:
+    """(on..., spelling, spellings, n): names that differ in case only count as one; the most frequent spelling stands for them, of equally frequent
+    ones the first in the language's order. Null names are left out."""
+    counted = rows.filter(F.col(name).isNotNull()).groupBy(*on, name).agg(F.count("*").alias("_n"))
+    order = F.struct(-F.col("_n"), in_locale(name, locale), F.col(name))
+    grouped = counted.groupBy(*on, in_locale(name, locale, ignore_case=True).alias("_same")).agg(F.min_by(name, order).alias("spelling"), F.count("*").alias("spellings"), F.sum("_n").alias("n"))
+    return grouped.drop("_same")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import ENCOUNTERS_SQL, FOCAL, MATCHES_SQL, encounters, table
 from ..functions import dates, text
-from ..operators import evidence, identity, layers, provenance, search, validate, views
+from ..operators import evidence, identity, layers, mentions, provenance, search, validate, views
 from ..streaming import limits
 
 COUNTED_SQL = "status IN ('played', 'awarded')"
@@ -275,7 +275,7 @@ def fulltext_and(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The terms that most documents share, with their document counts."""
+    """Every term with its document count and its occurrences."""
     rows = search.index(table(spark, sf_dir, "documents"), "doc_id", "text")
     return rows.groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("n"))
 
@@ -296,20 +296,27 @@ FROM (SELECT DISTINCT p_name FROM part) WHERE contains(lower(p_name), 'blue') OR
 
 
 def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.phrase_hits(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", 8)
+    """Benchmark passages as a dictionary of whole phrases, found in documents by an automaton: how often each document holds which."""
+    phrases = table(spark, sf_dir, "benchmark").select(F.lit("passage").alias("kind"), F.col("item_id").cast("string").alias("ref"), F.col("text").alias("form"))
+    hits = mentions.term_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text", phrases)
+    return hits.groupBy("doc_id", F.col("ref").cast("long").alias("item_id")).agg(F.count("*").alias("hits"), F.min("at").alias("first"))
 
 
 PHRASE_SQL = """
-WITH d AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark)
-SELECT doc_id, item_id FROM b JOIN d ON contains(t, ' ' || array_to_string(w[1:8], ' ') || ' ') WHERE len(w) >= 8"""
+WITH f AS (SELECT doc_id, ' ' || trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9æø]+', ' ', 'g'), ' ') || ' ' AS t FROM documents),
+b AS (SELECT DISTINCT item_id, ' ' || trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9æø]+', ' ', 'g'), ' ') || ' ' AS p FROM benchmark WHERE text IS NOT NULL)
+SELECT doc_id, item_id, len(list_filter(range(1, CAST(length(t) - length(p) + 2 AS BIGINT)), lambda i: substr(t, i, length(p)) = p)) AS hits, CAST(instr(t, p) - 1 AS INTEGER) AS first
+FROM b JOIN f ON contains(t, p) WHERE length(p) > 2"""
 
 
 def whole_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.whole_phrases(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
-WHOLE_SQL = PHRASE_SQL.replace("w[1:8]", "w").replace("len(w) >= 8", "len(w) >= 1")
+WHOLE_SQL = """
+WITH d AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark)
+SELECT doc_id, item_id FROM b JOIN d ON contains(t, ' ' || array_to_string(w, ' ') || ' ') WHERE len(w) >= 1"""
 
 
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..catalog import ENCOUNTERS_SQL, encounters, table
 from ..functions import bindings, classify, dates, text
-from ..operators import allocation, evidence, reports
+from ..operators import allocation, evidence, identity, reports
 
 NOTES = ("hjemmekamp", "Bortekamp i cupen", "omkamp, finale", "2. divisjon", "kval.-kamp på Vigra", "ekstraomganger", "privatkamp (h)", "seriekamp i Oslo", "NM", "Tippecup", "3.div", "")
 REMARKS = ("Relegated", "promotion play-off", "Relegation Playoff", "Tables only", "round by round", "Play-off winner", "Promoted to 1. div", "kun tabell", "in the middle")
@@ -432,6 +433,30 @@ SELECT match_id, CASE WHEN bound THEN CAST(x AS INTEGER) END AS home, CASE WHEN
        CASE WHEN t IN (0, 1, 7) THEN straight OR backwards END AS score_matches,
        CAST(15 + 25 + CASE WHEN t IN (0, 1, 7) AND (straight OR backwards) THEN 25 ELSE 0 END AS INTEGER) AS evidence_score FROM r"""
 
+#: Names in the order of the language, in which the SQL ranks them.
+_PLACES = ("Ane", "eik", "Eik", "Zeta", "Ærlig", "Østre", "ås", "Ås", "Aas")
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", _pick(_PLACES, F.col("o_orderkey") * 5 + F.col("o_custkey")).alias("place"))
+
+
+def locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of each customer's orders in the order of the language."""
+    w = Window.partitionBy("o_custkey").orderBy(text.in_locale("place"), "o_orderkey")
+    return _places(spark, sf_dir).select("o_custkey", F.row_number().over(w).alias("nth"), "place", "o_orderkey")
+
+
+def preferred_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spelling that stands for each customer's places."""
+    return identity.preferred_spellings(_places(spark, sf_dir), ["o_custkey"], "place")
+
+
+PLACES_SQL = f"p AS (SELECT o_orderkey, o_custkey, {list(_PLACES)}[CAST((o_orderkey * 5 + o_custkey) % {len(_PLACES)} AS INTEGER) + 1] AS place, (o_orderkey * 5 + o_custkey) % {len(_PLACES)} AS r FROM orders)"
+SPELLINGS_SQL = f"""
+WITH {PLACES_SQL}, c AS (SELECT o_custkey, place, r, count(*) AS k FROM p GROUP BY ALL)
+SELECT o_custkey, arg_min(place, {{'k': -k, 'r': r}}) AS spelling, count(*) AS spellings, CAST(sum(k) AS BIGINT) AS n FROM c GROUP BY o_custkey, lower(place)"""
+
 DEFINED = {
     "claims_split": (claims_split, CLAIMS_SPLIT_SQL),
     "compared_names": (compared_names, COMPARED_SQL),
@@ -461,4 +486,6 @@ DEFINED = {
     "edge_scores": (edge_scores, EDGE_SQL),
     "allocations": (allocations, None),
     "bound_scores": (bound_scores, BOUND_SQL),
+    "locale_order": (locale_order, f"WITH {PLACES_SQL} SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY r, o_orderkey) AS INTEGER) AS nth, place, o_orderkey FROM p"),
+    "preferred_spellings": (preferred_spellings, SPELLINGS_SQL),
 }

@@ -45,7 +45,7 @@ FROM events WHERE event_id % 7 = 0 OR event_id % 11 = 0"""
 
 
 def merged_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three searches over benchmark passages and documents' first words, merged by source."""
+    """Three searches over whole documents, merged by source."""
     d = table(spark, sf_dir, "documents").filter("source IS NOT NULL")
     hits = [d.filter(F.lower("text").contains(q)).select("source", F.lit(q).alias("query"), F.array(F.col("lang")).alias("fragments")) for q in ("the", "que", "und")]
     return landed.merged_hits(hits[0].unionByName(hits[1]).unionByName(hits[2]), "source", "query", "fragments").select("source", F.array_join("queries", ",").alias("queries"), F.array_join("fragments", ",").alias("fragments"))
