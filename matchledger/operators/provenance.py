@@ -75,3 +75,25 @@ def holders(spells: DataFrame, office: str, holder: str, start: str, end: str) -
     years = spells.select(office, holder, start, end, F.explode(year_span(F.col(start), F.col(end))).alias("year"))
     rows = years.groupBy(office, "year").agg(F.count_distinct(holder).alias("holders"), F.count_if(F.col(end) == F.col("year")).alias("ending"), F.count_if(F.col(start) == F.col("year")).alias("starting"))
     return rows.filter((F.col("holders") > 1) & ~((F.col("holders") == 2) & (F.col("ending") >= 1) & (F.col("starting") >= 1))).select(office, "year", "holders")
+
+
+def removals(base: DataFrame, head: DataFrame, key: str, parts: str, approved: DataFrame | None = None) -> DataFrame:
+    """(key, status, merged_into) of every record that only one snapshot has. A record that is gone counts as merged if one record that remains carries all of
+    its parts (the smallest key of several), as approved if ``approved`` (key) names it, else as destroyed; a record of the head alone is new. Sets of parts are
+    compared once each: a set meets those that hold the rarest of its parts, and containment confirms. Records without parts are never merged; rows without
+    key are left out; keys are unique in either snapshot."""
+    held = lambda df: df.filter(F.col(key).isNotNull()).select(key, F.array_sort(F.array_distinct(F.array_compact(F.coalesce(parts, F.array().cast(df.schema[parts].dataType))))).alias("_parts"))
+    was, now = held(base), held(head)
+    gone = was.join(now.select(key), key, "left_anti")
+    carriers = now.filter(F.size("_parts") > 0).groupBy(F.col("_parts").alias("_held")).agg(F.min(key).alias("merged_into"))
+    each = carriers.withColumn("_part", F.explode("_held"))
+    sets = gone.filter(F.size("_parts") > 0).select("_parts").distinct()
+    counts = each.groupBy("_part").agg(F.count("*").alias("_n"))
+    # a part that no remaining record has is the rarest of all, and its set meets nothing
+    rarest = sets.withColumn("_part", F.explode("_parts")).join(counts, "_part", "left").groupBy("_parts").agg(F.min_by("_part", F.struct(F.coalesce("_n", F.lit(0)), "_part")).alias("_part"))
+    met = rarest.join(each, "_part").filter(F.size(F.array_except("_parts", "_held")) == 0).groupBy("_parts").agg(F.min("merged_into").alias("merged_into"))
+    out = gone.join(met, "_parts", "left").select(key, "merged_into")
+    known = out.withColumn("_ok", F.lit(False)) if approved is None else out.join(approved.select(key, F.lit(True).alias("_ok")).distinct(), key, "left")
+    status = F.when(F.col("merged_into").isNotNull(), "merged").when(F.col("_ok"), "approved").otherwise("destroyed")
+    fresh = now.join(was.select(key), key, "left_anti").select(key, F.lit("new").alias("status"), F.lit(None).cast(out.schema["merged_into"].dataType).alias("merged_into"))
+    return known.select(key, status.alias("status"), "merged_into").unionByName(fresh)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import table
-from ..operators import trees
+from ..operators import provenance, trees
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -110,10 +110,32 @@ k AS (SELECT CASE WHEN props IS NULL THEN 'none' ELSE coalesce(CASE json_type(pr
              TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS v FROM e)
 SELECT kind, count(*) AS n, max(v) FILTER (kind = 'integer') AS largest FROM k GROUP BY kind"""
 
+def removed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of which some are gone from the later state: every other one of them handed its lines on to the next order, some were given leave."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey IS NOT NULL").select(F.col("l_orderkey").alias("k"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("line"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    moved = lines.withColumn("k", F.when(F.col("k") % 100 == 1, F.col("k") + 1).otherwise(F.col("k")))
+    sets = lambda rows: rows.groupBy("k").agg(F.collect_set("line").alias("parts"))
+    base = orders.filter("k % 70 <> 3").join(sets(lines), "k", "left")
+    head = orders.filter("k % 50 <> 1").join(sets(moved), "k", "left")
+    return provenance.removals(base, head, "k", "parts", orders.filter("k % 250 = 51"))
+
+
+REMOVED_SQL = """
+WITH l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS line FROM lineitem),
+base AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 70 <> 3), head AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 50 <> 1),
+hl AS (SELECT DISTINCT CASE WHEN k % 100 = 1 THEN k + 1 ELSE k END AS k, line FROM l), h AS (SELECT hl.* FROM hl JOIN head USING (k)),
+gone AS (SELECT k FROM base ANTI JOIN head USING (k)), n AS (SELECT k, count(*) AS n FROM l JOIN gone USING (k) GROUP BY k),
+met AS (SELECT l.k, h.k AS t, count(*) AS c FROM l JOIN gone USING (k) JOIN h ON h.line = l.line GROUP BY ALL),
+best AS (SELECT met.k, min(t) AS merged_into FROM met JOIN n ON met.k = n.k AND c = n GROUP BY met.k)
+SELECT k, CASE WHEN merged_into IS NOT NULL THEN 'merged' WHEN k % 250 = 51 THEN 'approved' ELSE 'destroyed' END AS status, merged_into FROM gone LEFT JOIN best USING (k)
+UNION ALL SELECT k, 'new', NULL FROM head ANTI JOIN base USING (k)"""
+
 DEFINED = {
     "structural_losses": (structural_losses, LOSSES_SQL),
     "tree_nodes": (tree_nodes, NODES_SQL),
     "objects_anywhere": (objects_anywhere, OBJECTS_SQL),
     "copied_paths": (copied_paths, COPIED_SQL),
     "json_types": (json_types, JSON_TYPES_SQL),
+    "removed_records": (removed_records, REMOVED_SQL),
 }

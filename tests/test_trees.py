@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from matchledger.operators import trees
+from matchledger.operators import provenance, trees
 
 LOST = trees.Additivity()
 
@@ -81,3 +81,12 @@ def test_copied_paths(spark):
     rows = [((None, "a"), ((1, 2), "b")), (((3, None), None), (None, "b")), (None, ((1, 2), "b")), (((3, 4), "x"), None)]
     got = trees.copied(spark.createDataFrame(rows, f"s {kind}, t {kind}"), "s", "t", ["score.home", "note"]).select("t.score.home", "t.score.away", "t.note").collect()
     assert [tuple(r) for r in got] == [(1, 2, "a"), (3, None, None), (1, 2, "b"), (3, None, "x")]
+
+
+def test_removed_records(spark):
+    kind = "k int, parts array<string>"
+    base = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, []), (4, None), (5, ["x", "a"]), (6, ["b", "b", None]), (7, ["q"]), (8, ["z"]), (None, ["a"])], kind)
+    head = spark.createDataFrame([(7, []), (12, ["a"]), (11, ["a", "b", "c"]), (20, ["a", "b"]), (None, ["x", "a"])], kind)
+    got = provenance.removals(base, head, "k", "parts", spark.createDataFrame([(8,), (2,), (8,)], "k int"))
+    assert sorted(map(tuple, got.collect())) == [(1, "merged", 11), (2, "merged", 11), (3, "destroyed", None), (4, "destroyed", None), (5, "destroyed", None), (6, "merged", 11), (8, "approved", None), (11, "new", None), (12, "new", None), (20, "new", None)]
+    assert provenance.removals(base.limit(0), head.limit(0), "k", "parts").count() == 0
