@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import table
-from ..operators import mentions
+from ..operators import mentions, offices
 
 
 def _name(key: Column) -> Column:
@@ -41,6 +41,21 @@ def named_lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_custkey", "season", F.array_join("names", ", ").alias("names"), F.array_join(F.col("people").cast("array<string>"), ",").alias("people"), "confidence")
 
 
+def printed_offices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a column in which each line elects somebody, read back: title, name and year."""
+    n = F.col("l_linenumber") + F.col("l_partkey")
+    title = F.get(F.array(*map(F.lit, ("formann", "kasserer", "sekretær", "oppmann"))), n % 4)
+    said = F.concat_ws(" ", F.lit("i"), F.year("l_shipdate"), F.lit("ble valgt:"), F.concat(title, F.lit(",")), F.concat(_name(F.col("l_suppkey")), F.lit(".")))
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", said.alias("said"))
+    pages = table(spark, sf_dir, "lineitem").filter("l_orderkey IS NOT NULL").groupBy(F.col("l_orderkey").alias("page")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["said"]).alias("lines"))
+    found = offices.offices(pages.withColumn("column", F.lit(0)), ["page"], "column", "lines", _people(spark, sf_dir))
+    return found.select("page", "name", "person", "title", "from", "confidence", "rule")
+
+
+OFFICES_SQL = """
+WITH l AS (SELECT DISTINCT l_orderkey AS page, ['Formann', 'Kasserer', 'Sekretær', 'Oppmann'][CAST((l_linenumber + l_partkey) % 4 AS INTEGER) + 1] AS title, l_suppkey, CAST(year(l_shipdate) AS VARCHAR) AS "from" FROM lineitem)
+SELECT page, NAME AS name, CASE WHEN l_suppkey % 3 <> 0 THEN l_suppkey END AS person, title, "from", CASE WHEN l_suppkey % 3 <> 0 THEN 'high' ELSE 'medium' END AS confidence, 'role_then_name' AS rule FROM l"""
+
 _NAME_SQL = "(SELECT upper(translate(d[1], '0123456789', 'abdeghikno')) || translate(d[2:], '0123456789', 'abdeghikno') || ' ' || upper(translate(d[1], '0123456789', 'ravelintos')) || translate(d[2:], '0123456789', 'ravelintos') FROM (SELECT lpad(CAST(l_suppkey AS VARCHAR), 4, '0') AS d))"
 LINEUPS_SQL = f"""
 WITH l AS (SELECT o_custkey, year(o_orderdate) AS season, l_suppkey, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -51,4 +66,5 @@ SELECT o_custkey, CAST(season AS INTEGER) AS season, names, people, CASE WHEN n
 DEFINED = {
     "fact_candidates": (fact_candidates, None),
     "named_lineups": (named_lineups, LINEUPS_SQL),
+    "printed_offices": (printed_offices, OFFICES_SQL.replace("NAME", _NAME_SQL)),
 }
