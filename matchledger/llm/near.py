@@ -253,7 +253,7 @@ def groups(docs: DataFrame, shingle: int = 5, threshold: float = THRESHOLD) -> D
         picks = [F.min_by(F.struct("rep", "n", "c"), F.xxhash64("rep", "band", F.lit(turn), F.lit(i))) for i in range(CENTRES)]
         split = named.groupBy("band", "hash").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.array_distinct(F.array(*picks)).alias("picks")).filter("low < high").select("band", "hash", "picks")
         members = staged(named.join(split, ["band", "hash"]), "members")  # buckets of one component stay out from now on
-        far = members.withColumn("x", F.explode("picks")).filter((F.col("c") != F.col("x.c")) & close(F.col("n"), F.col("x.n")))
+        far = members.withColumn("x", F.explode(F.filter("picks", lambda x: (F.col("c") != x["c"]) & close(F.col("n"), x["n"]))))
         fresh = far.select(F.greatest("rep", "x.rep").alias("u"), F.least("rep", "x.rep").alias("v")).distinct()
         fresh = staged(fresh.join(tested, ["u", "v"], "left_anti"), "pairs")
         found = staged(confirmed(fresh), "found")
