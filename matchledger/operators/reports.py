@@ -158,3 +158,17 @@ def batch_policy(hypotheses: DataFrame, group: list[str]) -> DataFrame:
     """Hypotheses alone in their group may be decided by themselves; siblings wait for a reviewer."""
     size = F.count("*").over(Window.partitionBy(*group))
     return hypotheses.withColumn("siblings", size).withColumn("policy", F.when(F.col("siblings") > 1, "manual").otherwise("automatic"))
+
+
+#: Fixed value: the margin from which a result asks for a second look.
+WIDE_MARGIN = 8
+
+
+def doubtful_results(matches: DataFrame, margin: int = WIDE_MARGIN) -> DataFrame:
+    """(match, margin, reason) of results with a wide margin: in a league, whose teams are near each other; elsewhere only if they are called confirmed on fewer than
+    two providers. matches: match, home, away, competition_type, confidence and providers (array). Without both scores nothing is doubted; repeated providers
+    count once."""
+    wide = F.abs(F.col("home") - F.col("away"))
+    alone = (F.col("confidence") == "confirmed") & (F.size(F.array_distinct(F.array_compact(F.coalesce("providers", F.array().cast("array<string>"))))) < 2)
+    reason = F.when(F.col("competition_type") == "league", "league_margin").when(alone, "confirmed_by_one")
+    return matches.withColumns({"margin": wide, "reason": reason}).filter((F.col("margin") >= margin) & F.col("reason").isNotNull()).select("match", "margin", "reason")

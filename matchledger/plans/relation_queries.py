@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import COUNTED, ENCOUNTERS_SQL, encounters, table
-from ..operators import relations
+from ..operators import relations, reports
 from .record_queries import CLAIMS_SQL, _claims, _matches
 
 DAYS = 30
@@ -77,16 +77,21 @@ def standings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suspicious_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results that need a second look: high scores, a margin of five, or a scheduled match with a result."""
-    rows, total = _matches(spark, sf_dir), F.col("own_score") + F.col("opponent_score")
-    reasons = F.array_compact(F.array(F.when(total >= 8, "high_score"), F.when(F.abs("goal_difference") >= 5, "wide_margin"), F.when((F.col("status") == "scheduled") & total.isNotNull(), "scheduled_with_result")))
-    return rows.select("match_id", F.array_join(reasons, ",").alias("reasons")).filter("reasons <> ''")
-
-
-SUSPICIOUS_SQL = f"""
-WITH {CLAIMS_SQL}
-SELECT match_id, concat_ws(',', CASE WHEN own_score + opponent_score >= 8 THEN 'high_score' END, CASE WHEN abs(goal_difference) >= 5 THEN 'wide_margin' END, CASE WHEN status = 'scheduled' AND own_score + opponent_score IS NOT NULL THEN 'scheduled_with_result' END) AS reasons
-FROM matches WHERE own_score + opponent_score >= 8 OR abs(goal_difference) >= 5 OR (status = 'scheduled' AND own_score + opponent_score IS NOT NULL)"""
+    """Order lines as results of leagues and cups, confirmed or not by up to two providers: those with a wide margin that ask for a second look."""
+    n, q = F.col("l_partkey"), F.col("l_quantity").cast("int")
+    name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    providers = F.array_compact(F.array(F.when(n % 3 > 0, "a"), F.when(n % 3 > 1, F.when(n % 2 == 0, "a").otherwise("b"))))
+    rows = table(spark, sf_dir, "lineitem").select(
+        name.alias("match"), (q % 12).alias("home"), F.when(n % 13 != 0, (q * 7 + F.col("l_linenumber")) % 12).alias("away"), F.when(F.col("l_suppkey") % 4 != 0, "league").otherwise("cup").alias("competition_type"),
+        F.when(n % 5 < 3, "confirmed").otherwise("probable").alias("confidence"), providers.alias("providers"),
+    )
+    return reports.doubtful_results(rows)
+
+
+SUSPICIOUS_SQL = """
+WITH m AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS match, abs(CAST(l_quantity AS INTEGER) % 12 - (CAST(l_quantity AS INTEGER) * 7 + l_linenumber) % 12) AS margin,
+                  l_suppkey % 4 <> 0 AS league, l_partkey % 5 < 3 AND NOT (l_partkey % 3 = 2 AND l_partkey % 2 = 1) AS alone FROM lineitem WHERE l_partkey % 13 <> 0)
+SELECT match, CAST(margin AS INTEGER) AS margin, CASE WHEN league THEN 'league_margin' ELSE 'confirmed_by_one' END AS reason FROM m WHERE margin >= 8 AND (league OR alone)"""
 
 
 def season_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:

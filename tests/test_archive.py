@@ -1,6 +1,6 @@
 """Edge cases of the archive's views and audits: nulls, repeated rows, empty tables, rows that compete."""
 
-from matchledger.operators import archive
+from matchledger.operators import archive, reports
 
 
 def got(df, *columns):
@@ -76,3 +76,11 @@ def test_people_without_anything(spark):
     )
     columns = ("person", "appearances", "role_count", "role_years", "first_role_year", "last_role_year", "role_categories")
     assert got(out, *columns) == [(1, 0, 2, 3, 1949, 1951, ["coach"]), (2, 0, 0, 0, None, None, None)]
+
+
+def test_doubtful_results(spark):
+    kind = "match int, home int, away int, competition_type string, confidence string, providers array<string>"
+    rows = [(1, 9, 1, "league", "probable", ["a", "b"]), (2, 8, 1, "league", "confirmed", []), (3, 0, 8, "cup", "confirmed", ["a", "a", None]), (4, 0, 8, "cup", "confirmed", ["a", "b"]), (5, 0, 8, None, "confirmed", None), (6, 0, 9, "cup", "probable", []), (7, None, 9, "league", "confirmed", []), (1, 9, 1, "league", "probable", [])]
+    got = reports.doubtful_results(spark.createDataFrame(rows, kind))
+    assert sorted(map(tuple, got.collect())) == [(1, 8, "league_margin"), (1, 8, "league_margin"), (3, 8, "confirmed_by_one"), (5, 8, "confirmed_by_one")]
+    assert reports.doubtful_results(spark.createDataFrame([], kind)).count() == 0
