@@ -55,3 +55,13 @@ def test_fragments_read_from_text(spark):
     got = bindings.fragments(df, "t", "own", "other", "h", "a").select("own_found", "opponent_found", "score_matches", "printed.home").collect()
     assert [tuple(r) for r in got] == [(True, True, True, 2), (False, True, None, None), (False, False, None, None), (False, True, None, None), (True, True, False, 2), (True, True, None, None)]
     assert bindings.fragments(df.limit(0), "t", "own", "other", "h", "a").count() == 0
+
+
+def test_a_repeated_notice_is_read_once(monkeypatch):
+    """Reading a notice costs hundreds of times what looking it up costs."""
+    read = []
+    monkeypatch.setattr(bindings, "_remembered", bindings.lru_cache(maxsize=4)(lambda *x: read.append(x[0]) or bindings._read(*x)))
+    long = "Lerka - Fjelltun 2-1" + " og" * bindings.SHORT_TEXT
+    columns = [["Lerka - Fjelltun 2-1"] * 50 + [long, None], [OWN] * 52, [OTHER] * 52, [2] * 52, [1] * 52]
+    (out,) = bindings._rows([tuple(map(bindings.pd.Series, columns))], ())
+    assert read == ["Lerka - Fjelltun 2-1"] and out["home"].tolist()[:51] == [2] * 51 and out["home"].isna().tolist()[51] and out["own_found"].tolist() == [True] * 51 + [False]
