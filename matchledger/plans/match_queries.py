@@ -169,7 +169,7 @@ MERGE_SQL = """
 WITH o AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 30 AS e FROM orders),
 r AS (SELECT *, max(e) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o),
 p AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach > 1 THEN 1 ELSE 0 END)
-        OVER (PARTITION BY o_custkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS part FROM r)
+        OVER (PARTITION BY o_custkey ORDER BY s, e RANGE UNBOUNDED PRECEDING) AS part FROM r)
 SELECT o_custkey, CAST(min(s) AS DATE) AS first, CAST(max(e) AS DATE) AS last, count(*) AS n FROM p GROUP BY o_custkey, part"""
 
 
