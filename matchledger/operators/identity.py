@@ -33,17 +33,31 @@ def near_names(names: DataFrame, name: str, most: int = 1) -> DataFrame:
     meet on their variants with up to ``most`` letters deleted: a common beginning brings no names together. Names of over
     ``LONG`` letters, whose variants are many, meet on parts instead. No pair is lost."""
     rows = names.select(F.col(name).alias("n")).filter("n IS NOT NULL").distinct()
-    met = _by_deletions(rows.filter(F.length("n") <= LONG), most).union(_by_parts(rows.filter(F.length("n") > LONG - most), most)).distinct()
-    return met.withColumn("edits", F.levenshtein("a", "b", most)).filter("edits >= 0")
+    longer = _by_parts(rows.filter(F.length("n") > LONG - most), most).filter(F.greatest(F.length("a"), F.length("b")) > LONG)
+    return _within(_by_deletions(rows.filter(F.length("n") <= LONG), most), most).unionByName(_within(longer, most))
+
+
+def _within(pairs: DataFrame, most: int) -> DataFrame:
+    return pairs.withColumn("edits", F.levenshtein("a", "b", most)).filter("edits >= 0")
 
 
 def _by_deletions(rows: DataFrame, most: int) -> DataFrame:
-    variants = F.array("n")
+    """Names that both lose ``most`` letters are within so many edits only if each letter gave way to another in its place, so they meet on the places too; else one
+    of them loses fewer. Sizes of exploded rows are unknown to the planner, so no side is broadcast."""
+    none = F.struct(F.array().cast("array<int>").alias("gone"), F.col("n").alias("v"))
+    steps = [F.array(none)]
     for _ in range(most):
-        less = F.transform(variants, lambda v: F.when(F.length(v) > 0, F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1)))).otherwise(F.array().cast("array<string>")))
-        variants = F.array_distinct(F.concat(variants, F.flatten(less)))
-    each = rows.select("n", F.explode(variants).alias("v"))
-    return each.select(F.col("n").alias("a"), "v").join(each.select(F.col("n").alias("b"), "v"), "v").filter("a < b").select("a", "b").distinct()
+        # Places are those of the whole name, taken from behind.
+        less = F.transform(steps[-1], lambda x: F.transform(F.filter(F.sequence(F.lit(0), F.length("n")), lambda i: (i > 0) & ((F.size(x["gone"]) == 0) | (i < F.get(x["gone"], F.lit(0))))), lambda i: F.struct(F.concat(F.array(i), x["gone"]).alias("gone"), F.concat(F.substr(x["v"], F.lit(1), i - 1), F.substr(x["v"], i + 1)).alias("v"))))
+        steps.append(F.flatten(less))
+    variants = lambda held: rows.select("n", F.explode(F.array_distinct(F.transform(F.flatten(F.array(*held)), lambda x: x["v"]))).alias("v"))
+    fewer, all_of, last = variants(steps[:-1]), variants(steps), rows.select("n", F.inline(steps[-1]))
+    named = lambda df, c, *on: df.select(F.col("n").alias(c), *on)
+    in_place = named(last, "a", "gone", "v").join(named(last, "b", "gone", "v").hint("merge"), ["gone", "v"]).filter("a < b").select("a", "b")
+    met = named(fewer, "a", "v").join(named(all_of, "b", "v").hint("merge"), "v").filter("a <> b")
+    pairs = in_place.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    # With one edit a pair meets once: in one place, or where the longer name loses its letter.
+    return pairs if most == 1 else pairs.distinct()
 
 
 def _by_parts(rows: DataFrame, most: int) -> DataFrame:
@@ -65,7 +79,7 @@ def _by_parts(rows: DataFrame, most: int) -> DataFrame:
 
     indexed = rows.select(F.col("n").alias("a"), F.explode(F.array(*keys(size, 0))).alias("k"))
     probes = rows.select(F.col("n").alias("b"), F.explode(F.array_distinct(F.flatten(F.array(*(F.array(*keys(size + d, s)) for d in range(-most, most + 1) for s in range(-most, most + 1)))))).alias("k"))
-    return indexed.join(probes, "k").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return indexed.join(probes.hint("merge"), "k").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def prefix_extensions(names: DataFrame, key: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """What held on small tables only."""
 
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from matchledger.operators import windows
+from matchledger.operators import identity, windows
 from matchledger.plans import match_queries
 
 from .test_oracle import DATA, rows
@@ -32,3 +35,19 @@ def test_publications_of_many_suppliers(spark, tmp_path, name, first):
     columns = [c[0] for c in want.description]
     got = entry.queries()[name](spark, str(tmp_path))
     assert rows(got.columns, map(tuple, got.collect())) == rows(columns, want.fetchall())
+
+
+def test_near_names_are_all_found_and_none_is_broadcast(spark):
+    r = random.Random(5)
+    names = [None, "", "a", *{"".join(r.choice("ab") for _ in range(r.choice((1, 2, 3, 4, 5, 8, 39, 40, 41, 42)))) for _ in range(150)}]
+    names += [n[:i] + c + n[i + 1 :] for n in names if n and len(n) > 30 for i, c in ((7, ""), (20, "x"), (3, "yb"))]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE n AS SELECT DISTINCT unnest(?) AS n", [[n for n in names if n is not None]])
+    for most in (1, 2):
+        got = identity.near_names(df, "name", most)
+        want = con.execute(f"SELECT x.n, y.n, levenshtein(x.n, y.n) FROM n x JOIN n y ON x.n < y.n WHERE levenshtein(x.n, y.n) <= {most}").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert "Broadcast" not in got._jdf.queryExecution().toString()
+    customers = spark.range(1000).select(F.format_string("Customer#%09d", "id").alias("n"))
+    assert identity._by_deletions(customers, 1).count() == 1000 * 27 // 2
