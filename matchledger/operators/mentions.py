@@ -112,35 +112,52 @@ def names_in(text: str) -> list[str]:
     return list(dict.fromkeys(n for n in found if 5 <= len(n) <= 80))
 
 
-def _read(df: DataFrame, column: str) -> DataFrame:
-    """Adds names, years and scores that a window prints."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(batch.schema.names.index(column)).to_pylist()
-            years = [list(dict.fromkeys(y for m in _YEAR.finditer(v) if YEARS[0] <= (y := int(m[0])) <= YEARS[1])) for v in values]
-            scores = [list(dict.fromkeys(f"{int(m[1])}-{int(m[2])}" for m in _SCORE.finditer(v))) for v in values]
-            made = [pa.array(list(map(names_in, values)), pa.list_(pa.string())), pa.array(years, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "names", "years", "scores"])
-
+def _read(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
+    """Adds names, years and scores that a window prints, the references of each kind that it names, and the forms of persons (known). Rows are distinct. What one
+    automaton finds stays in its row; rows meet again only where the dictionary has several."""
+    kinds = [*TERMS, "person"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{fields}, names array<string>, years array<int>, scores array<string>")
+    schema = f"{fields}, names array<string>, years array<int>, scores array<string>, {', '.join(f'{k} array<string>' for k in [*kinds, 'known'])}"
+    strings = pa.list_(pa.string())
+
+    def scanned(part) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = _automaton(part.value)
+            for batch in batches:
+                values = batch.column(batch.schema.names.index(column)).to_pylist()
+                years = [list(dict.fromkeys(y for m in _YEAR.finditer(v) if YEARS[0] <= (y := int(m[0])) <= YEARS[1])) for v in values]
+                scores = [list(dict.fromkeys(f"{int(m[1])}-{int(m[2])}" for m in _SCORE.finditer(v))) for v in values]
+                found = {k: [] for k in [*kinds, "known"]}
+                for v in values:
+                    met: dict[str, set] = {k: set() for k in found}
+                    for _, (_, entries) in machine.iter(f" {folded(v)} ") if machine and v else ():
+                        for kind, ref, form in entries:
+                            if ref is not None:
+                                met[kind].add(ref)
+                            if kind == "person":
+                                met["known"].add(form)
+                    for k, held in met.items():
+                        found[k].append(sorted(held))
+                made = [pa.array(list(map(names_in, values)), strings), pa.array(years, pa.list_(pa.int32())), pa.array(scores, strings), *(pa.array(x, strings) for x in found.values())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "names", "years", "scores", *found])
+
+        return df.mapInArrow(run, schema)
+
+    parts = [scanned(part) for part in _parts(df.sparkSession, dictionary)]
+    if len(parts) == 1:
+        return parts[0]
+    merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(k)))).alias(k) for k in [*kinds, "known"]]
+    return reduce(DataFrame.unionByName, parts).groupBy(*df.columns).agg(*(F.first(k).alias(k) for k in ("names", "years", "scores")), *merged)
 
 
 def candidates(lines: DataFrame, on: Sequence[str], line: str, text: str, people: DataFrame, own: Column | None = None) -> DataFrame:
     """Typed candidates of every page: (on..., id, kind, confidence, keywords, names, years, scores, people). people: person, name (one row a name). A printed
     score is a candidate where ``own`` (a condition on columns of ``on``) holds: whose publication it is. Equal candidates of a page stand once."""
-    held = windows(lines, on, line, text).withColumn("window_id", F.sha2(F.to_json(F.struct(*on, "window")), 256))
-    seen = held.select(*on, "window", "window_id").dropDuplicates(["window_id"])
-    spark = lines.sparkSession
-    terms = spark.createDataFrame([(k, t, t) for k, ts in TERMS.items() for t in ts], "kind string, ref string, form string")
+    # Distinct within a page: rows stay where the next line was looked up.
+    seen = windows(lines, on, line, text).select(*on, "window").distinct()
+    terms = lines.sparkSession.createDataFrame([(k, t, t) for k, ts in TERMS.items() for t in ts], "kind string, ref string, form string")
     dictionary = terms.unionByName(people.select(F.lit("person").alias("kind"), F.col("person").cast("string").alias("ref"), F.col("name").alias("form")))
-    hits = term_hits(seen, ["window_id"], "window", dictionary)
-    of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("ref")))).alias(kind)
-    grouped = hits.groupBy("window_id").agg(*map(of, [*TERMS, "person"]), F.array_sort(F.collect_set(F.when(F.col("kind") == "person", F.col("form")))).alias("known"))
-    rows = _read(seen, "window").join(grouped, "window_id", "left")
-    none = F.array().cast("array<string>")
-    rows = rows.withColumns({c: F.coalesce(c, none) for c in (*TERMS, "person", "known")})
+    rows, none = _read(seen, "window", dictionary), F.array().cast("array<string>")
     some = lambda c: F.size(c) > 0
     one_person, both = F.size("person") == 1, F.array_distinct(F.concat("known", "names"))
     no_years = F.array().cast("array<int>")

@@ -93,3 +93,19 @@ def test_whole_lineups_and_years(spark):
     rows = spark.createDataFrame([(1, 1950, text), (2, 1930, text), (3, None, text)], "page int, year int, text string")
     got = mentions.lineups(rows, ["page", "year"], "text", register, "year").orderBy("page").collect()
     assert [(r["season"], len(r["names"]), r["people"], r["confidence"]) for r in got] == [(s, 11, [0, 1, 2, 3, 4, 5], "high") for s in (1934, None, 1934)]
+
+
+def test_candidates_take_two_shuffles_and_are_the_same_with_many_automata(spark, monkeypatch):
+    lines = [(p, i, f"{w} {n}") for p in range(20) for i, (w, n) in enumerate(zip(["Formann", "Terminliste", "2-1 i 1950", "Sluttabell 1951"], ["Ola Nordberg", "Kari Ås", "O. Nordberg", "Per van Dal"], strict=True))]
+    df = spark.createDataFrame(lines, "page int, line int, text string")
+    got = []
+    for size in (mentions.PART_BYTES, 60):
+        monkeypatch.setattr(mentions, "PART_BYTES", size)
+        found = mentions.candidates(df, ["page"], "line", "text", people(spark))
+        got.append(sorted(map(repr, found.collect())))
+        if size > 60:
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            plan = mentions.candidates(df, ["page"], "line", "text", people(spark))._jdf.queryExecution().executedPlan().toString()
+            spark.conf.unset("spark.sql.adaptive.enabled")
+            assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+    assert got[0] == got[1] and len(got[0]) > 100
