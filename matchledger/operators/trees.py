@@ -27,6 +27,9 @@ REFRESHED = ("retrievedAt",)
 CONCLUDED = {"/status": ("scheduled", ("played", "abandoned", "awarded", "cancelled", "postponed"))}
 
 
+_quoted, _said = json.encoder.encode_basestring_ascii, json.encoder.encode_basestring
+
+
 def _read(text: str | None):
     try:
         return json.loads(text) if text is not None else None
@@ -36,8 +39,12 @@ def _read(text: str | None):
 
 def _plain(value) -> str:
     """One text for equal values: keys in order, whole numbers without a point."""
+    if type(value) is str:
+        return _said(value)
+    if type(value) is int:
+        return str(value)
     if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k)}:{_plain(value[k])}" for k in sorted(value)) + "}"
+        return "{" + ",".join(f"{_quoted(k)}:{_plain(value[k])}" for k in sorted(value)) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(_plain, value)) + "]"
     if isinstance(value, float) and value.is_integer():
@@ -135,7 +142,7 @@ class Additivity:
         return [(k, ":".join([v, *(said(item[c]) for c in COMPANIONS.get(k, ()) if item.get(c) is not None)])) for k, v in own]
 
     def scalar_kept(self, base, head, path: str) -> bool:
-        if _plain(base) == _plain(head):
+        if (type(base) is type(head) and base == head and not isinstance(base, float)) or _plain(base) == _plain(head):
             return True
         if isinstance(base, str) and isinstance(head, str) and "�" in base and base.replace("�", "") == "".join(c for c in head if ord(c) < 128):
             return True  # letters that had been lost are back
@@ -175,10 +182,10 @@ class Additivity:
                     return name, left
             return ("", ""), []
 
-        named = [self.identities(item) for item in base]
+        named, shape = [self.identities(item) for item in base], list(map(_plain, base))
         unchanged = set()
         for i, item in enumerate(base):
-            same = [p for p in candidates(named[i])[1] if shapes[p] == _plain(item)] if named[i] else []
+            same = [p for p in candidates(named[i])[1] if shapes[p] == shape[i]] if named[i] else []
             if same:
                 gone.add(same[0])
                 unchanged.add(i)
@@ -192,8 +199,8 @@ class Additivity:
                 yield from self.lost(item, head[places[0]], f"{path}/{name[0]}={name[1]}", depth - 1)
             elif named[i]:
                 yield f"{path}/{named[i][0][1]}", "remove", item, None
-            elif left[_plain(item)]:
-                left[_plain(item)] -= 1
+            elif left[shape[i]]:
+                left[shape[i]] -= 1
             else:
                 yield f"{path}[{i}]", "remove", item, None
 

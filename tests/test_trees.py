@@ -90,3 +90,11 @@ def test_removed_records(spark):
     got = provenance.removals(base, head, "k", "parts", spark.createDataFrame([(8,), (2,), (8,)], "k int"))
     assert sorted(map(tuple, got.collect())) == [(1, "merged", 11), (2, "merged", 11), (3, "destroyed", None), (4, "destroyed", None), (5, "destroyed", None), (6, "merged", 11), (8, "approved", None), (11, "new", None), (12, "new", None), (20, "new", None)]
     assert provenance.removals(base.limit(0), head.limit(0), "k", "parts").count() == 0
+
+
+def test_items_of_one_name_are_written_out_once_each(monkeypatch):
+    """Not once for each pair of them."""
+    written, plain = [], trees._plain
+    monkeypatch.setattr(trees, "_plain", lambda v: (isinstance(v, dict) and written.append(v), plain(v))[1])
+    items = [{"year": 1950, "x": "å", "n": i, "f": -0.0} for i in range(30)]
+    assert list(trees.Additivity().lost({"l": items}, {"l": items[::-1]})) == [] and len(written) == 60
