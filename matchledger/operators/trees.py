@@ -1,6 +1,7 @@
 """Nested values of unlike shapes as rows: every node of a tree, objects found anywhere, paths copied, and what one snapshot lost of another.
 
-Trees come as JSON text or VARIANT. ``nodes`` walks each once and gives a row for each node; searches are joins and groups over those rows.
+Trees come as JSON text or VARIANT. ``nodes`` walks each once and gives a row for each node; ``objects_with`` searches those rows by joins and groups. ``objects`` and ``shapes`` search and add
+up while they walk, and make rows of what they find only.
 ``losses`` compares two snapshots of records by key: whatever the base holds must still be in the head, which may add freely.
 
 A null or unreadable tree has no nodes and, as a base, nothing to lose. Paths are keys after slashes; list items stand by their place from 0.
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEPTH = 24
+#: Trees that a task adds up at once.
+PASS = 20_000
 #: The keys that identify an item of a list, in order, and what else belongs to the identity that a key gives.
 IDENTITIES = ("claimId", "id", "no", "year", "sourceId", "personId", "providerId", "date")
 COMPANIONS = {"sourceId": ("page",), "personId": ("body", "observedTitle")}
@@ -27,6 +30,7 @@ REFRESHED = ("retrievedAt",)
 CONCLUDED = {"/status": ("scheduled", ("played", "abandoned", "awarded", "cancelled", "postponed"))}
 
 
+_KINDS = {type(None): "null", bool: "boolean", int: "integer", float: "real", str: "text", list: "array", dict: "object"}
 _quoted, _said = json.encoder.encode_basestring_ascii, json.encoder.encode_basestring
 
 
@@ -53,10 +57,7 @@ def _plain(value) -> str:
 
 
 def _kind(value) -> str:
-    if value is None:
-        return "null"
-    names = {bool: "boolean", int: "integer", float: "real", str: "text", list: "array", dict: "object"}
-    return names[type(value)]
+    return _KINDS[type(value)]
 
 
 def _walk(value, path: str, parent: str | None, name: str | None, depth: int) -> Iterator[tuple]:
@@ -78,17 +79,145 @@ def nodes(df: DataFrame, key: str, tree: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [None, *[pa.string()] * 4, pa.int32(), pa.string()]
-        for batch in batches:
-            kinds[0] = batch.schema.field(0).type
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                rows = [(k, *node) for k, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if text is not None and ((value := _read(text)) is not None or text.strip() == "null") for node in _walk(value, "", None, None, DEPTH)]
-                columns = list(zip(*rows, strict=True)) or [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [key, "path", "parent", "name", "type", "size", "value"])
+        for part, trees in _parsed(batches):
+            kinds[0] = part.schema.field(0).type
+            rows = [(k, *node) for k, value in trees for node in _walk(value, "", None, None, DEPTH)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [key, "path", "parent", "name", "type", "size", "value"])
 
     return df.select(key, _json(df, tree).alias("_tree")).mapInArrow(run, f"`{key}` {kind}, path string, parent string, name string, type string, size int, value string")
 
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Keys and readable trees of each piece of the batches."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            yield part, [(k, value) for k, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if text is not None and ((value := _read(text)) is not None or text.strip() == "null")]
+
+
+def _tally(value, at: tuple, depth: int) -> str:
+    """Counts a value and all below it and gives its JSON, so that each value is written out once. A place is its path, what each type holds there, and
+    the places below by name."""
+    path, kinds, below = at
+    kind, size = type(value), None
+    if kind is str:
+        shown, text = value, _said(value)
+    elif kind is int:
+        shown = text = str(value)
+    elif kind is dict and depth:
+        size, parts = len(value), []
+        for name in sorted(value):
+            inner = below.get(name)
+            if inner is None:
+                inner = below[name] = (f"{path}/{name}", {}, {})
+            parts.append(f"{_quoted(name)}:{_tally(value[name], inner, depth - 1)}")
+        shown = text = "{" + ",".join(parts) + "}"
+    elif kind is list and depth:
+        size = len(value)
+        inner = below.get(None)
+        if inner is None:
+            inner = below[None] = (f"{path}/*", {}, {})
+        shown = text = "[" + ",".join([_tally(v, inner, depth - 1) for v in value]) + "]"
+    else:
+        size = len(value) if kind is dict or kind is list else None
+        shown = text = _plain(value)
+    held = kinds.get(kind)
+    if held is None:
+        kinds[kind] = [1, size, shown]
+    else:
+        held[0] += 1
+        if size is not None:
+            held[1] += size
+        if shown > held[2]:
+            held[2] = shown
+    return text
+
+
+def _tallied(at: tuple) -> Iterator[tuple]:
+    path, kinds, below = at
+    yield from ((path, _KINDS[kind], *held) for kind, held in kinds.items())
+    for inner in below.values():
+        yield from _tallied(inner)
+
+
+def shapes(df: DataFrame, tree: str) -> DataFrame:
+    """(path, type, n, size, largest) over the nodes of all trees, list places as ``*``: how many, the sum of their sizes, the largest value. A task adds up
+    what it walks before rows are made, so that few rows are shuffled; it holds the paths of ``PASS`` trees or so at once."""
+
+    def rows(root: tuple) -> pa.RecordBatch:
+        columns = list(zip(*_tallied(root), strict=True)) or [[]] * 5
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["path", "type", "n", "size", "largest"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, seen = ("", {}, {}), 0
+        for _, trees in _parsed(batches):
+            for _, value in trees:
+                _tally(value, root, DEPTH)
+            seen += len(trees)
+            if seen >= PASS:
+                yield rows(root)
+                root, seen = ("", {}, {}), 0
+        yield rows(root)
+
+    found = df.select(F.lit(None).cast("int").alias("_key"), _json(df, tree).alias("_tree")).mapInArrow(run, "path string, type string, n long, size long, largest string")
+    return found.groupBy("path", "type").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max("largest").alias("largest"))
+
+
+def _objects(value, path: tuple, depth: int, searches: list[list[tuple[str, str]]], out: list) -> None:
+    """Adds (path, search, values) of the objects of a tree that a search asks for. A path is a chain of names, and written out where something is found."""
+    if type(value) is dict:
+        for nth, wanted in enumerate(searches):
+            held = []
+            for name, of in wanted:
+                if name not in value:
+                    break
+                v = value[name]
+                kind = _KINDS[type(v)]
+                if kind != of and not (kind == "array" and of == f"array({len(v)})"):
+                    break
+                held.append(v if kind == "text" else str(v) if kind == "integer" else _plain(v))
+            else:
+                out.append((_path(path), nth, held))
+        below = value.items()
+    else:
+        below = enumerate(value)
+    if depth > 1:
+        for name, inner in below:
+            if type(inner) is dict or type(inner) is list:
+                _objects(inner, (path, name), depth - 1, searches, out)
+
+
+def _path(chain: tuple) -> str:
+    names = []
+    while chain:
+        chain, name = chain
+        names.append(f"/{name}")
+    return "".join(reversed(names))
+
+
+def objects(df: DataFrame, key: str, tree: str, *wanted: Mapping[str, str]) -> DataFrame:
+    """(key, path, search, values) of the objects, anywhere in a tree, that have all keys of a search with a value of the stated type, as ``objects_with``
+    asks for them; values stand in the order of its keys. Each tree is walked once for all searches, where it lies; equal rows are searched each."""
+    kind, searches = dict(df.dtypes)[key], [list(w.items()) for w in wanted]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [None, pa.string(), pa.int32(), pa.list_(pa.string())]
+        for part, trees in _parsed(batches):
+            kinds[0] = part.schema.field(0).type
+            rows = []
+            for k, value in trees:
+                if isinstance(value, dict | list):
+                    found: list = []
+                    _objects(value, (), DEPTH, searches, found)
+                    rows += [(k, *f) for f in found]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [key, "path", "search", "values"])
+
+    return df.select(key, _json(df, tree).alias("_tree")).mapInArrow(run, f"`{key}` {kind}, path string, search int, values array<string>")
+
+
 def objects_with(walked: DataFrame, key: str, wanted: Mapping[str, str]) -> DataFrame:
     """(key, path, and each wanted value) of the objects, anywhere in a tree, that have all wanted keys with a value of the stated type;
     ``array(2)`` asks for an array of two."""

@@ -68,10 +68,8 @@ SELECT path, type, count(*) AS n, CAST(sum(size) AS BIGINT) AS size, max(value)
 
 def objects_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects at any depth that have a status and two tags, or a line and a price."""
-    walked = trees.nodes(_snapshots(spark, sf_dir)[0], "o_orderkey", "tree")
-    heads = trees.objects_with(walked, "o_orderkey", {"status": "text", "tags": "array(2)"}).select("o_orderkey", "path", F.concat_ws("|", "status", "tags").alias("found"))
-    priced = trees.objects_with(walked, "o_orderkey", {"line": "integer", "price": "integer"}).select("o_orderkey", F.lit("/lines").alias("path"), F.concat_ws("|", "line", "price").alias("found"))
-    return heads.unionByName(priced)
+    found = trees.objects(_snapshots(spark, sf_dir)[0], "o_orderkey", "tree", {"status": "text", "tags": "array(2)"}, {"line": "integer", "price": "integer"})
+    return found.select("o_orderkey", F.when(F.col("search") == 0, F.col("path")).otherwise("/lines").alias("path"), F.concat_ws("|", "values").alias("found"))
 
 
 OBJECTS_SQL = """

@@ -98,3 +98,16 @@ def test_items_of_one_name_are_written_out_once_each(monkeypatch):
     monkeypatch.setattr(trees, "_plain", lambda v: (isinstance(v, dict) and written.append(v), plain(v))[1])
     items = [{"year": 1950, "x": "å", "n": i, "f": -0.0} for i in range(30)]
     assert list(trees.Additivity().lost({"l": items}, {"l": items[::-1]})) == [] and len(written) == 60
+
+
+def test_objects_are_found_and_shapes_added_up_where_trees_lie(spark):
+    """Nothing is shuffled for objects, and only sums for shapes."""
+    tree = {"title": "shots", "stats": [3, 4], "in": [{"title": "x", "stats": [1]}, {"deep": {"stats": [5, 6], "title": "corners"}}, {"title": 7, "stats": [1, 2]}], "n": None, "r": 1.5, "q": 2.0}
+    df = spark.createDataFrame([(1, json.dumps(tree)), (2, None), (3, "{"), (4, "null"), (5, '[{"title": "æ", "stats": []}]'), (6, '"s"')], "k int, tree string")
+    walked, wanted = trees.nodes(df, "k", "tree"), [{"title": "text", "stats": "array(2)"}, {"title": "text", "stats": "array"}, {"n": "null", "q": "real"}]
+    got = trees.objects(df, "k", "tree", *wanted)
+    want = [(*r[:2], nth, list(r[2:])) for nth, w in enumerate(wanted) for r in trees.objects_with(walked, "k", w).collect()]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and "Exchange" not in got._jdf.queryExecution().toString()
+    plain = walked.groupBy(F.regexp_replace("path", "/[0-9]+", "/*").alias("path"), "type").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.max("value").alias("largest"))
+    assert sorted(map(str, trees.shapes(df, "tree").collect())) == sorted(map(str, plain.collect()))
+    assert trees.shapes(df.limit(0), "tree").count() == 0 and trees.objects(df.limit(0), "k", "tree", *wanted).count() == 0
