@@ -46,8 +46,7 @@ UNION ALL SELECT o_orderkey, '/lines/id=' || id || '/price', 'mutate' FROM lines
 
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each path of the orders' trees holds which type, list places left out."""
-    walked = trees.nodes(_snapshots(spark, sf_dir)[0], "o_orderkey", "tree")
-    return walked.groupBy(F.regexp_replace("path", "/[0-9]+", "/*").alias("path"), "type").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.max("value").alias("largest"))
+    return trees.shapes(_snapshots(spark, sf_dir)[0], "tree")
 
 
 NODES_SQL = """
