@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: The least edge, what order counts, and the margins and score that a confidence asks for.
 FLOOR, ORDER, HIGH, MEDIUM, HIGH_SCORE = 45, 10, 8, 4, 55
+#: Costs of a group from which on arrays are faster than lists.
+FEW = 600
 
 
 def shortest_paths(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,31 +65,85 @@ def shortest_paths(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return column, rows, columns
 
 
-def best_allocation(edges: np.ndarray, order: list, dates: list, without: tuple[int, int] | None = None) -> tuple[list[int], int]:
+def few_paths(cost: list[list]) -> tuple[list[int], list, list]:
+    """``shortest_paths`` over plain lists: the same steps in the same order, without the cost of an array for each, which is what small groups spend."""
+    n, m = len(cost), len(cost[0]) if cost else 0
+    rows, columns, owner = [0] * n, [0] * m, [-1] * m
+    for start in range(n):
+        dist, before, left, done = [None] * m, [-1] * m, list(range(m)), []
+        row, at, base = start, -1, 0
+        while True:
+            of, own, nearest, least = cost[row], rows[row], -1, None
+            for c in left:
+                step, far = base + of[c] - own - columns[c], dist[c]
+                if far is None or step < far:
+                    dist[c], before[c] = step, at
+                    far = step
+                if least is None or far < least:
+                    nearest, least = c, far
+            base, at = least, nearest
+            if owner[at] < 0:
+                break
+            left.remove(at)
+            done.append(at)
+            row = owner[at]
+        rows[start] += base
+        for c in done:
+            rows[owner[c]] += base - dist[c]
+            columns[c] -= base - dist[c]
+        while at >= 0:
+            prior = before[at]
+            owner[at] = start if prior < 0 else owner[prior]
+            at = prior
+    column = [-1] * n
+    for c, row in enumerate(owner):
+        if row >= 0:
+            column[row] = c
+    return column, rows, columns
+
+
+def paths(cost: list[list], kind: type) -> tuple[list[int], list, list]:
+    """The assignment of least sum by ``few_paths`` or, from ``FEW`` costs on, over arrays."""
+    if sum(map(len, cost)) <= FEW:
+        return few_paths(cost)
+    column, rows, columns = shortest_paths(np.array(cost, kind))
+    return column.tolist(), rows.tolist(), columns.tolist()
+
+
+def best_allocation(edges: np.ndarray | list[list[int]], order: list, dates: list, without: tuple[int, int] | None = None) -> tuple[list[int], int]:
     """(event of each claim or -1, sum of its edges) of the allocation with the largest total; ``without`` bars a claim from an event."""
-    claims, events = edges.shape
-    cost = np.concatenate([-edges, np.zeros((claims, claims), np.int64)], axis=1)
+    value = edges if isinstance(edges, list) else edges.tolist()
+    claims, events = len(value), len(dates)
+    if claims == 1:
+        # no order among claims: the first of the largest edges, none last
+        best, sum_ = -1, None
+        for e, v in enumerate(value[0]):
+            if (0, e) != without and (sum_ is None or v > sum_):
+                best, sum_ = e, v
+        return ([-1], 0) if sum_ is None or sum_ < 0 else ([best], sum_)
+    cost = [[-v for v in row] + [0] * claims for row in value]
     if without:
-        cost[without] = 1 + edges.sum()
-    column, rows, columns = shortest_paths(cost)
-    spare = cost - rows[:, None] - columns
-    top = -int(rows.sum() + columns.sum())
-    loss = [[*map(int, spare[i, :events]), int(spare[i, events:].min())] for i in range(claims)]
-    value = edges.tolist()
+        cost[without[0]][without[1]] = 1 + sum(map(sum, value))
+    column, rows, columns = paths(cost, np.int64)
+    top = -(sum(rows) + sum(columns))
+    loss = [[c - own - at for c, at in zip(of, columns, strict=True)] for of, own in zip(cost, rows, strict=True)]
+    loss = [[*row[:events], min(row[events:])] for row in loss]
     dated = [d is not None for d in dates]
+    most = sum(dated)
 
     def turn(i: int, e: int, chosen: list[int]) -> int:
         """What the dates of a claim's event add to those chosen before it."""
         if e < 0 or not dated[e]:
             return 0
-        return sum(ORDER if (order[j] < order[i]) == (dates[f] < dates[e]) else -ORDER for j, f in enumerate(chosen) if f >= 0 and dated[f])
+        own, day, sum_ = order[i], dates[e], 0
+        for j, f in enumerate(chosen):
+            if f >= 0 and dated[f]:
+                sum_ += ORDER if (order[j] < own) == (dates[f] < day) else -ORDER
+        return sum_
 
-    def total(chosen: list[int]) -> int:
-        return sum(value[i][e] + turn(i, e, chosen[:i]) for i, e in enumerate(chosen) if e >= 0)
-
-    first = [int(c) if c < events else -1 for c in column]
-    found: list[tuple[int, list[int]]] = [(total(first) - 1, [])]
-    used, chosen = [False] * events, []
+    first = [c if c < events else -1 for c in column]
+    found: list[tuple[int, list[int]]] = [(sum(value[i][e] + turn(i, e, first[:i]) for i, e in enumerate(first) if e >= 0) - 1, [])]
+    used, chosen, places = [False] * events, [], (*range(events), -1)
 
     def search(i: int, lost: int, turns: int, placed: int) -> None:
         if i == claims:
@@ -94,13 +151,16 @@ def best_allocation(edges: np.ndarray, order: list, dates: list, without: tuple[
             if sum_ > found[0][0]:
                 found[0] = (sum_, chosen.copy())
             return
-        rest = claims - i - 1
-        for e in (*range(events), -1):
-            if e >= 0 and (used[e] or (i, e) == without):
+        rest, row = claims - i - 1, loss[i]
+        # the least loss that an event still to be tried may have: what all turns could make up for
+        more = min(rest, most - placed)
+        spare = top - lost + turns + ORDER * ((placed + 1) * more + more * (more - 1) // 2 + placed)
+        for e in places:
+            if spare - row[e] <= found[0][0] or e >= 0 and (used[e] or (i, e) == without):
                 continue
-            now, after = lost + loss[i][e], turns + turn(i, e, chosen)
+            now, after = lost + row[e], turns + turn(i, e, chosen)
             have = placed + (e >= 0 and dated[e])
-            more = min(rest, sum(dated) - have)
+            more = min(rest, most - have)
             if top - now + after + ORDER * (have * more + more * (more - 1) // 2) <= found[0][0]:
                 continue
             chosen.append(e)
@@ -118,24 +178,25 @@ def best_allocation(edges: np.ndarray, order: list, dates: list, without: tuple[
 def allocate(claims: list[dict], events: list[dict], edges: dict[tuple, int]) -> list[dict]:
     """One group. A claim has hypothesis, ord, alike and competitions; an event has event, date, date_confidence, same_fragment, printed and competitions."""
     order = [c["ord"] for c in claims]
-    weights = np.array([[edges.get((c["hypothesis"], e["event"]), 0) for e in events] for c in claims], np.int64).reshape(len(claims), len(events))
+    weights = [[edges.get((c["hypothesis"], e["event"]), 0) for e in events] for c in claims]
+    ords, dates = [-1 if o is None else o for o in order], [e["date"] for e in events]
     alike = {}
     for i, c in enumerate(claims):
         if c["alike"] is not None:
             alike.setdefault((c["alike"], tuple(weights[i])), []).append(i)
     unclear = {i for same in alike.values() if len(same) > 1 for i in same}
-    chosen, sum_ = best_allocation(weights, [-1 if o is None else o for o in order], [e["date"] for e in events])
+    chosen, sum_ = best_allocation(weights, ords, dates)
     out = []
     for i, (c, e) in enumerate(zip(claims, chosen, strict=True)):
-        kept = e >= 0 and i not in unclear and weights[i, e] >= FLOOR
+        kept = e >= 0 and i not in unclear and weights[i][e] >= FLOOR
         row = {"hypothesis": c["hypothesis"], "candidate": None, "event": None, "decision": "rejected", "score": 0, "runner_up": 0, "margin": 0, "confidence": "low", "league": False}
         if kept:
-            other, rest = best_allocation(weights, [-1 if o is None else o for o in order], [x["date"] for x in events], (i, e))
-            event, score, margin = events[e], int(weights[i, e]), max(0, sum_ - rest)
+            other, rest = best_allocation(weights, ords, dates, (i, e))
+            event, score, margin = events[e], weights[i][e], max(0, sum_ - rest)
             sure = event["date"] is not None and event["date_confidence"] in ("high", "medium") and event["same_fragment"] and event["printed"]
             confidence = "high" if sure and margin >= HIGH and score >= HIGH_SCORE else "medium" if event["date"] is not None and margin >= MEDIUM else "low"
-            row |= {"candidate": event["event"], "decision": "unresolved", "score": score, "runner_up": int(weights[i, other[i]]) if other[i] >= 0 else 0, "margin": margin, "confidence": confidence, "league": bool(set(c["competitions"] or ()) & set(event["competitions"] or ()))}
-        rest = [(x["event"], int(w)) for x, w in zip(events, weights[i], strict=True) if w > 0 and x["event"] != row["candidate"]]
+            row |= {"candidate": event["event"], "decision": "unresolved", "score": score, "runner_up": weights[i][other[i]] if other[i] >= 0 else 0, "margin": margin, "confidence": confidence, "league": bool(set(c["competitions"] or ()) & set(event["competitions"] or ()))}
+        rest = [(x["event"], w) for x, w in zip(events, weights[i], strict=True) if w > 0 and x["event"] != row["candidate"]]
         row["alternatives"] = sorted(rest, key=lambda x: -x[1])[:3]
         out.append(row)
     accepted: set[int] = set()
@@ -164,14 +225,26 @@ def allocated(hypotheses: DataFrame, events: DataFrame, edges: DataFrame, on: li
     rows = h.join(e, on, "left").join(w, on, "left")
     schema = T.StructType([rows.schema[c] for c in on] + list(T.StructType.fromDDL("hypothesis string, candidate string, event string, decision string, score int, runner_up int, margin int, confidence string, alternatives array<struct<event: string, score: int>>")))
 
+    def lists(column: pa.ListArray) -> Iterator[list[dict]]:
+        """The structs of each row of a column, read field by field."""
+        flat, at = column.flatten(), 0
+        names = [f.name for f in flat.type]
+        rows = [dict(zip(names, r, strict=True)) for r in zip(*(flat.field(n).to_pylist() for n in names), strict=True)]
+        for n in pc.list_value_length(column).to_pylist():
+            yield rows[at : at + (n or 0)]
+            at += n or 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.name for f in schema]
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                edges_ = {(x["hypothesis"], x["event"]): x["edge"] for x in row["_w"] or ()}
-                for made in allocate(row["_h"], row["_e"] or [], edges_):
+            out: dict = {c: [] for c in names}
+            keys = zip(*(batch.column(c).to_pylist() for c in on), strict=True)
+            for key, claims_, events_, edges_ in zip(keys, *(lists(batch.column(c)) for c in ("_h", "_e", "_w")), strict=True):
+                for made in allocate(claims_, events_, {(x["hypothesis"], x["event"]): x["edge"] for x in edges_}):
                     made["alternatives"] = [{"event": a, "score": b} for a, b in made["alternatives"]]
-                    out.append({c: row[c] for c in on} | made)
-            yield pa.RecordBatch.from_pylist(out, to_arrow_schema(schema))
+                    made.update(zip(on, key, strict=True))
+                    for c in names:
+                        out[c].append(made[c])
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in to_arrow_schema(schema)], names)
 
     return rows.mapInArrow(run, schema)

@@ -120,3 +120,17 @@ def test_groups_in_spark(spark):
     got = {(row["g"], row["hypothesis"]): tuple(row[f] for f in FIELDS) for row in allocation.allocated(h, e, w, ["g"]).collect()}
     assert got == {(g, k): v for g, (cs, es, ws) in made.items() for k, v in enumerate_states(cs, es, ws).items()}
     assert allocation.allocated(h.limit(0), e, w, ["g"]).count() == 0
+
+
+def test_small_groups_are_solved_over_lists_as_over_arrays(monkeypatch):
+    r = random.Random(11)
+    for _ in range(300):
+        n, m = r.randrange(1, 6), r.randrange(5, 9)
+        cost = [[r.choice([0, -50, -50, -60, r.randrange(-99, 0)]) for _ in range(m)] for _ in range(n)]
+        assert allocation.few_paths(cost) == tuple(x.tolist() for x in allocation.shortest_paths(np.array(cost, np.int64)))
+    groups = [group(r, r.randrange(1, 5), r.randrange(1, 7)) for _ in range(60)]
+    monkeypatch.setattr(allocation, "FEW", 0)
+    want = [allocation.allocate(*g) for g in groups]
+    monkeypatch.undo()
+    monkeypatch.setattr(allocation, "shortest_paths", None)
+    assert [allocation.allocate(*g) for g in groups] == want
