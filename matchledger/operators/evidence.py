@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .allocation import shortest_paths
+from .allocation import paths
 
 #: What each confidence of a date counts.
 WEIGHTS = {"high": 3, "medium": 2, "low": 1}
@@ -108,9 +108,8 @@ def assign(score: dict[tuple[str, str], float], margin: float = 10.0) -> list[tu
     people, events = sorted({h for h, _ in score}), sorted({e for _, e in score})
     # a column for each event, and one of cost 0 for each hypothesis that stays without
     barred = 1.0 + sum(map(abs, score.values()))
-    cost = np.zeros((len(people), len(events) + len(people)))
-    cost[:, : len(events)] = [[-score[h, e] if (h, e) in score else barred for e in events] for h in people]
-    column, _, _ = shortest_paths(cost)
+    cost = [[-score[h, e] if (h, e) in score else barred for e in events] + [0.0] * len(people) for h in people]
+    column, _, _ = paths(cost, float)
     out = []
     for h, c in zip(people, column, strict=True):
         e = events[c] if c < len(events) else None
@@ -128,7 +127,11 @@ def assigned(edges: DataFrame, group: str = "grp", margin: float = 10.0) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(g, *made) for g, found in zip(*(c.to_pylist() for c in batch.columns), strict=True) for made in assign({(x["hypothesis"], x["event"]): x["score"] for x in found}, margin)]
+            rows, at, held = [], 0, batch.column(1).flatten()
+            edges_ = list(zip(zip(*(held.field(c).to_pylist() for c in ("hypothesis", "event")), strict=True), held.field("score").to_pylist(), strict=True))
+            for g, n in zip(batch.column(0).to_pylist(), pc.list_value_length(batch.column(1)).to_pylist(), strict=True):
+                rows += [(g, *made) for made in assign(dict(edges_[at : at + n]), margin)]
+                at += n
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [batch.schema.field(0).type, pa.string(), pa.string(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["grp", "hypothesis", "event", "score", "state"])

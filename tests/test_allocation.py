@@ -5,7 +5,7 @@ from datetime import date
 import numpy as np
 import pytest
 
-from matchledger.operators import allocation
+from matchledger.operators import allocation, evidence
 
 DAYS = [None, *(f"1963-{m:02d}-{d:02d}" for m in (5, 6) for d in (1, 9, 20))]
 
@@ -134,3 +134,13 @@ def test_small_groups_are_solved_over_lists_as_over_arrays(monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(allocation, "shortest_paths", None)
     assert [allocation.allocate(*g) for g in groups] == want
+
+
+def test_small_groups_are_assigned_without_arrays(monkeypatch):
+    r = random.Random(12)
+    scores = [{(f"h{i}", f"e{j}"): r.choice([55.0, 60.0, -2.5, r.random() * 60]) for i in range(r.randrange(1, 5)) for j in range(r.randrange(1, 6))} for _ in range(80)]
+    monkeypatch.setattr(allocation, "FEW", 0)
+    want = [evidence.assign(s) for s in scores]
+    monkeypatch.undo()
+    monkeypatch.setattr(allocation, "shortest_paths", None)
+    assert [evidence.assign(s) for s in scores] == want
