@@ -10,8 +10,9 @@ Words without a page, a place or letters have no layout and are left out; missin
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,31 +73,41 @@ def lines(words: DataFrame, gutter: int = GUTTER) -> DataFrame:
     reach = F.greatest(F.lit(float(LINE_LEAST)), F.coalesce("median", F.lit(float(HEIGHT))) * LINE_SHARE)
     rows = placed.join(found, "page").filter((middle >= F.col("left")) & (middle < F.col("right"))).join(tall, "page", "left")
     rows = rows.select("page", "column", "y", "x", "word", reach.alias("reach"))
-    kind = dict(rows.dtypes)["page"]
-    sorted_ = rows.repartition("page", "column").sortWithinPartitions("page", "column", "y", "x", "word")
-    return sorted_.mapInPandas(_read_lines, f"page {kind}, column int, line int, y double, text string")
+    # the window asks for what reading needs, a page together and in order: the join by page gives the first, so that words are shuffled once
+    nth = F.row_number().over(Window.partitionBy("page").orderBy("column", "y", "x", "word"))
+    sorted_ = rows.withColumn("_nth", nth).select("page", "column", "y", "x", "word", "reach", "_nth")
+    return sorted_.mapInArrow(_read_lines, f"page {dict(rows.dtypes)['page']}, column int, line int, y double, text string")
 
 
-def _read_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines of sorted words: a new page or column starts afresh, a word too far below the line's first one starts the next line."""
-    place, top, nth, held, out = None, 0.0, -1, [], []
+    at, among, top, nth, held, out = None, None, 0.0, -1, [], []
+    names, kinds = ["page", "column", "line", "y", "text"], [pa.null(), pa.int32(), pa.int32(), pa.float64(), pa.string()]
 
     def close():
         if held:
-            out.append((*place, nth, top, " ".join(w for _, w in sorted(held, key=lambda h: h[0]))))
-
-    names = ["page", "column", "line", "y", "text"]
-    for frame in frames:
-        for page, column, y, x, word, reach in frame.itertuples(index=False):
-            if (page, column) != place or abs(y - top) > reach:
+            held.sort(key=itemgetter(0))
+            out.append((at, among, nth, top, " ".join([w for _, w in held])))
+
+    def rows() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    for batch in batches:
+        kinds[0] = batch.schema.field(0).type
+        for page, column, y, x, word, reach in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns[:6]), strict=True):
+            same = column == among and page == at
+            if not same or abs(y - top) > reach:
                 close()
-                nth = nth + 1 if (page, column) == place else 0
-                place, top, held = (page, column), y, []
+                nth = nth + 1 if same else 0
+                at, among, top, held = page, column, y, []
             held.append((x, word))
-        yield pd.DataFrame(out, columns=names)
-        out.clear()
+        if out:
+            yield rows()
+            out.clear()
     close()
-    yield pd.DataFrame(out, columns=names)
+    if out:
+        yield rows()
 
 
 def running_text(read: DataFrame) -> DataFrame:

@@ -77,3 +77,9 @@ def test_words_of_a_scan_become_running_text(spark):
     words = landed.scanned_words(spark.createDataFrame([(5, xml)], "page int, xml string"), "page", "xml")
     got = scans.running_text(scans.lines(words)).orderBy("column").collect()
     assert [tuple(r) for r in got] == [(5, 0, "The chair vicechair support"), (5, 1, "second col 1918- 19")]
+
+
+def test_words_are_not_shuffled_again_to_be_read(spark):
+    """By page alone: joins and reading ask for the same."""
+    plan = scans.lines(spark.createDataFrame([(1, "a", 0.0, 1.0, 5.0, 9.0)], SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" not in plan
