@@ -8,7 +8,8 @@ random sequence of its own visits first (optimal densification). Runs of ``ROWS`
 Texts with equal sets fold into one set first, by a 128-bit fingerprint. In a bucket every member
 is paired with the bucket's smallest only, so a bucket of n gives n - 1 pairs. Pairs are confirmed on full sets.
 Further rounds look at buckets whose members are still in different components: ``CENTRES`` random members become the
-bucket's centres, and members of other components are held against them; rounds end when one finds no link. An exact
+bucket's centres, drawn alike in all buckets, and members of other components are held against them. The
+share of similar pairs tells how many a set still has in the largest bucket; rounds end when these are ``FEW`` or less. An exact
 join then finishes what is left: the sets of all buckets that still hold several components meet on their rarest
 shingles (prefix and length filters, the exact bound for each pair), parity bitmaps drop pairs that differ too much, and
 the rest is confirmed on full sets. So every similar pair that shares a bucket is found or in one component. At a
@@ -36,6 +37,8 @@ BANDS = BINS // ROWS
 THRESHOLD = 0.8
 #: Centres of a bucket in each further round.
 CENTRES = 3
+#: Similar sets of other components that a set may still have in the largest bucket, by the last round's share, when the exact join takes over.
+FEW = 20
 #: Upper bits of a shingle's hash that name its counter in the order of rarity; any order gives the same pairs.
 SLOT_BITS = 20
 #: Rows of one shingle that meet in one task; of a hot shingle, parts of so many rows meet each other.
@@ -245,26 +248,28 @@ def groups(docs: DataFrame, shingle: int = 5, threshold: float = THRESHOLD) -> D
         return similar(sides.select("u", "v", "a", "b"), shingle, threshold)
 
     tested = staged(members.filter((F.col("rep") != F.col("centre")) & close(F.col("n"), F.col("m"))).select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct(), "pairs")
-    links = components(confirmed(tested).union(same_ids(worded, sets)))
+    links = components(staged(confirmed(tested).union(same_ids(worded, sets)), "found"))
     turn = 0
     while True:
         turn += 1
         named = members.select("band", "hash", "rep", "n").join(links.select(F.col("u").alias("rep"), F.col("v").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-        picks = [F.min_by(F.struct("rep", "n", "c"), F.xxhash64("rep", "band", F.lit(turn), F.lit(i))) for i in range(CENTRES)]
-        split = named.groupBy("band", "hash").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.array_distinct(F.array(*picks)).alias("picks")).filter("low < high").select("band", "hash", "picks")
+        picks = [F.min_by(F.struct("rep", "n", "c"), F.xxhash64("rep", F.lit(turn), F.lit(i))) for i in range(CENTRES)]
+        split = named.groupBy("band", "hash").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.array_distinct(F.array(*picks)).alias("picks")).filter("low < high").select("band", "hash", "size", "picks")
         members = staged(named.join(split, ["band", "hash"]), "members")  # buckets of one component stay out from now on
-        far = members.withColumn("x", F.explode(F.filter("picks", lambda x: (F.col("c") != x["c"]) & close(F.col("n"), x["n"]))))
+        each = members.groupBy("rep", "n", "c").agg(F.array_distinct(F.flatten(F.collect_set("picks"))).alias("picks"))
+        far = each.withColumn("x", F.explode(F.filter("picks", lambda x: (F.col("c") != x["c"]) & close(F.col("n"), x["n"]))))
         fresh = far.select(F.greatest("rep", "x.rep").alias("u"), F.least("rep", "x.rep").alias("v")).distinct()
         fresh = staged(fresh.join(tested, ["u", "v"], "left_anti"), "pairs")
         found = staged(confirmed(fresh), "found")
-        if found.isEmpty():
+        tested = tested.union(fresh)
+        if found.count() * (members.agg(F.max("size")).first()[0] or 0) <= FEW * fresh.count():
             break
-        links, tested = components(links.union(found)), tested.union(fresh)
+        links = components(links.union(found))
     percent = round(threshold * 100)
     rest = members.select("rep", "n", "c").distinct()
     rest = staged(prefixes(held.join(rest, "rep").select("rep", "c", "n", "text"), shingle, percent), "rest")
     fresh = staged(candidates(rest, percent).join(tested, ["u", "v"], "left_anti"), "pairs")
-    found = staged(confirmed(fresh), "found")
+    found = staged(confirmed(fresh).union(found), "found")  # with the last round's
     if not found.isEmpty():
         links = components(links.union(found))
     named = sets.select("k1", "k2", "rep", "doc_id").join(links.select(F.col("u").alias("rep"), F.col("v").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))

@@ -99,6 +99,25 @@ def test_near_pairs_hidden_in_large_buckets(spark):
     assert got == want
 
 
+def test_near_rounds_end_when_few_pairs_are_left(spark, monkeypatch):
+    """Copies of one text that are too far from it and from each other, but meet in its buckets: each is held against few others."""
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(200)]
+    order = [(k, " ".join(w if r.random() < 0.87 else f"x{k}_{i}" for i, w in enumerate(base))) for k in range(400)]
+    steps, staged = [], near.staged
+    monkeypatch.setattr(near, "staged", lambda df, name: (steps.append((name, out := staged(df, name))), out)[1])
+    got = {x["doc_id"]: x["component_id"] for x in near.groups(spark.createDataFrame(order, "doc_id long, text string").repartition(4), 1).collect()}
+    held = [df.count() for name, df in steps if name == "pairs"]
+    assert sum(held[1:-1]) <= 8 * near.CENTRES * len(order)
+    sets = {k: set(t.split()) for k, t in order}
+    links = [(a, b) for a in sets for b in sets if a > b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = {k: k for k in sets}
+    while any(want[a] != want[b] for a, b in links):
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+
+
 def test_near_odd_rows(spark):
     got = collections.defaultdict(list)
     for x in near.groups(documents(spark)).collect():
