@@ -54,14 +54,16 @@ def whole_phrases(texts: DataFrame, key: str, text: str, phrases: DataFrame, phr
 
 
 def shared_runs(texts: DataFrame, key: str, text: str, phrases: DataFrame, phrase_key: str, phrase: str, size: int) -> DataFrame:
-    """How many distinct runs of ``size`` words of a passage a text holds, wherever in the passage they stand."""
+    """How many distinct runs of ``size`` words of a passage a text holds, wherever in the passage they stand. Rows of one key
+    count once a run; only runs that both sides have are brought together for that."""
 
     def runs(df: DataFrame, k: str, t: str) -> DataFrame:
         w = F.col("_w")
         own = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
-        return df.select(k, words(F.col(t)).alias("_w")).filter(F.size("_w") >= size).select(k, F.explode(F.array_distinct(own)).alias("_run")).distinct()
+        return df.select(k, words(F.col(t)).alias("_w")).filter(F.size("_w") >= size).select(k, F.explode(F.array_distinct(own)).alias("_run"))
 
-    return runs(texts, key, text).join(runs(phrases, phrase_key, phrase), "_run").groupBy(key, phrase_key).agg(F.count("*").alias("runs"))
+    met = runs(texts, key, text).join(runs(phrases, phrase_key, phrase).distinct(), "_run").select(key, phrase_key, "_run").distinct()
+    return met.groupBy(key, phrase_key).agg(F.count("*").alias("runs"))
 
 
 def line_windows(df: DataFrame, key: str, text: str) -> DataFrame:
