@@ -12,16 +12,17 @@ from ..functions.text import in_locale
 
 def cascade(rows: DataFrame, key: str, levels: list[tuple[str, str, DataFrame]]) -> DataFrame:
     """Looks each row up in a list of (level, column, dictionary of form and id), best level first. A level with several
-    ids is ambiguous and ends the search; ``found`` is null then. Rows found nowhere have level ``none``."""
-    parts = None
+    ids is ambiguous and ends the search; ``found`` is null then. Rows found nowhere have level ``none``. Dictionaries are
+    brought to one row a form, so that rows are never grouped; ``key`` names a row and stays as it is."""
+    out, hits = rows, []
     for rank, (level, column, forms) in enumerate(levels):
-        hit = rows.join(forms.select(F.col("form").alias("_form"), F.col("id").alias("_id")), F.col(column) == F.col("_form"))
-        hit = hit.groupBy(key).agg(F.count_distinct("_id").alias("_ids"), F.min("_id").alias("_id")).select(key, F.struct(F.lit(rank).alias("rank"), F.lit(level).alias("level"), F.col("_ids").alias("ids"), F.col("_id").alias("id")).alias("_hit"))
-        parts = hit if parts is None else parts.unionByName(hit)
-    best = parts.groupBy(key).agg(F.min("_hit").alias("_hit"))
-    out = rows.join(best, key, "left")
+        ids = F.struct(F.lit(level).alias("level"), F.count_distinct("id").alias("ids"), F.min("id").alias("id"))
+        one = forms.groupBy(F.col("form").alias(f"_form{rank}")).agg(ids.alias(f"_hit{rank}"))
+        out = out.join(one, F.col(column) == F.col(f"_form{rank}"), "left").drop(f"_form{rank}")
+        hits.append(f"_hit{rank}")
+    out = out.withColumn("_hit", F.coalesce(*hits))
     unique = F.col("_hit.ids") == 1
-    return out.withColumns({"found": F.when(unique, F.col("_hit.id")), "level": F.when(unique, F.col("_hit.level")).when(F.col("_hit").isNotNull(), "ambiguous").otherwise("none")}).drop("_hit")
+    return out.withColumns({"found": F.when(unique, F.col("_hit.id")), "level": F.when(unique, F.col("_hit.level")).when(F.col("_hit").isNotNull(), "ambiguous").otherwise("none")}).drop("_hit", *hits)
 
 
 #: Names longer than this meet on whole parts, shorter ones on what deletions leave of them.

@@ -51,3 +51,11 @@ def test_near_names_are_all_found_and_none_is_broadcast(spark):
         assert "Broadcast" not in got._jdf.queryExecution().toString()
     customers = spark.range(1000).select(F.format_string("Customer#%09d", "id").alias("n"))
     assert identity._by_deletions(customers, 1).count() == 1000 * 27 // 2
+
+
+def test_looked_up_rows_are_not_grouped(spark):
+    forms = spark.createDataFrame([("x", 1), ("y", 2), ("y", 3), ("z", None), (None, 4)], "form string, id long")
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (4, "w"), (5, None)], "key long, said string")
+    got = identity.cascade(rows, "key", [("first", "said", forms), ("second", "said", spark.createDataFrame([("w", 9), ("y", 2)], "form string, id long"))])
+    assert sorted(map(tuple, got.select("key", "found", "level").collect())) == [(1, 1, "first"), (2, None, "ambiguous"), (3, None, "ambiguous"), (4, 9, "second"), (5, None, "none")]
+    assert "Aggregate [key" not in got._jdf.queryExecution().optimizedPlan().toString()
