@@ -141,30 +141,29 @@ def uncovered_mentions(mentions: DataFrame, observed: DataFrame) -> DataFrame:
     return mentions.join(seen, F.expr(" AND ".join(f"{c} <=> _{c}" for c in names)), "left_anti")
 
 
+#: Parts that coordinates are dealt over; by size alone, large parts of narrow rows would meet in one task.
+PARTS = 96
+
+
 def moved(old: DataFrame, new: DataFrame, moves: DataFrame) -> DataFrame:
     """Faults of a move of records to new coordinates, which must be one to one and keep every payload.
 
     old, new: coordinate, payload, one row per coordinate; moves: origin, target.
     """
-    fault = lambda df, name, about: df.select(F.lit(name).alias("fault"), F.col(about).cast("string").alias("about"))
-    origins = moves.groupBy(F.col("origin").alias("coordinate")).agg(F.count("*").alias("_n"))
-    targets = moves.groupBy(F.col("target").alias("coordinate")).agg(F.count("*").alias("_n"))
+
+    def unmatched(records: DataFrame, end: str, missing: str) -> DataFrame:
+        rows = records.select(F.col("coordinate").alias("_at"), F.lit(True).alias("_is")).unionByName(moves.select(F.col(end).alias("_at"), F.lit(False).alias("_is")))
+        each = rows.repartition(PARTS, "_at").groupBy("_at").agg(F.count_if("_is").alias("_is"), F.count_if(~F.col("_is")).alias("_n"))
+        known, used, none = F.col("_is") > 0, F.col("_n") > 0, F.col("_at").isNull()
+        faults = [F.when(F.col("_n") > 1, f"{end}_twice"), F.when(used & (~known | none), f"{end}_unknown"), F.when(known & (~used | none), missing)]
+        return each.select(F.explode(F.array_compact(F.array(*faults))).alias("fault"), F.col("_at").cast("string").alias("about"))
+
     at = old.select(F.col("coordinate").alias("origin"), F.col("payload").alias("_old"))
     to = new.select(F.col("coordinate").alias("target"), F.col("payload").alias("_new"))
-    changed = moves.join(at, "origin").join(to, "target").filter(~F.col("_old").eqNullSafe(F.col("_new")))
-    parts = [
-        fault(origins.filter("_n > 1"), "origin_twice", "coordinate"),
-        fault(targets.filter("_n > 1"), "target_twice", "coordinate"),
-        fault(origins.join(old, "coordinate", "left_anti"), "origin_unknown", "coordinate"),
-        fault(targets.join(new, "coordinate", "left_anti"), "target_unknown", "coordinate"),
-        fault(old.join(origins, "coordinate", "left_anti"), "not_moved", "coordinate"),
-        fault(new.join(targets, "coordinate", "left_anti"), "not_explained", "coordinate"),
-        fault(changed, "payload_changed", "origin"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    dealt = lambda df, by: df.repartition(PARTS, by)
+    both = dealt(dealt(moves, "origin").join(dealt(at, "origin"), "origin"), "target").join(dealt(to, "target"), "target")
+    changed = both.filter(~F.col("_old").eqNullSafe(F.col("_new"))).select(F.lit("payload_changed").alias("fault"), F.col("origin").cast("string").alias("about"))
+    return unmatched(old, "origin", "not_moved").unionByName(unmatched(new, "target", "not_explained")).unionByName(changed)
 
 
 def filled_profiles(register: DataFrame, found: DataFrame, key: str, fields: list[str], order: str) -> DataFrame:

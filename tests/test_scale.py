@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from matchledger.operators import identity, windows
+from matchledger.operators import archive, identity, windows
 from matchledger.plans import match_queries
 
 from .test_oracle import DATA, rows
@@ -53,6 +53,18 @@ def test_near_names_are_all_found_and_none_is_broadcast(spark):
     assert identity._by_deletions(customers, 1).count() == 1000 * 27 // 2
 
 
+def test_moves_are_held_against_records_in_few_joins(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "coordinate long, payload string")
+    old, new = rows((1, "a"), (2, None), (3, "c"), (None, "n")), rows((-1, "a"), (-2, "b"), (-4, "d"))
+    moves = spark.createDataFrame([(1, -1), (1, -1), (2, -2), (5, -5), (None, None), (None, None)], "origin long, target long")
+    got = archive.moved(old, new, moves)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        ("origin_twice", "1"), ("origin_twice", None), ("target_twice", "-1"), ("target_twice", None), ("origin_unknown", "5"), ("origin_unknown", None), ("target_unknown", "-5"),
+        ("target_unknown", None), ("not_moved", "3"), ("not_moved", None), ("not_explained", "-4"), ("payload_changed", "2"),
+    ], key=str)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
 def test_looked_up_rows_are_not_grouped(spark):
     forms = spark.createDataFrame([("x", 1), ("y", 2), ("y", 3), ("z", None), (None, 4)], "form string, id long")
     rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (4, "w"), (5, None)], "key long, said string")
