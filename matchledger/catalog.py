@@ -9,6 +9,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 #: Statuses whose results count.
 COUNTED = ("played", "awarded")
 FOCAL = 7
+#: Parts that lines and orders of one nation are dealt over; by size alone, large parts of narrow rows would meet in one task.
+PARTS = 96
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +30,9 @@ def encounters(spark: SparkSession, sf_dir: str, focal: int | None = None) -> Da
     else:
         own_lines = lines.join(homes.filter(F.col("home_id") == focal), "l_suppkey")
         own_orders = orders.join(aways.filter(F.col("away_id") == focal), "o_custkey")
-        joined = own_lines.join(orders, same).join(aways, "o_custkey").unionByName(lines.join(own_orders, same).join(homes, "l_suppkey"))
+        by_line, by_order = (lambda df: df.repartition(PARTS, "l_orderkey")), (lambda df: df.repartition(PARTS, "o_orderkey"))
+        at_home, away = by_line(own_lines).join(by_order(orders), same), by_line(lines).join(by_order(own_orders), same)
+        joined = at_home.join(aways, "o_custkey").unionByName(away.join(homes, "l_suppkey"))
     return joined.filter("home_id <> away_id").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("match_id"),
         F.year("o_orderdate").alias("season"),

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from matchledger.catalog import encounters
 from matchledger.operators import archive, identity, windows
 from matchledger.plans import match_queries
 
@@ -71,3 +72,7 @@ def test_looked_up_rows_are_not_grouped(spark):
     got = identity.cascade(rows, "key", [("first", "said", forms), ("second", "said", spark.createDataFrame([("w", 9), ("y", 2)], "form string, id long"))])
     assert sorted(map(tuple, got.select("key", "found", "level").collect())) == [(1, 1, "first"), (2, None, "ambiguous"), (3, None, "ambiguous"), (4, 9, "second"), (5, None, "none")]
     assert "Aggregate [key" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_of_one_nation_are_dealt_over_many_tasks(spark):
+    assert encounters(spark, DATA, 7).rdd.getNumPartitions() >= 96
