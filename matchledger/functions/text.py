@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -17,10 +18,32 @@ NOISE = (
 )
 
 
-@F.pandas_udf(T.StringType())
-def without_marks(values: pd.Series) -> pd.Series:
-    """Canonical decomposition without combining marks; Spark has no normaliser of its own."""
-    return values.map(lambda s: s if s is None or s.isascii() else "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)), na_action="ignore")
+def _simpler(chars: pd.Series, form: str, is_mark: Callable[[str], bool]) -> pd.Series:
+    """For each character that a decomposition without marks changes, the character and what it becomes, as one string."""
+    bare = lambda c: "".join(x for x in unicodedata.normalize(form, c) if not is_mark(x))
+    return chars.map(lambda s: s if s is None else [c + bare(c) for c in s if bare(c) != c], na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _canonical(chars: pd.Series) -> pd.Series:
+    return _simpler(chars, "NFD", lambda c: unicodedata.combining(c) > 0)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _compatible(chars: pd.Series) -> pd.Series:
+    return _simpler(chars, "NFKD", lambda c: unicodedata.category(c).startswith("M"))
+
+
+def _replaced(c: Column, simpler: Callable[[Column], Column]) -> Column:
+    """Spark has no normaliser of its own. Without marks each character decomposes by itself, so only the different ones of a text
+    go to Python, never the text."""
+    chars = F.array_join(F.array_distinct(F.split(F.regexp_replace(c, "[\\x00-\\x7F]+", ""), "")), "")
+    return F.aggregate(simpler(chars), c, lambda text, x: F.replace(text, F.substring(x, 1, 1), F.substr(x, F.lit(2))))
+
+
+def without_marks(c: Column) -> Column:
+    """Canonical decomposition without combining marks."""
+    return _replaced(c, _canonical)
 
 
 def slug(c: Column) -> Column:
@@ -94,10 +117,9 @@ def stable_hash(*columns: str) -> Column:
     return F.sha2(F.concat_ws("|", *(F.concat(F.lit(c + "="), F.coalesce(F.concat(F.lit("s:"), F.col(c).cast("string")), F.lit("n"))) for c in sorted(columns))), 256)
 
 
-@F.pandas_udf(T.StringType())
-def without_compatible_marks(values: pd.Series) -> pd.Series:
+def without_compatible_marks(c: Column) -> Column:
     """As ``without_marks``, by compatibility decomposition."""
-    return values.map(lambda s: s if s is None or s.isascii() else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.category(c).startswith("M")), na_action="ignore")
+    return _replaced(c, _compatible)
 
 
 def compared_name(c: Column, *, markup: bool = True, rings: bool = False, spaces: bool = True) -> Column:

@@ -1,6 +1,7 @@
 """What held on small tables only."""
 
 import random
+import unicodedata
 
 import duckdb
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from matchledger.catalog import encounters
+from matchledger.functions import text
 from matchledger.operators import archive, identity, windows
 from matchledger.plans import match_queries
 
@@ -76,3 +78,13 @@ def test_looked_up_rows_are_not_grouped(spark):
 
 def test_lines_of_one_nation_are_dealt_over_many_tasks(spark):
     assert encounters(spark, DATA, 7).rdd.getNumPartitions() >= 96
+
+
+def test_texts_lose_their_marks_outside_of_python(spark):
+    r = random.Random(3)
+    given = ["".join(chr(r.choice((r.randrange(32, 0x250), r.randrange(0x300, 0x3000), r.randrange(0xAC00, 0xD000), r.randrange(0xF900, 0xFFFD), r.randrange(0x1D400, 0x1D500), r.randrange(0x2F800, 0x2FA00)))) for _ in range(r.randrange(60))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in [*given, "", None]], "t string").select("t", text.without_marks(F.col("t")).alias("a"), text.without_compatible_marks(F.col("t")).alias("b"))
+    for t, a, b in df.collect():
+        assert a == (t and "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))
+        assert b == (t and "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.category(c).startswith("M")))
+    assert "array_distinct" in df._jdf.queryExecution().optimizedPlan().toString()
