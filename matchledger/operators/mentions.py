@@ -34,6 +34,7 @@ NO_NAMES = ("dommeren", "dommer", "banen", "kampen", "laget", "klubben", "stilli
 #: The first and last year that a fact may have.
 YEARS = (1914, 2100)
 
+_OTHER = regex.compile(r"[^a-z0-9æø]+")
 _YEAR = regex.compile(r"\b(?:19|20)\d{2}\b")
 _SCORE = regex.compile(r"\b(\d{1,2})\s*(?:[-–—]|\s:\s)\s*(\d{1,2})\b")
 _NAMES = regex.compile(r"\b\p{Lu}[\p{L}.'’-]+(?:\s+\p{Lu}[\p{L}.'’-]+){1,3}\b")
@@ -44,8 +45,8 @@ _LISTED = regex.compile(rf"({_TOKEN}(?:\s+{_TOKEN}){{1,3}})\s*(,|\bog\b|$)")
 
 
 def folded(text: str) -> str:
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
-    return regex.sub(r"[^a-z0-9æø]+", " ", plain).strip()
+    plain = text.lower() if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+    return _OTHER.sub(" ", plain).strip()
 
 
 def _parts(spark: SparkSession, dictionary: DataFrame) -> list:

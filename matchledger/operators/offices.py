@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 import regex
@@ -65,43 +66,73 @@ _ROW = regex.compile(rf"^({_YEAR})(?:\s*[-–—]\s*(\d{{2,4}}))?[\s.:]*({_NAME}
 _ENTRY = regex.compile(rf"({_NAME})[\s.]*({_YEAR}(?:\s*(?:og|,|–|—|-)\s*{_YEAR})*)")
 _BODY = regex.compile(BODY, regex.I)
 _NOT = frozenset(map(folded, NO_NAMES))
+_STOPS, _SPACES, _CAPITAL, _PARTICLE = regex.compile(r"[.,;:]+$"), regex.compile(r"\s+"), regex.compile("[A-ZÆØÅÀ-Þ]"), regex.compile(PARTICLES, regex.I)
+_JOINED, _INSIDE, _ELSEWHERE, _DIGITS = regex.compile(r"([\p{L}.]+)-$"), regex.compile(r"\p{L}$"), regex.compile(r"\s*(?:i|for)\s+(?!\d)"), regex.compile(r"\d{4}")
+#: The last of the years in reach, read from the end.
+_LAST_YEAR = regex.compile(r"(?r)\b(?:18[5-9]\d|19\d{2}|20\d{2})\b")
+#: What every match of a rule holds; a text without it is not read by that rule.
+_VERBED, _DATED, _BODY_ENDS = regex.compile(rf"{_TOKEN}\s+(?:som|ble|var)\b"), regex.compile(rf"{_TOKEN}[\s.]*{_YEAR}"), ("komiteen", "komitéen", "utvalget", "gruppa", "gruppen")
+
+
+class _Office(NamedTuple):
+    """How a term is written: what every form of it holds, before a name, behind a name, as a heading anywhere."""
+
+    stems: tuple[str, ...]
+    before: regex.Pattern
+    behind: regex.Pattern
+    heading: regex.Pattern
 
 
 @lru_cache(maxsize=1)
-def _patterns() -> dict[str, tuple[regex.Pattern, ...]]:
-    """For each term: before a name, behind a name, as a heading anywhere, as a heading with a colon."""
-    out = {}
+def _patterns() -> tuple[dict[str, _Office], regex.Pattern]:
+    """The patterns of each term, and that of any term as a heading with a colon."""
+    out, all_forms = {}, []
     for term in OFFICES:
         word = "".join(f"[{c.upper()}{c}]" if c != c.upper() else regex.escape(c) for c in term)
         forms = "|".join([term + ENDINGS, *PLURALS.get(term, ())])
-        out[term] = (
-            regex.compile(rf"\b{word}\b[\s,:.]+({_NAME})"), regex.compile(rf"({_NAME})\s+(?:som|ble|var)\b[^.;]{{0,40}}?\b{word}\b"),
-            regex.compile(rf"\b(?:{forms})\b", regex.I), regex.compile(rf"\b(?:{forms})\s*:", regex.I),
+        all_forms.append(forms)
+        out[term] = _Office(
+            (term, *PLURALS.get(term, ())), regex.compile(rf"\b{word}\b[\s,:.]+({_NAME})"),
+            regex.compile(rf"({_NAME})\s+(?:som|ble|var)\b[^.;]{{0,40}}?\b{word}\b"), regex.compile(rf"\b(?:{forms})\b", regex.I),
         )
-    return out
+    return out, regex.compile(rf"\b(?:{'|'.join(all_forms)})\s*:", regex.I)
+
 
+def _low(text: str) -> str:
+    """Small letters, with those that patterns take for an i and an s."""
+    return text.replace("İ", "i").replace("ſ", "s").lower()
 
+
+@lru_cache(maxsize=1 << 16)
 def clean_name(raw: str) -> str | None:
     """A name of two to four words, or null for what only looks like one."""
-    name = regex.sub(r"[.,;:]+$", "", regex.sub(r"\s+", " ", raw).strip())
-    words = name.split(" ")
-    if not 2 <= len(words) <= 4 or any(folded(w) in _NOT for w in words) or any(term in name.lower() for term in OFFICES):
+    name = _STOPS.sub("", _SPACES.sub(" ", raw).strip())
+    words, low = name.split(" "), name.lower()
+    if not 2 <= len(words) <= 4 or any(folded(w) in _NOT for w in words) or any(term in low for term in OFFICES):
         return None
     shouted = any(len(w) > 3 and w == w.upper() for w in words)
     stray = any(len(w) < 2 and not w.endswith(".") for w in words)
-    small = any(len(w) > 2 and not regex.match("[A-ZÆØÅÀ-Þ]", w) and not regex.fullmatch(PARTICLES, w, regex.I) for w in words)
+    small = any(len(w) > 2 and not _CAPITAL.match(w) and not _PARTICLE.fullmatch(w) for w in words)
     return None if shouted or stray or small else name
 
 
 def _others(text: str, at: int, ours: Sequence[str]) -> bool:
     """Whether a title is joined to another club's name, or stands inside a word."""
     before = text[max(0, at - PREFIX) : at]
-    joined = regex.search(r"([\p{L}.]+)-$", before)
-    return joined[1].lower().replace(".", "") not in ours if joined else bool(regex.search(r"\p{L}$", before))
+    joined = _JOINED.search(before) if "-" in before[-2:] else None
+    return joined[1].lower().replace(".", "") not in ours if joined else bool(_INSIDE.search(before[-2:]))
+
+
+def _some_body(text: str) -> bool:
+    """Whether a text may name a body."""
+    low, plain = text.lower(), _low(text)
+    return any(b in low for b in BODIES) or any(b in plain for b in _BODY_ENDS)
 
 
 def _bodies(page: str) -> list[str]:
     """The bodies that a page names, the whole left out, as well as those that are part of another one's name."""
+    if not _some_body(page):
+        return []
     low = page.lower()
     found = {b for b in BODIES if b in low} | {m[1].lower() for m in _BODY.finditer(page)}
     found.discard(MAIN)
@@ -122,32 +153,42 @@ def _body(text: str, at: int, on_page: list[str]) -> tuple[str | None, bool]:
 
 def found_in(lines: Sequence[str], text: str, page: str, published: int | None = None, ours: Sequence[str] = ()) -> Iterator[tuple]:
     """(rule, term, name, from, to, body, unclear) in the order of the rules."""
-    patterns, on_page = _patterns(), _bodies(page)
+    (patterns, colon), on_page, low = _patterns(), _bodies(page), _low(text)
+    # Where a text names no body there is none to look for before a title.
+    around = text if _some_body(text) else ""
     late = lambda year: published is not None and int(year) > published
+    standing = lambda stems, low: any(s in low for s in stems)
 
     def year_before(at: int) -> str | None:
-        years = _NEAR_YEAR.findall(text[max(0, at - YEAR_BEFORE) : at])
-        return years[-1] if years and not late(years[-1]) else None
-
-    heading = next((t for t, p in patterns.items() if any(map(p[2].search, [*lines, page]))), None)
-    for m in filter(None, (_ROW.match(x.strip()) for x in lines)) if heading else ():
-        if not late(m[1]):
-            to = m[1][:2] + m[2] if m[2] and len(m[2]) == 2 else m[2]
-            yield from (("year_row", heading, name, m[1], to, None, False) for name in map(clean_name, m[3].split("/")) if name)
-    for term, (before, behind, _, _) in patterns.items():
-        for m in before.finditer(text):
+        year = _LAST_YEAR.search(text[max(0, at - YEAR_BEFORE) : at])
+        return year[0] if year and not late(year[0]) else None
+
+    if rows := [m for m in (_ROW.match(x.strip()) for x in lines) if m]:
+        held = [(x, _low(x)) for x in (*lines, page)]
+        heading = next((t for t, p in patterns.items() if any(standing(p.stems, y) and p.heading.search(x) for x, y in held)), None)
+        for m in rows if heading else ():
+            if not late(m[1]):
+                to = m[1][:2] + m[2] if m[2] and len(m[2]) == 2 else m[2]
+                yield from (("year_row", heading, name, m[1], to, None, False) for name in map(clean_name, m[3].split("/")) if name)
+    verbed = bool(_VERBED.search(text))
+    for term, p in patterns.items():
+        if term not in low:
+            continue
+        for m in p.before.finditer(text):
             if (name := clean_name(m[1])) and not _others(text, m.start(), ours):
-                yield "role_then_name", term, name, year_before(m.start()), None, *_body(text, m.start(), on_page)
-        for m in behind.finditer(text):
+                yield "role_then_name", term, name, year_before(m.start()), None, *_body(around, m.start(), on_page)
+        for m in p.behind.finditer(text) if verbed else ():
             rest = text[m.end() :]
-            if (name := clean_name(m[1])) and not _others(text, m.end() - len(term), ours) and not regex.match(r"\s*(?:i|for)\s+(?!\d)", rest):
+            if (name := clean_name(m[1])) and not _others(text, m.end() - len(term), ours) and not _ELSEWHERE.match(rest):
                 after = _NEXT_YEAR.match(rest)
-                yield "name_then_role", term, name, after[1] if after else year_before(m.start()), None, *_body(text, m.start(), on_page)
-    for term, (_, _, start, _) in patterns.items():
-        for head in start.finditer(text):
-            ends = [m.start() for p in patterns.values() if (m := p[3].search(text, head.end() + 1))]
+                yield "name_then_role", term, name, after[1] if after else year_before(m.start()), None, *_body(around, m.start(), on_page)
+    if not _DATED.search(text):
+        return
+    for term, p in patterns.items():
+        for head in p.heading.finditer(text) if standing(p.stems, low) else ():
+            ends = [m.start()] if (m := colon.search(text, head.end() + 1)) else []
             for m in _ENTRY.finditer(text[head.end() : min([head.end() + LIST_REACH, *ends])].removeprefix(":")):
-                years = regex.findall(r"\d{4}", m[2])
+                years = _DIGITS.findall(m[2])
                 if (name := clean_name(m[1])) and not late(years[0]):
                     yield "name_then_year", term, name, years[0], years[-1] if len(years) > 1 else None, None, False
 
@@ -167,9 +208,9 @@ def offices(columns: DataFrame, on: Sequence[str], column: str, lines: str, peop
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, out = [], []
-            for i in range(batch.num_rows):
-                held, said, around = (batch.column(len(names) + j)[i].as_py() for j in range(3))
-                year = batch.column(published_at)[i].as_py() if published_at is not None else None
+            texts = (batch.column(len(names) + j).to_pylist() for j in range(3))
+            years = batch.column(published_at).to_pylist() if published_at is not None else [None] * batch.num_rows
+            for i, (held, said, around, year) in enumerate(zip(*texts, years, strict=True)):
                 for nth, (rule, term, name, *rest) in enumerate(found_in(held, said or "", around or "", year, ours)):
                     at.append(i)
                     out.append((nth, rule, term, name, folded(name), *rest))

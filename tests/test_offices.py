@@ -50,3 +50,32 @@ def test_offices_of_pages(spark):
         (4, 0, "Ola Berg", "p1", "Formann", None, None, "medium", "role_then_name"),
     }
     assert offices.offices(df.limit(0), ["page", "year"], "col", "lines", people, "year").count() == 0
+
+
+def test_only_terms_that_stand_in_a_text_are_looked_for(monkeypatch):
+    patterns, colon = offices._patterns()
+    asked = set()
+
+    class Asked:
+        def __init__(self, term, pattern):
+            self.term, self.pattern = term, pattern
+
+        def __getattr__(self, name):
+            asked.add(self.term)
+            return getattr(self.pattern, name)
+
+    watched = {t: p._replace(**{k: Asked(t, getattr(p, k)) for k in ("before", "behind", "heading")}) for t, p in patterns.items()}
+    monkeypatch.setattr(offices, "_patterns", lambda: (watched, colon))
+    assert found("i 1995 ble valgt: kasserer, Abdr Rave.") == [("role_then_name", "kasserer", "Abdr Rave", "1995", None, None)]
+    assert asked == {"kasserer"}
+
+
+def test_headings_may_have_a_long_s():
+    assert [g[:4] for g in found("ſekretærer Ola Nordberg 1921")] == [("name_then_year", "sekretær", "Ola Nordberg", "1921")]
+
+
+def test_pages_are_dealt_over_many_tasks(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["printed_offices"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_orderkey" in plan
