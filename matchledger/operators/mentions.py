@@ -12,14 +12,18 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..catalog import PARTS
+
 PART_BYTES = 32 << 20
+#: How many texts a task remembers what it read in, and how long they may be: headings, tables and forms repeat.
+KEPT, SHORT = 1 << 14, 200
 #: The terms that announce each kind of fact.
 TERMS = {
     "role": ("formann", "leder", "styreleder", "nestformann", "sekretær", "kasserer", "oppmann", "trener", "direktør", "æresmedlem", "æresmedlemmer", "sportslig leder", "daglig leder"),
@@ -35,6 +39,8 @@ NO_NAMES = ("dommeren", "dommer", "banen", "kampen", "laget", "klubben", "stilli
 YEARS = (1914, 2100)
 
 _OTHER = regex.compile(r"[^a-z0-9æø]+")
+#: What folding makes of each character of ASCII.
+_PLAIN = "".join(c.lower() if (c := chr(i)).isalnum() else " " for i in range(128))
 _YEAR = regex.compile(r"\b(?:19|20)\d{2}\b")
 _SCORE = regex.compile(r"\b(\d{1,2})\s*(?:[-–—]|\s:\s)\s*(\d{1,2})\b")
 _NAMES = regex.compile(r"\b\p{Lu}[\p{L}.'’-]+(?:\s+\p{Lu}[\p{L}.'’-]+){1,3}\b")
@@ -45,7 +51,9 @@ _LISTED = regex.compile(rf"({_TOKEN}(?:\s+{_TOKEN}){{1,3}})\s*(,|\bog\b|$)")
 
 
 def folded(text: str) -> str:
-    plain = text.lower() if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+    if text.isascii():
+        return " ".join(text.translate(_PLAIN).split())
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
     return _OTHER.sub(" ", plain).strip()
 
 
@@ -75,6 +83,12 @@ def _automaton(entries: list[tuple]):
     return machine
 
 
+@lru_cache(maxsize=1)
+def _machine(part):
+    """The automaton of a part, built once by a worker for all tasks that it runs on it."""
+    return _automaton(part.value)
+
+
 def term_hits(texts: DataFrame, key: Sequence[str], text: str, dictionary: DataFrame) -> DataFrame:
     """(key..., kind, ref, form, at): every place where a dictionary's form stands as whole words; at is its place in the folded text."""
     kinds = [texts.schema[k] for k in key]
@@ -82,7 +96,7 @@ def term_hits(texts: DataFrame, key: Sequence[str], text: str, dictionary: DataF
 
     def scanned(part) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = _automaton(part.value)
+            machine = _machine(part)
             for batch in batches if machine else ():
                 rows, found = [], []
                 for i, value in enumerate(batch.column(len(key)).to_pylist()):
@@ -109,38 +123,48 @@ def windows(lines: DataFrame, on: Sequence[str], line: str, text: str) -> DataFr
 
 
 def names_in(text: str) -> list[str]:
-    found = (_TITLED.sub("", m[0].strip()) for m in _NAMES.finditer(text))
+    found = (_TITLED.sub("", n.strip()) for n in _NAMES.findall(text))
     return list(dict.fromkeys(n for n in found if 5 <= len(n) <= 80))
 
 
+def years_in(text: str) -> list[int]:
+    return list(dict.fromkeys(y for x in _YEAR.findall(text) if YEARS[0] <= (y := int(x)) <= YEARS[1]))
+
+
+def scores_in(text: str) -> list[str]:
+    if not any(c in text for c in "-–—:"):
+        return []
+    return list(dict.fromkeys(f"{int(a)}-{int(b)}" for a, b in _SCORE.findall(text)))
+
+
 def _read(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
     """Adds names, years and scores that a window prints, the references of each kind that it names, and the forms of persons (known). Rows are distinct. What one
     automaton finds stays in its row; rows meet again only where the dictionary has several."""
     kinds = [*TERMS, "person"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    schema = f"{fields}, names array<string>, years array<int>, scores array<string>, {', '.join(f'{k} array<string>' for k in [*kinds, 'known'])}"
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    schema = f"{given}, names array<string>, years array<int>, scores array<string>, {', '.join(f'{k} array<string>' for k in [*kinds, 'known'])}"
     strings = pa.list_(pa.string())
 
     def scanned(part) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = _automaton(part.value)
+            machine, none, fields = _machine(part), [], [*kinds, "known"]
+
+            def read(text: str) -> tuple:
+                met: dict[str, set] = {}
+                for _, (_, entries) in machine.iter(f" {folded(text)} ") if machine and text else ():
+                    for kind, ref, form in entries:
+                        if ref is not None:
+                            met.setdefault(kind, set()).add(ref)
+                        if kind == "person":
+                            met.setdefault("known", set()).add(form)
+                return names_in(text), years_in(text), scores_in(text), *(sorted(met[k]) if k in met else none for k in fields)
+
+            remembered = lru_cache(maxsize=KEPT)(read)
             for batch in batches:
                 values = batch.column(batch.schema.names.index(column)).to_pylist()
-                years = [list(dict.fromkeys(y for m in _YEAR.finditer(v) if YEARS[0] <= (y := int(m[0])) <= YEARS[1])) for v in values]
-                scores = [list(dict.fromkeys(f"{int(m[1])}-{int(m[2])}" for m in _SCORE.finditer(v))) for v in values]
-                found = {k: [] for k in [*kinds, "known"]}
-                for v in values:
-                    met: dict[str, set] = {k: set() for k in found}
-                    for _, (_, entries) in machine.iter(f" {folded(v)} ") if machine and v else ():
-                        for kind, ref, form in entries:
-                            if ref is not None:
-                                met[kind].add(ref)
-                            if kind == "person":
-                                met["known"].add(form)
-                    for k, held in met.items():
-                        found[k].append(sorted(held))
-                made = [pa.array(list(map(names_in, values)), strings), pa.array(years, pa.list_(pa.int32())), pa.array(scores, strings), *(pa.array(x, strings) for x in found.values())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "names", "years", "scores", *found])
+                cells = list(zip(*(remembered(v) if len(v) <= SHORT else read(v) for v in values), strict=True)) or [[]] * (3 + len(fields))
+                made = [pa.array(c, pa.list_(pa.int32()) if i == 1 else strings) for i, c in enumerate(cells)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "names", "years", "scores", *fields])
 
         return df.mapInArrow(run, schema)
 
@@ -154,8 +178,10 @@ def _read(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
 def candidates(lines: DataFrame, on: Sequence[str], line: str, text: str, people: DataFrame, own: Column | None = None) -> DataFrame:
     """Typed candidates of every page: (on..., id, kind, confidence, keywords, names, years, scores, people). people: person, name (one row a name). A printed
     score is a candidate where ``own`` (a condition on columns of ``on``) holds: whose publication it is. Equal candidates of a page stand once."""
-    # Distinct within a page: rows stay where the next line was looked up.
-    seen = windows(lines, on, line, text).select(*on, "window").distinct()
+    # Distinct within a page: rows stay where the next line was looked up. They are dealt over parts that adaptive plans don't join to fewer: reading takes
+    # far longer than its bytes let expect.
+    dealt = lines.select(*on, line, text).repartition(PARTS, *on)
+    seen = windows(dealt, on, line, text).select(*on, "window").distinct()
     terms = lines.sparkSession.createDataFrame([(k, t, t) for k, ts in TERMS.items() for t in ts], "kind string, ref string, form string")
     dictionary = terms.unionByName(people.select(F.lit("person").alias("kind"), F.col("person").cast("string").alias("ref"), F.col("name").alias("form")))
     rows, none = _read(seen, "window", dictionary), F.array().cast("array<string>")
@@ -168,17 +194,18 @@ def candidates(lines: DataFrame, on: Sequence[str], line: str, text: str, people
         cells = {"kind": kind, "confidence": confidence, "keywords": keywords, "names": names, "years": years, "scores": scores, "people": persons}
         return F.when(when, F.struct(*((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in cells.items())))
 
-    found = F.array_compact(F.array(
+    found = F.array(
         made(some("person"), F.lit("person_mention"), sure(one_person), none, "known", "years", none, "person"),
         made(some("role"), F.when(F.size(both) > 0, "person_role").otherwise("organization"), sure(one_person & some("years")), "role", both, "years", none, "person"),
         made(some("lineup"), F.lit("lineup_or_squad"), F.lit("medium"), "lineup", "names", "years", none, "person"),
         made(some("fixture"), F.lit("fixture_list"), F.lit("medium"), "fixture", "names", "years", none, "person"),
         made(some("season") & some("years"), F.lit("season_fact"), F.lit("medium"), "season", none, "years", "scores", none),
         made(some("scores") & (F.lit(True) if own is None else own), F.lit("match_result"), F.lit("medium"), none, "names", "years", "scores", none),
-    ))
-    each = rows.select(*on, F.inline(found)).withColumn("years", F.coalesce("years", no_years))
+    )
+    # Whole rows are told apart by hashing; by their ids, each task would sort them first.
+    each = rows.select(*on, F.inline(found)).filter("kind IS NOT NULL").withColumn("years", F.coalesce("years", no_years)).distinct()
     mark = F.sha2(F.to_json(F.struct(*on, "kind", "confidence", "keywords", "names", "years", "scores", "people")), 256)
-    return each.withColumn("id", F.concat(F.translate("kind", "_", "-"), F.lit("-"), F.substring(mark, 1, 16))).dropDuplicates(["id"])
+    return each.withColumn("id", F.concat(F.translate("kind", "_", "-"), F.lit("-"), F.substring(mark, 1, 16)))
 
 
 def linked_results(found: DataFrame, clubs: DataFrame, matches: DataFrame) -> DataFrame:

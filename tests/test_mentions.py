@@ -109,3 +109,40 @@ def test_candidates_take_two_shuffles_and_are_the_same_with_many_automata(spark,
             spark.conf.unset("spark.sql.adaptive.enabled")
             assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
     assert got[0] == got[1] and len(got[0]) > 100
+
+
+def test_plain_texts_fold_as_any_text():
+    r = random.Random(9)
+    for _ in range(500):
+        text = "".join(map(chr, (r.choice((r.randrange(128), r.randrange(48, 123))) for _ in range(r.randrange(30)))))
+        want = mentions.folded(f"{text} é")  # not ASCII, so by Unicode's tables
+        assert mentions.folded(text) == want.removesuffix("e").strip()
+
+
+def test_an_automaton_is_built_once_for_the_tasks_of_a_worker(monkeypatch):
+    class Part:
+        value = [("role", "leder", "leder")]
+
+    built = []
+    monkeypatch.setattr(mentions, "_automaton", lambda entries: built.append(entries))
+    part = Part()
+    assert mentions._machine(part) is mentions._machine(part) and built == [Part.value]
+
+
+def test_long_and_repeated_texts_are_read_alike(spark, monkeypatch):
+    text = "Formann Ola Nordberg 1921 2-1"
+    lines = [(p, i, t) for p in range(3) for i, t in enumerate([text, None, "", text + " x" * 200, text])]
+    df = spark.createDataFrame(lines, "page int, line int, text string")
+    got = []
+    for short in (mentions.SHORT, 0):
+        monkeypatch.setattr(mentions, "SHORT", short)
+        got.append(sorted(map(repr, mentions.candidates(df, ["page"], "line", "text", people(spark)).collect())))
+    assert got[0] == got[1] and len(got[0]) >= 9
+
+
+def test_candidates_are_told_apart_without_sorting_and_read_in_many_tasks(spark):
+    df = spark.createDataFrame([(1, 0, "Formann Ola Nordberg 1921")], "page int, line int, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = mentions.candidates(df, ["page"], "line", "text", people(spark))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "SortAggregate" not in plan and f", {mentions.PARTS}), REPARTITION_BY_NUM" in plan
