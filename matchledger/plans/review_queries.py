@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..catalog import ENCOUNTERS_SQL, encounters, table
+from ..catalog import ENCOUNTERS_SQL, PARTS, encounters, table
 from ..functions import bindings, classify, dates, text
 from ..operators import allocation, evidence, identity, reports
 
@@ -374,7 +374,8 @@ def edge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The returned lines of each order as claims in the order of their numbers, on its lines as events: an order has at most a few lines."""
     pair = lambda h, a: F.struct(h.cast("int").alias("home"), a.cast("int").alias("away"))
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey IS NOT NULL")
+    # Dealt before claims and events are spelled out, over parts that adaptive plans don't join to fewer: solving takes far longer than its bytes let expect.
+    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey IS NOT NULL").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate").repartition(PARTS, "l_orderkey")
     n, grp = F.col("l_partkey"), F.col("l_orderkey").alias("grp")
     none = F.array().cast("array<string>")
     name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")

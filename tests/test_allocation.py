@@ -144,3 +144,46 @@ def test_small_groups_are_assigned_without_arrays(monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(allocation, "shortest_paths", None)
     assert [evidence.assign(s) for s in scores] == want
+
+
+def test_tables_hold_what_the_search_finds():
+    r = random.Random(21)
+    for _ in range(400):
+        n, m = r.randrange(2, 5), r.randrange(0, 7)
+        order, dates = sorted(r.randrange(-1, n) for _ in range(n)), [r.choice(DAYS) for _ in range(m)]
+        value = [[r.choice([0, 0, 45, 50, 50, r.randrange(45, 110)]) for _ in range(m)] for _ in range(n)]
+        assert allocation.Tables.fit(order, m)
+        table = allocation.Tables(value, order, dates)
+        for barred in [None, *((i, e) for i in range(n) for e in range(m))]:
+            assert table.best(barred) == allocation.best_allocation(value, order, dates, barred)
+    assert not allocation.Tables.fit([2, 1], 3) and not allocation.Tables.fit([1, 2], 31) and not allocation.Tables.fit(list(range(20)), 20)
+
+
+@pytest.mark.parametrize(("listed", "sets"), [(allocation.LISTED, allocation.SETS), (30, allocation.SETS), (0, 0)])
+def test_groups_solved_together_equal_enumeration(monkeypatch, listed, sets):
+    monkeypatch.setattr(allocation, "LISTED", listed)
+    monkeypatch.setattr(allocation, "SETS", sets)
+    monkeypatch.setattr(allocation, "TOTALS", 500)
+    r = random.Random(22)
+    made = [group(r, r.randrange(1, 5), r.randrange(0, 6)) for _ in range(150)]
+    weighed = [(c, e, allocation.weighed(c, e, w)) for c, e, w in made]
+    solved = allocation.solve(weighed)
+    assert any(s is not None for s in solved) == bool(listed)
+    for (claims, events, edges), (_, _, weights), s in zip(made, weighed, solved, strict=True):
+        got = {row["hypothesis"]: tuple(row[f] for f in FIELDS) for row in allocation.allocate(claims, events, {}, weights, s)}
+        assert got == enumerate_states(claims, events, edges)
+
+
+def test_all_allocations_are_listed_in_order():
+    for n, m in [(1, 0), (2, 3), (3, 2)]:
+        assert allocation.every(n, m).tolist() == [[m if e < 0 else e for e in a] for a in every(n, m)]
+
+
+def test_lines_of_allocations_are_shuffled_before_they_are_spelled_out(spark):
+    import __spark_entry__ as entry
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = entry.queries()["allocations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and all("REPARTITION_BY_NUM" in x for x in exchanges)
