@@ -228,8 +228,10 @@ class Tables:
     @staticmethod
     def fit(order: list[int], events: int) -> bool:
         """Whether claims stand in their order and the table stays small."""
+        if events > 30:
+            return False
         sets = [comb(events, k) for k in range(min(len(order), events + 1))]
-        return events <= 30 and all(a <= b for a, b in zip(order, order[1:], strict=False)) and (events + 1) * sum((len(order) - k) * n for k, n in enumerate(sets)) <= SETS
+        return all(a <= b for a, b in zip(order, order[1:], strict=False)) and (events + 1) * sum((len(order) - k) * n for k, n in enumerate(sets)) <= SETS
 
     def choices(self, i: int, state: int) -> list[tuple[int, int, int]]:
         """(what it adds by itself, event, state behind it) of each choice of a claim, none last. A state is the set of events taken, with those by claims of the next one's order once more above."""
@@ -293,7 +295,13 @@ def every(claims: int, events: int) -> np.ndarray:
 
 
 def listed(claims: int, events: int) -> bool:
-    return sum(comb(claims, k) * perm(events, k) for k in range(min(claims, events) + 1)) <= LISTED
+    """Whether a group has few enough allocations to list them all."""
+    count = 0
+    for k in range(min(claims, events) + 1):
+        count += comb(claims, k) * perm(events, k)
+        if count > LISTED:
+            return False
+    return True
 
 
 def solve_alike(weights: np.ndarray, order: np.ndarray, days: np.ndarray) -> list[tuple[list, int, list]]:
